@@ -1,0 +1,20 @@
+"""Settings of a run, with the engine's invariants checked."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Config:
+    """k odd within 9..63, so that no k-mer is its own reverse complement."""
+
+    k: int = 31
+    double_stranded: bool = True
+    visit_limit: int = 1000
+    search_limit: int = 1000
+    cutoff: float | None = None
+
+    def __post_init__(self):
+        if self.k % 2 == 0 or not 9 <= self.k <= 63:
+            raise ValueError(f"k must be odd and within 9..63, not {self.k}")

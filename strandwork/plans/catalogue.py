@@ -1,4 +1,516 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the given tables, and the SQL that says the same where SQL can."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import seq as S
+from ..operators import correct as C
+from ..operators import graph as G
+from ..operators import kmers as K
+from ..operators import match as M
+from ..operators import stats as T
+from ..sources.reads import documents_as_reads, wrapped
+
+K31, L20, BAND = 31, 20, 2
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_AZ, _TO = S.LETTERS + S.LETTERS.lower(), ("ACGT" * 7)[:26] * 2
+
+
+def _dna(c: str) -> str:
+    return f"regexp_replace(regexp_replace(translate({c}, '{_AZ}', '{_TO}'), '[ \\n]', '', 'g'), '[^ACGT]', 'N', 'g')"
+
+
+def _rc(c: str) -> str:
+    return f"translate(reverse({c}), 'ACGT', 'TGCA')"
+
+
+_READS = f"""d as (select doc_id, source, {_dna("coalesce(text, '')")} as s from documents),
+reads as (select doc_id * 100000 + i as read_id, source, substr(s, i * 50 + 1, 100) as seq from (select doc_id, source, s, unnest(range(0, cast(ceil(length(s) / 50.0) as bigint))) as i from d where s <> ''))"""
+
+
+def _windows(k: int, name: str = "kw") -> str:
+    return f"{name} as (select read_id, pos, w from (select read_id, pos, substr(seq, pos, {k}) as w from (select read_id, seq, unnest(range(1, length(seq) - {k} + 2)) as pos from reads where length(seq) >= {k})) where not regexp_matches(w, '[^ACGT]'))"
+
+
+_KMERS = f"with {_READS}, {_windows(K31)}, km as (select read_id, pos, w, least(w, {_rc('w')}) as kmer from kw)"
+_COUNTS = f"{_KMERS}, kc as (select kmer, count(*) as cov from km group by kmer), solid as (select kmer from kc where cov > 1)"
+
+
+def _bit(c: str) -> str:
+    return f"(case {c} when 'A' then 8 when 'C' then 4 when 'G' then 2 else 1 end)"
+
+
+def _rev(c: str) -> str:
+    return "(" + " + ".join(f"(((({c}) >> {i}) & 1) << {7 - i})" for i in range(8)) + ")"
+
+
+_MASKS = f"""{_COUNTS}, {_windows(K31 + 1, "kp")},
+sides as (select substr(w, 1, {K31}) as a, substr(w, 2, {K31}) as b from (select distinct w from kp)),
+sided as (select a, b, least(a, {_rc("a")}) as ka, least(b, {_rc("b")}) as kb from sides),
+met as (select * from sided where ka in (select kmer from solid) and kb in (select kmer from solid)),
+marks as (select ka as kmer, case when a = ka then {_bit(f"substr(b, {K31}, 1)")} else {_rev(_bit(f"substr(b, {K31}, 1)"))} end as mask from met
+union all select kb, case when b = kb then 16 * {_bit("substr(a, 1, 1)")} else {_rev("16 * " + _bit("substr(a, 1, 1)"))} end from met),
+masks as (select s.kmer, coalesce(bit_or(m.mask), 0)::int as mask from solid s left join marks m on s.kmer = m.kmer group by s.kmer)"""
+
+_signed = f"oriented as (select kmer, mask from masks union all select {_rc('kmer')}, {_rev('mask')} from masks), karcs as (select kmer as src, substr(kmer, 2) || b as dst from oriented, (values ('A', 8), ('C', 4), ('G', 2), ('T', 1)) v(b, bit) where (mask & bit) > 0)"
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_as_reads(spark, sf_dir)
+
+
+def _counts(spark, sf_dir):
+    return K.kmer_count(_reads(spark, sf_dir), K31)
+
+
+def _masks(spark, sf_dir):
+    reads = _reads(spark, sf_dir)
+    return K.overlap_masks(reads, K.solid(K.kmer_count(reads, K31)), K31)
+
+
+def _graph(spark, sf_dir):
+    return G.build(spark, _reads(spark, sf_dir), K31, key=sf_dir)
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- sequences
+
+
+@query(f"select doc_id, length(s)::bigint as n, md5(s) as seq_md5 from (select doc_id, {_dna('text')} as s from documents)")
+def dna_projection(spark, sf_dir):
+    s = S.dna(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length(s).cast("long").alias("n"), F.md5(s).alias("seq_md5"))
+
+
+@query(f"with {_READS} select read_id, source, seq from reads where length(seq) >= {K31}")
+def reads_min_length(spark, sf_dir):
+    return _reads(spark, sf_dir).where(F.length("seq") >= K31).select("read_id", "source", "seq")
+
+
+@query(f"with {_READS} select read_id, {_rc('seq')} as rc from reads")
+def revcomp(spark, sf_dir):
+    return _reads(spark, sf_dir).select("read_id", S.revcomp(F.col("seq")).alias("rc"))
+
+
+@query("select p_partkey, translate(reverse(regexp_replace(lower(p_name), '[^acgtrymkbvdhsw]', 'n', 'g')), 'acgtrymkbvdh', 'tgcayrkmvbhd') as rc from part")
+def iupac_revcomp(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", S.iupac_revcomp(F.col("p_name")).alias("rc"))
+
+
+@query(f"{_KMERS} select read_id, count(*) as n, min(kmer) as least, max(kmer) as greatest from km group by read_id")
+def canonical_kmer(spark, sf_dir):
+    return K.kmers(_reads(spark, sf_dir), K31).groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.min("kmer").alias("least"), F.max("kmer").alias("greatest"))
+
+
+@query(f"{_KMERS} select read_id, count(*) as n, min(pos) as first_pos, max(pos) as last_pos from kw group by read_id")
+def valid_kmers(spark, sf_dir):
+    w = S.windows(_reads(spark, sf_dir), "seq", K31, ["read_id"]).where(S.valid(F.col("w")))
+    return w.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"))
+
+
+@query(f"with {_READS} select read_id, sum(ascii(substr(seq, pos, 1)) * pos)::bigint as s, count(*) as n from (select read_id, seq, unnest(range(1, length(seq) - {K31} + 2)) as pos from reads where length(seq) >= {K31}) group by read_id")
+def explode_kmers(spark, sf_dir):
+    w = S.windows(_reads(spark, sf_dir), "seq", K31, ["read_id"])
+    return w.groupBy("read_id").agg(F.sum(F.ascii("w") * F.col("pos")).cast("long").alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_COUNTS} select kmer, substr(kmer, 2) || 'A' as pushed_right, 'T' || substr(kmer, 1, {K31 - 1}) as pushed_left from solid")
+def kmer_push(spark, sf_dir):
+    return K.solid(_counts(spark, sf_dir)).select("kmer", S.push_right(F.col("kmer"), F.lit("A")).alias("pushed_right"), S.push_left(F.col("kmer"), F.lit("T")).alias("pushed_left"))
+
+
+# --- k-mers
+
+
+@query(f"{_COUNTS} select kmer, cov from kc")
+def kmer_count(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@query(f"{_KMERS} select w as kmer, count(*) as cov from kw group by w")
+def kmer_count_single_stranded(spark, sf_dir):
+    return K.kmer_count(_reads(spark, sf_dir), K31, double_stranded=False)
+
+
+@query(f"{_COUNTS} select count(*) as n_distinct, count(*) filter (where cov > 1) as n_solid, sum(cov)::bigint as n_windows from kc")
+def kmer_totals(spark, sf_dir):
+    return K.kmer_totals(_counts(spark, sf_dir))
+
+
+@query(f"{_COUNTS} select kmer, cov from kc where cov > 1")
+def solid_kmers(spark, sf_dir):
+    return K.solid(_counts(spark, sf_dir))
+
+
+@query(f"{_COUNTS} select kmer from kc where cov = 1")
+def weak_kmers(spark, sf_dir):
+    reads = _reads(spark, sf_dir)
+    return K.weak_kmers(reads, K.solid(K.kmer_count(reads, K31)), K31)
+
+
+@query(f"{_COUNTS} select read_id, count(*) as n_solid from km where kmer in (select kmer from solid) group by read_id")
+def read_solid_kmers(spark, sf_dir):
+    reads = _reads(spark, sf_dir)
+    return K.read_solid_kmers(reads, K.solid(K.kmer_count(reads, K31)), K31)
+
+
+@query(f"{_COUNTS} select cov, count(*) as n from kc group by cov")
+def kmer_histogram(spark, sf_dir):
+    return _counts(spark, sf_dir).groupBy("cov").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_MASKS} select kmer, mask from masks")
+def kmer_overlap_mask(spark, sf_dir):
+    return _masks(spark, sf_dir)
+
+
+@query(f"{_MASKS} select kmer, bit_count(mask >> 4)::int as n_left, bit_count(mask & 15)::int as n_right from masks")
+def overlap_degree(spark, sf_dir):
+    return K.overlap_degree(_masks(spark, sf_dir))
+
+
+@query(f"{_MASKS}, {_signed} select src, dst from karcs")
+def kmer_neighbors(spark, sf_dir):
+    return K.kmer_neighbors(_masks(spark, sf_dir))
+
+
+@query(f"{_MASKS} select kmer from masks where (mask >> 4) = 0 or (mask & 15) = 0")
+def dead_ends(spark, sf_dir):
+    return K.overlap_degree(_masks(spark, sf_dir)).where("n_left = 0 or n_right = 0").select("kmer")
+
+
+@query(f"{_MASKS}, {_signed} select src, count(*) as n from karcs group by src having count(*) >= 2")
+def branch_nodes(spark, sf_dir):
+    return K.kmer_neighbors(_masks(spark, sf_dir)).groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+# --- graph (rows depend on path compaction, which has no plain SQL form; tests hold them against brute force)
+
+
+@query()
+def unitigs(spark, sf_dir):
+    return _graph(spark, sf_dir)["nodes"].select("node_id", "seq")
+
+
+@query()
+def unitig_arcs(spark, sf_dir):
+    return _graph(spark, sf_dir)["arcs"].select("src", "dst")
+
+
+@query()
+def kmer_index(spark, sf_dir):
+    return _graph(spark, sf_dir)["index"]
+
+
+@query()
+def node_kmer_cov(spark, sf_dir):
+    return _graph(spark, sf_dir)["nodes"].select("node_id", "kmer_cov")
+
+
+@query()
+def node_read_start_cov(spark, sf_dir):
+    return _graph(spark, sf_dir)["nodes"].select("node_id", "read_start_cov")
+
+
+@query()
+def arc_cov(spark, sf_dir):
+    return _graph(spark, sf_dir)["arcs"]
+
+
+@query()
+def arc_endpoints(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    n = g["nodes"].select("node_id", "marginal", "kmer_cov")
+    return g["arcs"].join(n, F.abs("dst") == F.col("node_id")).select("src", "dst", "marginal", "kmer_cov")
+
+
+@query()
+def graph_stats(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return G.graph_stats(g["nodes"], g["arcs"], K31)
+
+
+@query()
+def graph_sanity(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return G.sanity(g["nodes"], g["arcs"], K31)
+
+
+@query()
+def kmer_index_sanity(spark, sf_dir):
+    """Index entries that do not map back to their k-mer: none expected."""
+    g = _graph(spark, sf_dir)
+    signed = g["nodes"].select("node_id", "seq").union(g["nodes"].select(-F.col("node_id"), S.revcomp(F.col("seq"))))
+    at = F.substr("seq", F.col("pos") + 1, F.lit(K31))
+    return g["index"].join(signed, "node_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(at != F.col("kmer"), F.lit(True))).alias("wrong"))
+
+
+@query()
+def graph_fasta(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return G.graph_fasta(g["nodes"], g["arcs"])
+
+
+@query()
+def clip_tips(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return G.clip_tips(g["nodes"], g["arcs"], 1.4, 2.0, 400)
+
+
+@query()
+def coverage_filter(spark, sf_dir):
+    return G.coverage_filter(_graph(spark, sf_dir)["nodes"], 3.0, 400)
+
+
+@query()
+def low_cov_roots(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    low = g["nodes"].where(F.col("kmer_cov") / F.col("marginal") < 3.0).select(F.col("node_id").alias("n"))
+    return g["arcs"].join(low, F.abs("dst") == F.col("n"), "left_semi").select("src").distinct()
+
+
+@query()
+def remove_nodes(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return G.remove_nodes(g["nodes"], g["arcs"], G.coverage_filter(g["nodes"], 3.0, 400))[1]
+
+
+@query()
+def merge_linear(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    nodes, arcs = G.remove_nodes(g["nodes"], g["arcs"], G.clip_tips(g["nodes"], g["arcs"], 1.4, 2.0, 400))
+    return G.merge_linear(G.saved(nodes, "nodes"), G.saved(arcs, "arcs"), K31)[0]
+
+
+@query()
+def bubbles(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return G.bubbles(g["nodes"], g["arcs"], K31)
+
+
+@query()
+def bubble_removals(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return G.bubble_removals(G.bubbles(g["nodes"], g["arcs"], K31), 3.0)
+
+
+@query()
+def reliable_nodes(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return T.reliable_nodes(T.node_multiplicity(G.degrees(g["nodes"], g["arcs"])), K31).select("node_id", "multiplicity")
+
+
+@query()
+def read_node_positions(spark, sf_dir):
+    return _graph(spark, sf_dir)["positions"]
+
+
+@query()
+def read_seeds(spark, sf_dir):
+    return C.read_seeds(_graph(spark, sf_dir)["positions"])
+
+
+@query()
+def merged_seeds(spark, sf_dir):
+    return C.merged_seeds(C.read_seeds(_graph(spark, sf_dir)["positions"]))
+
+
+@query()
+def top10_seeds(spark, sf_dir):
+    return C.top_seeds(C.read_seeds(_graph(spark, sf_dir)["positions"]), 10)
+
+
+@query()
+def corrected_reads(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return C.correct(g["reads"], C.read_seeds(g["positions"]), g["nodes"], K31)
+
+
+@query()
+def correction_report(spark, sf_dir):
+    return C.report(corrected_reads(spark, sf_dir))
+
+
+# --- statistics, on parts taken as nodes: marginal = quantity sold, kmer_cov = lines x 7 + size, read_start_cov = lines
+
+_NODES = "nodes as (select l_partkey as node_id, sum(l_quantity)::bigint as marginal, (count(*) * 7 + l_partkey % 50)::bigint as kmer_cov, count(*) as read_start_cov from lineitem group by l_partkey)"
+_TOP = f"with {_NODES}, o as (select marginal, count(*) as n from nodes group by marginal), c as (select marginal, n, sum(marginal * n) over (order by marginal desc) as cum, sum(marginal * n) over () as total from o), top as (select * from nodes where marginal >= (select min(marginal) from c where cum - n * marginal < 0.05 * total))"
+
+
+def _nodes(spark, sf_dir):
+    n = F.count(F.lit(1))
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("node_id")).agg(F.sum("l_quantity").cast("long").alias("marginal"), n.alias("read_start_cov"))
+    return rows.withColumn("kmer_cov", F.col("read_start_cov") * 7 + F.col("node_id") % 50)
+
+
+@query(f"with {_NODES}, o as (select marginal, count(*) as n from nodes group by marginal), u as (select marginal, sum(marginal * n) over (order by marginal) as up, sum(marginal * n) over (order by marginal desc) as down, sum(marginal * n) over () as total from o) select min(marginal) filter (where 2 * up >= total) as n50, max(marginal) filter (where 2 * down >= total) as n50_standard from u")
+def n50(spark, sf_dir):
+    return T.n50(_nodes(spark, sf_dir))
+
+
+@query(f"{_TOP} select round(sum(kmer_cov) / sum(marginal), 6) as coverage_mean from top")
+def coverage_mean_top5(spark, sf_dir):
+    return T.coverage_mean(_nodes(spark, sf_dir)).select(F.round("coverage_mean", 6).alias("coverage_mean"))
+
+
+@query(f"{_TOP}, m as (select sum(kmer_cov) / sum(marginal) as m from top) select round(sqrt(avg((kmer_cov / marginal - m) ** 2)), 6) as coverage_std from top, m")
+def coverage_std_top5(spark, sf_dir):
+    return T.coverage_std(_nodes(spark, sf_dir)).select(F.round("coverage_std", 6).alias("coverage_std"))
+
+
+@query(f"{_TOP}, m as (select sum(kmer_cov) / sum(marginal) + 20 as m from top) select round((1 + m / 100 - m) * ln(2.718281) / ln((1 + m / 100) / m), 6) as cut from m")
+def cutoff_estimate(spark, sf_dir):
+    return T.coverage_mean(_nodes(spark, sf_dir)).select(F.round(T.cutoff(F.col("coverage_mean") + 20), 6).alias("cut"))
+
+
+@query("select r, round(5.0 * (1 + case when r < 6 then r / 10 else 1.0 end), 6)::double as red_line, round(5.0 * (0.7 + case when r < 4 then r / 10 else 1.0 end), 6)::double as safe, round(5.0 * (0.3 + case when r < 3 then r / 10 else 0.5 end), 6)::double as certain from (select unnest(range(1, 11)) as r)")
+def threshold_schedule(spark, sf_dir):
+    t = T.thresholds(spark.range(1, 11).withColumnRenamed("id", "r"), 5.0)
+    return t.select("r", *[F.round(c, 6).alias(c) for c in ("red_line", "safe", "certain")])
+
+
+@query("select l_orderkey, l_linenumber, round(exp(floor(l_quantity) * ln(mu) - mu - lgamma(floor(l_quantity) + 1)), 9) as p from (select *, 20.0 + l_linenumber as mu from lineitem)")
+def poisson_pdf(spark, sf_dir):
+    mu = F.lit(20.0) + F.col("l_linenumber")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.poisson_pdf(F.col("l_quantity"), mu), 9).alias("p"))
+
+
+@query()
+def node_multiplicity(spark, sf_dir):
+    return T.node_multiplicity(_nodes(spark, sf_dir))
+
+
+@query(f"with {_NODES} select floor(kmer_cov / marginal / 0.1)::bigint as bin, count(*) as n_nodes, sum(marginal)::bigint as total_marginal from nodes group by 1")
+def coverage_histogram(spark, sf_dir):
+    return T.coverage_histogram(_nodes(spark, sf_dir))
+
+
+@query(f"with {_READS} select source, count(*) as n_reads, (sum(length(seq)) // count(*))::bigint as avg_len from reads group by source")
+def library_stats(spark, sf_dir):
+    return T.library_stats(_reads(spark, sf_dir))
+
+
+@query(f"with {_READS}, l as (select source, count(*) as n, sum(length(seq)) // count(*) as a from reads group by source) select round(sum(a * n) / sum(n), 6)::double as avg_read_length from l")
+def avg_read_length(spark, sf_dir):
+    return T.average_read_length(T.library_stats(_reads(spark, sf_dir))).select(F.round("avg_read_length", 6).alias("avg_read_length"))
+
+
+@query("""with c as (select count(*) filter (where toxic = 1 and quality = 0) as tp, count(*) filter (where toxic = 0 and quality = 1) as tn, count(*) filter (where toxic = 0 and quality = 0) as fp, count(*) filter (where toxic = 1 and quality = 1) as fn from labels)
+select *, case when tp + fn = 0 then 1.0::double else tp / (tp + fn) end as sensitivity, case when tn + fp = 0 then 1.0::double else tn / (tn + fp) end as specificity, case when tp + fn = 0 then 1.0::double else (tp - fp) / (tp + fn) end as gain from c""")
+def confusion_metrics(spark, sf_dir):
+    return T.confusion(_table(spark, sf_dir, "labels").select(F.col("toxic").alias("truth"), (1 - F.col("quality")).alias("found")))
+
+
+# --- matching: benchmark items against documents
+
+_SIDES = f"q as (select item_id as query_id, {_dna('text')} as seq from benchmark), r as (select doc_id as ref_id, {_dna('text')} as seq from documents)"
+
+
+def _win(side: str, name: str, pos: str) -> str:
+    return f"(select {name}, {pos}, substr(seq, {pos}, {L20}) as w from (select {name}, seq, unnest(range(1, length(seq) - {L20} + 2)) as {pos} from {side} where length(seq) >= {L20}))"
+
+
+_MEMS = f"""with {_SIDES},
+hits as (select query_id, ref_id, a.q, b.r - a.q as diagonal from (select * from {_win("q", "query_id", "q")} where not regexp_matches(w, '[^ACGT]')) a join {_win("r", "ref_id", "r")} b on a.w = b.w),
+isl as (select *, q - row_number() over (partition by query_id, ref_id, diagonal order by q) as island from hits),
+mems as (select query_id, ref_id, min(q) as q_start, min(q) + diagonal as r_start, count(*) + {L20 - 1} as len from isl group by query_id, ref_id, diagonal, island)"""
+
+
+def _sides(spark, sf_dir):
+    q = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), S.dna(F.col("text")).alias("seq"))
+    return q, _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref_id"), S.dna(F.col("text")).alias("seq"))
+
+
+@query(f"{_MEMS} select query_id, ref_id, q_start, r_start, len from mems")
+def mem_matches(spark, sf_dir):
+    return M.mems(*_sides(spark, sf_dir), L20)
+
+
+@query()
+def mam_matches(spark, sf_dir):
+    q, r = _sides(spark, sf_dir)
+    return M.unique_matches(G.saved(M.mems(q, r, L20), "mems"), q, r)
+
+
+@query()
+def mum_matches(spark, sf_dir):
+    q, r = _sides(spark, sf_dir)
+    return M.unique_matches(G.saved(M.mems(q, r, L20), "mems"), q, r, both=True)
+
+
+@query(f"{_MEMS} select query_id, ref_id, q_start, r_start, len, substr(q.seq, q_start, len) = substr(r.seq, r_start, len) as ok from mems join q using (query_id) join r using (ref_id)")
+def mem_verify(spark, sf_dir):
+    q, r = _sides(spark, sf_dir)
+    return M.verify(M.mems(q, r, L20), q, r).select("query_id", "ref_id", "q_start", "r_start", "len", "ok")
+
+
+@query("select doc_id, (coalesce(sum(length(text) + 1) over (order by doc_id rows between unbounded preceding and 1 preceding), 0))::bigint as start from documents")
+def concat_offsets(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    return M.concat_offsets(docs, "doc_id", "n")
+
+
+@query("select e.event_id, e.user_id, s.event_id as last_purchase from events e asof left join (select user_id, ts, max(event_id) as event_id from events where event_type = 'purchase' group by all) s on e.user_id = s.user_id and e.ts >= s.ts")
+def asof_offset(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    starts = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_purchase"))
+    return M.asof(e.select("event_id", "user_id", "ts"), starts, "ts", "user_id").select("event_id", "user_id", "last_purchase")
+
+
+@query(f"with {_SIDES}, p as (select query_id, seq, substr(seq, 1, {K31}) as w from q where length(seq) >= {K31}), pp as (select * from p union all select query_id, {_rc('seq')}, substr({_rc('seq')}, 1, {K31}) from p where seq <> {_rc('seq')}), rw as (select ref_id, seq, pos from (select ref_id, seq, unnest(range(1, length(seq) - {K31} + 2)) as pos from r where length(seq) >= {K31})), h as (select pp.query_id from rw join pp on substr(rw.seq, rw.pos, {K31}) = pp.w where substr(rw.seq, rw.pos, length(pp.seq)) = pp.seq) select p.query_id as id, (select count(*) from h where h.query_id = p.query_id) as n from p")
+def true_multiplicity(spark, sf_dir):
+    q, r = _sides(spark, sf_dir)
+    return M.occurrences(q.select(F.col("query_id").alias("id"), "seq"), r, K31)
+
+
+# --- alignment
+
+
+_PAIRS = f"select p_partkey, rpad({_dna('p_name')}, 24, 'N') as a, rpad({_dna('p_type')}, 24, 'N') as b from part"
+
+
+def _pairs(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", F.rpad(S.dna(F.col("p_name")), 24, "N").alias("a"), F.rpad(S.dna(F.col("p_type")), 24, "N").alias("b"))
+
+
+@query(f"select p_partkey, (select sum(case when substr(a, i, 1) = substr(b, i, 1) or substr(a, i, 1) = 'N' or substr(b, i, 1) = 'N' then 1 else -1 end) from (select unnest(range(1, 25)) as i))::int as score from ({_PAIRS})")
+def match_score(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("p_partkey", C.match_score(F.col("a"), F.col("b")).alias("score"))
+
+
+@query(f"select p_partkey, s > 12 as accepted from (select p_partkey, (select sum(case when substr(a, i, 1) = substr(b, i, 1) or substr(a, i, 1) = 'N' or substr(b, i, 1) = 'N' then 1 else -1 end) from (select unnest(range(1, 25)) as i)) as s from ({_PAIRS}))")
+def accept_correction(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("p_partkey", C.accept(C.match_score(F.col("a"), F.col("b")), F.length("a")).alias("accepted"))
+
+
+@query()
+def banded_align(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("p_partkey", C.banded_align("a", "b").alias("score"))
+
+
+@query()
+def nw_score(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("p_partkey", C.nw_score("a", "b").alias("score"))
+
+
+@query(f"with {_READS} select read_id, regexp_replace(regexp_replace(seq, '(.{{70}})', '\\1' || chr(10), 'g'), '\\n$', '') as body from reads")
+def fasta_wrap(spark, sf_dir):
+    return _reads(spark, sf_dir).select("read_id", wrapped(F.col("seq")).alias("body"))
