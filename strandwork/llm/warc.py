@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from functools import partial
 from urllib.parse import urlsplit
@@ -29,7 +30,7 @@ def sha1_base32(body: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html", epoch: str = "2024-01-01 00:00:00") -> None:
-    """Write a WARC record for each row into files of about FILE_BYTES under path.
+    """Write a WARC record for each row into gzip files of about FILE_BYTES of records under path.
 
     Of records with equal payloads (length and SHA-1) of at least least_bytes, that with the smallest key holds the
     payload as a response; others revisit it and hold headers only. The table has no capture times, so a record's
@@ -65,7 +66,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, key: str =
     http = F.concat(F.lit(HTTP), F.col("n"), F.lit(crlf * 2))
     seen = F.concat(head, F.lit(f"{crlf}WARC-Profile: {PROFILE}{crlf}WARC-Refers-To: <{RECORD}"), F.col("first"), F.lit(f">{crlf}Content-Length: 0{crlf * 2}"))
     held = F.concat(head, F.lit(f"{crlf}Content-Type: application/http; msgtype=response{crlf}Content-Length: "), F.length(http) + F.col("n"), F.lit(crlf * 2), http, F.decode("body", "UTF-8"))
-    typed.select(F.when(F.col("revisit"), seen).otherwise(held).alias("value")).write.option("lineSep", crlf * 2).option("maxRecordsPerFile", per_file).text(path)
+    typed.select(F.when(F.col("revisit"), seen).otherwise(held).alias("value")).write.option("lineSep", crlf * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -111,12 +112,12 @@ def _table(rows):
 
 
 def _runs(batches):
-    """Each archive's captures, payloads checked against their digests, as one sorted run."""
+    """Each archive's captures, payloads checked against their digests, as one sorted run; offsets are those in the unzipped archive."""
     number = lambda v: int(v.removeprefix(f"<{RECORD}").rstrip(">")) if v and "none" not in v else None
     for batch in batches:
         for path, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             rows, name = [], path.rsplit("/", 1)[-1]
-            for offset, length, h, block in records(body.as_py()):
+            for offset, length, h, block in records(gzip.decompress(body.as_py())):
                 digest, n = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"])
                 if h["warc-type"] == "response":
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
