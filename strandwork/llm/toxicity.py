@@ -12,6 +12,7 @@ import re
 import unicodedata
 from functools import partial
 from itertools import combinations
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -193,11 +194,15 @@ def cover(toxic_docs: list[set[str]], clean_docs: list[set[str]], least: int = 3
     def marks(d):
         return d | {w[:n] + "*" for w in d for n in (4, 5, 6, 7, 8) if len(w) > n}
 
-    inside, clean = {}, {}
-    for k, d in enumerate(toxic_docs):
+    seen: dict[str, int] = {}
+    for d in toxic_docs:
         for m in marks(d):
-            inside.setdefault(m, set()).add(k)
-    inside = {m: ks for m, ks in inside.items() if len(ks) >= least}
+            seen[m] = seen.get(m, 0) + 1
+    inside, clean = {m: set() for m, n in seen.items() if n >= least}, {}
+    del seen
+    for k, d in enumerate(toxic_docs):
+        for m in marks(d) & inside.keys():
+            inside[m].add(k)
     for d in clean_docs:
         for m in marks(d) & inside.keys():
             clean[m] = clean.get(m, 0) + 1
@@ -286,8 +291,10 @@ def train(labelled: DataFrame, max_docs: int = 4000, key: str = "doc_id", text:
     few = rows.orderBy(F.xxhash64("k"), "k").limit(max_docs)
     docs = few.select("y", F.slice(F.array_distinct(F.split(F.lower("t"), r"\s+")), 1, WORDS_A_DOC).alias("w")).collect()
     sides = {0: [], 1: []}
-    for r in docs:
-        sides[int(r["y"] > 0)].append({p for p in map(plain, r["w"]) if p})
+    docs.reverse()
+    while docs:  # a word is one object however many documents hold it, and a row goes once it is read
+        r = docs.pop()
+        sides[int(r["y"] > 0)].append({intern(p) for p in map(plain, r["w"]) if p})
     if not sides[0] or not sides[1]:
         return None
     found = learn_words(sides[1], sides[0])
