@@ -68,36 +68,55 @@ def argument_errors(name: Column, arguments: Column, schemas: dict) -> Column:
 def topological_levels(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that wait for none, else one more than the highest level waited for.
 
-    Kahn's rounds by joins: a round settles the calls whose last open prerequisite the round before settled. Identifiers
-    that name no call of the conversation are ignored. Calls on or behind a cycle get no row. Rounds are as many as
-    the longest chain.
+    Runs of calls that wait for one call each are shortened first: every call points at what it waits for and pointers
+    are doubled until they reach an end, a call that waits for none or for several. A chain of n calls takes log2(n)
+    rounds. Then Kahn's rounds by joins settle the ends that wait for several, as many as the longest chain of such
+    ends. Identifiers that name no call of the conversation are ignored. Calls on or behind a cycle get no row.
     """
-    nodes = calls.select("conv_id", "call_id", F.array_distinct("waits_for").alias("w"))
-    edges = nodes.select("conv_id", "call_id", F.explode("w").alias("on"))
+    key = ["conv_id", "call_id"]
+    nodes = calls.select(*key, F.array_distinct("waits_for").alias("w"))
+    edges = nodes.select(*key, F.explode("w").alias("on"))
     edges = stored(edges.join(nodes.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi"), "waits")
-    need = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("need"))
-    open_calls = stored(nodes.select("conv_id", "call_id").join(need, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("need", F.lit(0)).alias("need")), "calls")
-    done = stored(open_calls.where("need = 0").select("conv_id", "call_id", F.lit(0).alias("level")), "level")
-    waiting = open_calls.where("need > 0")
-    layers, layer = [done], done
-    previous = None
-    for level in range(1, max_rounds):
+    need = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("need"), F.min("on").alias("on"))
+    start = nodes.select(*key).join(need, key, "left").select(*key, F.coalesce("need", F.lit(0)).alias("need"), "on")
+    one = F.col("need") == 1
+    state = stored(start.select(*key, "need", F.when(one, F.col("on")).otherwise(F.col("call_id")).alias("to"), one.cast("long").alias("dist"), (~one).alias("ended")), "pointers")
+    number = state.count()
+    for k in range(number.bit_length() + 1):
+        if state.where("not ended").isEmpty():
+            break
+        there = state.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"), F.col("ended").alias("end"))
+        moved = state.where("not ended").join(there, ["conv_id", "to"]).select(*key, "need", F.col("next").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), F.col("end").alias("ended"))
+        state, before = stored(state.where("ended").union(moved), "pointers"), state
+        drop_stored(before)
+    ends = state.where("ended and need <> 1")
+    if ends.where("need > 1").isEmpty():
+        return state.where("ended").select(*key, F.col("dist").alias("level"))
+    reach = state.where("ended").select("conv_id", F.col("call_id").alias("on"), F.col("to").alias("end"), (F.col("dist") + 1).alias("weight"))
+    several = edges.join(ends.where("need > 1").select(*key), key, "left_semi")
+    links = stored(several.join(reach, ["conv_id", "on"]).select(*key, "end", "weight"), "links")
+    layer = stored(ends.where("need = 0").select(*key, F.lit(0).cast("long").alias("level")), "level")
+    waiting, previous, layers = ends.where("need > 1").select(*key, "need", F.lit(0).cast("long").alias("level")), None, [layer]
+    for _ in range(max_rounds):
         if layer.isEmpty():
             break
-        met = edges.join(layer.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"]).groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("met"))
-        left = stored(waiting.join(met, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")), "calls")
-        layer = stored(left.where("need = 0").select("conv_id", "call_id", F.lit(level).alias("level")), "level")
+        met = links.join(layer.select("conv_id", F.col("call_id").alias("end"), F.col("level").alias("base")), ["conv_id", "end"])
+        met = met.groupBy(*key).agg(F.count(F.lit(1)).alias("met"), F.max(F.col("base") + F.col("weight")).alias("high"))
+        left = waiting.join(met, key, "left").select(*key, (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"), F.greatest("level", F.coalesce("high", F.lit(0))).alias("level"))
+        left = stored(left, "calls")
+        layer = stored(left.where("need = 0").select(*key, "level"), "level")
         layers.append(layer)
         waiting = left.where("need > 0")
         if previous is not None:
             drop_stored(previous)
         previous = left
     else:
-        raise RuntimeError("the chain of calls is longer than max_rounds")
-    out = layers[0]
+        raise RuntimeError("the chain of calls that wait for several is longer than max_rounds")
+    settled = layers[0]
     for more in layers[1:]:
-        out = out.union(more)
-    return out
+        settled = settled.union(more)
+    settled = settled.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("base"))
+    return state.where("ended").join(settled, ["conv_id", "to"]).select(*key, (F.col("base") + F.col("dist")).alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:

@@ -328,3 +328,24 @@ def test_pipeline(spark):
         if name != "best_fit_packing":
             assert docs.columns == before.columns and 0 < docs.count() <= before.count()
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {r.doc_id for r in before.select("doc_id").collect()}
+
+
+def test_levels_against_brute_force(spark):
+    """Chains, forks, joins, unknown names, repeats and cycles, against a walk in plain Python."""
+    rng = random.Random(5)
+    waits = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(70)}
+    for i in range(60):
+        waits[f"d{i}"] = [f"d{rng.randrange(i)}" for _ in range(rng.randrange(4))] if i else []
+    waits |= {"x": ["y", "c3"], "y": ["z"], "z": ["x"], "behind": ["z"], "both": ["behind", "c5"], "self": ["self"], "lost": ["nowhere"], "late": ["c69", "d59", "c69"], "later": ["late"], "last": ["later", "d3"]}
+
+    def walk(c, above=()):
+        if c in above:
+            return None
+        below = [walk(w, (*above, c)) for w in waits[c] if w in waits]
+        return None if None in below else max(below, default=-1) + 1
+
+    rows = [(conv, c, w) for conv in (1, 2) for c, w in waits.items()]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, waits_for array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls.topological_levels(calls).collect()}
+    assert got == {(conv, c): walk(c) for conv, c, _ in rows if walk(c) is not None}
+    assert toolcalls.topological_levels(calls.limit(0)).count() == 0
