@@ -23,6 +23,8 @@ from .common import arrow_batches, stored
 
 DECAY, SPAN, BITS, SURE = 0.6, 6, 16, 0.4
 MEMORY = 700_000
+#: Words scored at a time: bounds the arrays of their subsequences.
+SCORED = 5000
 SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 #: Offsets of the later letters of each subsequence that starts at a letter, within SPAN letters.
 _GAPS = [c for k in (2, 3) for c in combinations(range(1, SPAN), k)]
@@ -143,8 +145,8 @@ def _document_values(texts, v, bias, name):
     new = list({w for ws in split for w in ws if w not in memory})
     bare = {w: plain(w) for w in new}
     words = list({p for p in bare.values() if p not in memory})
-    for i in range(0, len(words), 20000):
-        part = words[i : i + 20000]
+    for i in range(0, len(words), SCORED):
+        part = words[i : i + SCORED]
         memory.update(zip(part, score_words(part, v, bias).tolist(), strict=True))
     memory.update([(w, memory[p]) for w, p in bare.items()])
     out = []
@@ -270,7 +272,7 @@ def learn_words(toxic_docs: list[set[str]], clean_docs: list[set[str]], landmark
         w, bias = fit_svm(x, y, weight, c=5.0)
         v = (by_feature @ (root @ w).astype(np.float32)).astype(np.float64)
         if turn < 2:
-            scores = np.concatenate([score_words(pool[i : i + 20000], v, bias) for i in range(0, len(pool), 20000)])
+            scores = np.concatenate([score_words(pool[i : i + SCORED], v, bias) for i in range(0, len(pool), SCORED)])
             hard = [pool[i] for i in np.argsort(-scores, kind="stable")[: negatives // 3]]
             negative = sorted((set(negative) | set(hard)) - set(positives))
     return v, bias
@@ -288,13 +290,20 @@ def train(labelled: DataFrame, max_docs: int = 4000, key: str = "doc_id", text:
     None if a class is missing.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    few = rows.orderBy(F.xxhash64("k"), "k").limit(max_docs)
-    docs = few.select("y", F.slice(F.array_distinct(F.split(F.lower("t"), r"\s+")), 1, WORDS_A_DOC).alias("w")).collect()
+    return fit(rows.select("k", "t", "y").orderBy(F.xxhash64("k"), "k").limit(max_docs))
+
+
+def fit(few: DataFrame) -> Model | None:
+    """Fit on all rows (t, y) of a bounded sample. Their distinct words come as Arrow batches, one string a text."""
+    words = F.array_join(F.slice(F.array_distinct(F.split(F.lower("t"), r"\s+")), 1, WORDS_A_DOC), " ")
+    arrow_batches(few.sparkSession, 200)
+    batches = few.select("y", words.alias("w")).toArrow().to_batches()
     sides = {0: [], 1: []}
-    docs.reverse()
-    while docs:  # a word is one object however many documents hold it, and a row goes once it is read
-        r = docs.pop()
-        sides[int(r["y"] > 0)].append({intern(p) for p in map(plain, r["w"]) if p})
+    batches.reverse()
+    while batches:  # a word is one object however many documents hold it, and a batch goes once it is read
+        batch = batches.pop()
+        for y, w in zip(batch.column(0), batch.column(1), strict=True):
+            sides[int(y.as_py() > 0)].append({intern(p) for p in map(plain, w.as_py().split(" ")) if p})
     if not sides[0] or not sides[1]:
         return None
     found = learn_words(sides[1], sides[0])
@@ -303,8 +312,9 @@ def train(labelled: DataFrame, max_docs: int = 4000, key: str = "doc_id", text:
     v, bias = found
     name = f"{hash((bias, float(v.sum())))}"
     model = Model(v, bias, np.array([0.0, 1.0, 0.0]), name)
-    x = np.array(_document_values([" ".join(sorted(d)) for d in sides[0] + sides[1]], v, bias, name))
-    model.coef = fit_logistic(x, np.array([0.0] * len(sides[0]) + [1.0] * len(sides[1])))
+    x = np.array([y for d in sides[0] + sides[1] for y in _document_values([" ".join(sorted(d))], v, bias, name)])
+    _memory.clear()
+    model.coef = np.round(fit_logistic(x, np.array([0.0] * len(sides[0]) + [1.0] * len(sides[1]))), 6)  # rows come in any order
     return model
 
 
@@ -340,7 +350,8 @@ def train_from_tables(documents: DataFrame, labels: DataFrame, max_docs: int = 4
     """Labels come from rows that are not held out."""
     labelled = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     few = stored(labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs), "labelled")
-    return train(documents.select("doc_id", "text").join(few, "doc_id"), max_docs)
+    texts = documents.where("text is not null").select("doc_id", F.col("text").alias("t"))
+    return fit(texts.join(few.select("doc_id", F.col("toxic").cast("int").alias("y")), "doc_id").select("t", "y"))
 
 
 def reject_toxic(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
