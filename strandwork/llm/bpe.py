@@ -1,27 +1,28 @@
-"""Byte-level BPE: higher-order functions merge distinct words by a literal rank map; decoding joins binary pieces."""
+"""Byte-level BPE: higher-order functions fold ranked merges over the byte arrays of distinct words; decoding joins binary pieces."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import json
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, stored
+from .common import arrow_batches
 from .tokens import one_blank_apart
 
-PACK_CHARS = 12_000_000
-BUCKETS = 8192
-#: Words of more bytes are merged by a heap-like core while ids are applied: folding is quadratic in a word's length.
+#: Characters of text whose distinct words are encoded together; the unit of memory of every task.
+PACK_CHARS = 14_000_000
+#: Words whose ids are laid out at a time, or one document's if it has more.
+APPLY_WORDS = 500_000
+BATCH_BYTES = "32m"
+#: Words of more bytes are merged by tiktoken's core while ids are applied: folding is quadratic in a word's length.
 FOLD_BYTES = 96
-NO_RANK = 2**31 - 1
+NO_RANK = 1 << 17
 
 
 @lru_cache(maxsize=2)
@@ -31,153 +32,222 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _rank_json(path: str) -> str:
-    buckets = [{} for _ in range(BUCKETS)]
-    for token, rank in load_ranks(path).items():
-        name = token.hex().upper()
-        buckets[xxhash.xxh64_intdigest(name.encode(), 42) % BUCKETS][name] = rank
-    return json.dumps(buckets)
+def pair_table(path: str) -> tuple[list[int], list[int]]:
+    """The rank map by pairs of ids: (starts, cells).
+
+    The join of the pieces a and b has the rank r if cells[starts[a] + b] = a * 65536 + r, and none if another piece or
+    nobody (-1) owns that cell. The rows of all a are laid over each other so that no two pairs share a cell, large rows
+    first. Ranks are ids here, as in every tiktoken file, and fit in 16 bits.
+    """
+    ranks = load_ranks(path)
+    if len(ranks) > 1 << 16 or max(ranks.values()) >= 1 << 16:
+        raise ValueError("ids of more than 16 bits do not fit the fold's state")
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if a is not None and b is not None:
+                rows.setdefault(a, []).append((b, rank))
+    free = np.ones((1 << 16) + 4 * sum(map(len, rows.values())), dtype=bool)
+    cells = np.full(len(free), -1, dtype=np.int64)
+    draw, starts, end = np.random.default_rng(0), [0] * (1 << 16), 0
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        at, start, tries = np.array([b for b, _ in row]), None, 4
+        while start is None:
+            places = draw.integers(0, len(free) - (1 << 16), tries)
+            fits = np.flatnonzero(free[places[:, None] + at[None, :]].all(axis=1))
+            start, tries = (int(places[fits[0]]) if len(fits) else None), 256
+        free[start + at], cells[start + at], starts[a] = False, [(a << 16) + r for _, r in row], start
+        end = max(end, start + int(at.max()) + 1)
+    return starts, cells[:end].tolist()
+
+
+@lru_cache(maxsize=2)
+def odd_tokens(path: str) -> list[bytes]:
+    """Tokens that merging their bytes does not lead to; as whole words they are tokens nevertheless."""
+    ranks, odd = load_ranks(path), []
+    for token in ranks:
+        pieces = [token[i : i + 1] for i in range(len(token))]
+        while len(pieces) > 1:
+            best = min(range(len(pieces) - 1), key=lambda i: ranks.get(pieces[i] + pieces[i + 1], NO_RANK))
+            if pieces[best] + pieces[best + 1] not in ranks:
+                odd.append(token)
+                break
+            pieces[best : best + 2] = [pieces[best] + pieces[best + 1]]
+    return odd
+
+
+def left_out(word: Column, path: str) -> Column:
+    """Whether a word is not folded: a long word or an odd token."""
+    out = F.size(word) > FOLD_BYTES
+    for token in odd_tokens(path):
+        out = out | (word == F.array(*[F.lit(b) for b in token]).cast("array<smallint>"))
+    return out
 
 
 def let(value: Column, body) -> Column:
-    """body(value) with value worked out once: a lambda's argument is bound, a repeated expression is not."""
-    return F.get(F.transform(F.array(value), body), 0)
+    """body(value) with value worked out once: what an empty fold ends with is bound, a repeated expression is not."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
 
-def rank_of(piece: Column, path: str) -> Column:
-    """Rank of a piece given as hex, NO_RANK if it has none: a look-up in a literal map split into BUCKETS small maps.
+def literal(numbers: list[int], row: Column, kind: str) -> Column:
+    """A literal array, read from its text once a row: the optimizer would compare a folded one over and over again."""
+    return F.split(F.when(row.isNotNull(), F.lit(",".join(map(str, numbers)))), ",").cast(f"array<{kind}>")
 
-    Spark searches a map from its start, so one map of all ranks would cost a scan of the vocabulary for each look-up.
+
+def merged_words(words: Column, path: str) -> Column:
+    """Ids of each word of an array of byte arrays; null for words that left_out() names.
+
+    A word's pieces are at first its bytes. A piece is one long: rank of its join with the next piece, place, id. So the
+    least piece is the leftmost of least rank, and each step of the fold joins it with the next one and looks two ranks
+    up in the literal rank map. The fold has as many steps as there can be merges.
     """
-    buckets = F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
-    return let(piece, lambda p: F.coalesce(F.try_element_at(F.get(buckets, F.pmod(F.xxhash64(p), F.lit(BUCKETS)).cast("int")), p), F.lit(NO_RANK)))
+    ranks = load_ranks(path)
+    none = F.lit(NO_RANK << 32)
 
+    def with_tables(singles: Column, starts: Column, cells: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            cell = F.get(cells, F.get(starts, a) + b)
+            return F.when(F.shiftright(cell, 16) == a, cell.bitwiseAND(F.lit(0xFFFF).cast("long"))).otherwise(F.lit(NO_RANK).cast("long"))
 
-def merged(word: Column, path: str) -> Column:
-    """Ids of a word: its bytes are pieces at first, and each fold step joins the leftmost neighbours of least joint rank.
+        def piece(a: Column, b: Column, place: Column) -> Column:
+            """place: the piece's place in bits 16 to 31."""
+            return F.shiftleft(rank(a, b), 32).bitwiseOR(place).bitwiseOR(a.cast("long"))
 
-    A piece carries the rank of its join with the next one, so a step looks up two ranks only. The fold runs over as
-    many steps as there can be merges.
-    """
-    start = F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit("(..)"), F.lit(1))
-    none = F.lit(NO_RANK)
+        def id_of(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+        def place_of(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(0xFFFF0000))
 
-    def ranked(pieces: Column) -> Column:
-        return F.zip_with(pieces, F.slice(pieces, 2, F.size(pieces)), lambda p, q: F.struct(p.alias("p"), F.when(q.isNull(), none).otherwise(rank_of(F.concat(p, q), path)).alias("r")))
+        def join_at(s: Column, m: Column, k: Column) -> Column:
+            """s with its k-th piece m (from 1) and the next one joined."""
 
-    def join_at(s: Column, i: Column) -> Column:
-        def with_piece(here: Column) -> Column:
-            after, before = F.get(s, i + 2)["p"], F.get(s, i - 1)["p"]
-            right = F.when(after.isNull(), none).otherwise(rank_of(F.concat(here, after), path))
-            new = F.array(F.struct(here.alias("p"), right.alias("r")))
-            left = F.when(i > 0, F.array(F.struct(before.alias("p"), rank_of(F.concat(before, here), path).alias("r")))).otherwise(F.slice(s, 1, 0))
-            return F.concat(F.slice(s, F.lit(1), F.greatest(i - 1, F.lit(0))), left, new, F.slice(s, i + 3, F.size(s)))
+            def with_id(new: Column) -> Column:
+                here = piece(new, id_of(F.get(s, k + 1)), place_of(m))
+                before = F.get(s, k - 2)
+                return F.when(k == 1, F.concat(F.array(here), F.slice(s, F.lit(3), F.size(s)))).otherwise(
+                    F.concat(F.slice(s, F.lit(1), k - 2), F.array(piece(id_of(before), new, place_of(before)), here), F.slice(s, k + 2, F.size(s)))
+                )
 
-        return let(F.concat(F.get(s, i)["p"], F.get(s, i + 1)["p"]), with_piece)
+            return let(F.shiftright(m, 32).cast("int"), with_id)
 
-    def step(s: Column, _: Column) -> Column:
-        best = F.array_min(F.transform(s, lambda x, i: F.struct(x["r"].alias("r"), i.alias("i"))))
-        return let(best, lambda b: F.when(b["r"] < NO_RANK, join_at(s, b["i"])).otherwise(s))
+        def step(s: Column, _: Column) -> Column:
+            return let(F.array_min(s), lambda m: F.when(m < none, let(F.array_position(s, m).cast("int"), lambda k: join_at(s, m, k))).otherwise(s))
 
-    folded = let(start, lambda pieces: F.aggregate(F.slice(pieces, 2, F.size(pieces)), ranked(pieces), step))
-    return F.transform(folded, lambda x: rank_of(x["p"], path))
+        def fold(word: Column) -> Column:
+            ids = F.transform(word, lambda b: F.get(singles, b.cast("int")))
+            start = let(ids, lambda x: F.transform(x, lambda a, i: piece(a, F.get(x, i + 1), F.shiftleft(i.cast("long"), 16))))
+            return F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, step, lambda s: F.transform(s, id_of))
 
+        return F.transform(words, lambda w: F.when(~left_out(w, path), fold(w)))
 
-def _packs(batches, pattern: str, ranks_path: str, chars: int):
-    """A row for every `chars` characters: their distinct words, and each document as numbers of these words."""
+    starts, cells = pair_table(path)
+    tables = [literal([ranks[bytes([b])] for b in range(256)], words, "int"), literal(starts, words, "int"), literal(cells, words, "bigint")]
+    return let(tables[0], lambda a: let(tables[1], lambda b: let(tables[2], lambda c: with_tables(a, b, c))))
+
+
+def byte_arrays(words: list[bytes]) -> pa.Array:
+    """Words as arrays of their bytes, as Spark takes them."""
+    ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int16)))
+
+
+def _packs(batches, pattern: str, chars: int):
+    """A row for every `chars` characters: the bytes of their distinct words, and each document as numbers of these words."""
     import regex
 
     find = regex.compile(pattern).findall
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    names = ["pack", "words", "doc_ids", "seqs"]
-    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-
-    def fresh():
-        return {}, {}, [], []
 
     def pack(words, ids, seqs):
-        name = f"{stage}-{made}"
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((name, list(words), ids, seqs), kinds, strict=True)], names=names)
+        columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([seqs], pa.list_(pa.binary()))]
+        spelt = byte_arrays([w.encode() for w in words])
+        columns.append(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), spelt))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_ids", "seqs", "words"])
 
-    from pyspark import TaskContext
-
-    stage, made = TaskContext.get().partitionId(), 0
-    (words, parts, ids, seqs), size = fresh(), 0
+    words, ids, seqs, size = {}, [], [], 0
 
     def numbers(part: str) -> bytes:
-        found = [words.setdefault(w, len(words)) for w in find(part)]
-        return np.array(found, dtype="<u4").tobytes()
+        return b"".join([words.setdefault(w, len(words)).to_bytes(4, "little") for w in find(part)])
+
+    class Parts(dict):
+        def __missing__(self, unit: str) -> bytes:
+            self[unit] = out = numbers(" " + unit)
+            return out
 
+    parts = Parts()
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or ""
             if one_blank_apart(text):
-                units = text.split(" ")
-                units[0] = head = "\x00 " + units[0]
-                for u in units:
-                    if u not in parts:
-                        parts[u] = numbers(u[2:] if u is head else " " + u)
-                seq = b"".join([parts[u] for u in units])
+                head, *units = text.split(" ")
+                seqs.append(numbers(head) + b"".join(map(parts.__getitem__, units)))
             else:
-                seq = numbers(text)
+                seqs.append(numbers(text))
             ids.append(doc_id)
-            seqs.append(squeeze(seq))
             size += len(text) + 64
             if size >= chars:
                 yield pack(words, ids, seqs)
-                made += 1
-                (words, parts, ids, seqs), size = fresh(), 0
+                words.clear()
+                parts.clear()
+                ids, seqs, size = [], [], 0
     if ids:
         yield pack(words, ids, seqs)
 
 
+def _whole(words: pa.Array, seqs: list[bytes], ends: pa.Array, blank) -> list:
+    """Each document's words, joined by blank."""
+    taken = words.take(pa.array(np.frombuffer(b"".join(seqs), dtype="<u4").astype(np.int64)))
+    return pc.binary_join(pa.ListArray.from_arrays(ends, taken), blank).to_pylist()
+
+
 def _apply(batches, ranks_path: str):
     import tiktoken
 
-    pieces = {i: b for b, i in load_ranks(ranks_path).items()}
-    core = None
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    ranks = load_ranks(ranks_path)
+    pieces, number = [b""] * (max(ranks.values()) + 1), pa.array([str(i) for i in range(max(ranks.values()) + 1)])
+    for token, i in ranks.items():
+        pieces[i] = token
+    pieces, core = pa.array(pieces, pa.binary()), None
     for batch in batches:
-        for row in batch.to_pylist():
-            n = row["n_words"]
-            text, body, count = [""] * n, [b""] * n, np.zeros(n, dtype=np.int64)
-            for e in row["table"] or []:
-                ids = e["ids"]
-                if ids is None:
-                    core = core or tiktoken.Encoding("ranks", pat_str="(?s).+", mergeable_ranks=load_ranks(ranks_path), special_tokens={})
-                    ids = core.encode_ordinary(e["word"])
-                k = e["at"]
-                text[k], body[k], count[k] = " ".join(map(str, ids)), b"".join([pieces[i] for i in ids]), len(ids)
-            out = [[], [], [], []]
-            expand = zstandard.ZstdDecompressor().decompress
-            for doc_id, seq in zip(row["doc_ids"], row["seqs"], strict=True):
-                at = np.frombuffer(expand(seq), dtype="<u4")
-                order = at.tolist()
-                values = (doc_id, int(count[at].sum()), hashlib.sha256(" ".join([text[i] for i in order]).encode()).hexdigest(), hashlib.sha256(b"".join([body[i] for i in order])).hexdigest())
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=names)
-
-
-def encode_words(words: DataFrame, ranks_path: str, word: str = "word") -> DataFrame:
-    """Distinct words -> (word, ids), by folding in Spark; ids is null for words of over FOLD_BYTES bytes."""
-    long_word = F.length(F.encode(word, "UTF-8")) > FOLD_BYTES
-    return words.select(word, F.when(~long_word, merged(F.col(word), ranks_path)).alias("ids"))
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            rest, table = row.column("rest")[0].as_py(), row.column("ids")[0].values
+            if rest:
+                core = core or tiktoken.Encoding("ranks", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+                encoded = iter([core.encode_ordinary(bytes(w).decode()) for w in rest])
+                table = pa.array([next(encoded) if ids is None else ids for ids in table.to_pylist()], pa.list_(pa.int32()))
+            counts = pc.list_value_length(table).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts, flat = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), table.flatten()
+            text = pc.binary_join(pa.ListArray.from_arrays(starts, number.take(flat)), " ")
+            body = pc.binary_join(pa.ListArray.from_arrays(starts, pieces.take(flat)), b"")
+            doc_ids, seqs, at = row.column("doc_ids")[0].as_py(), row.column("seqs")[0].as_py(), 0
+            while at < len(seqs):
+                to, n = at + 1, len(seqs[at])
+                while to < len(seqs) and n + len(seqs[to]) <= 4 * APPLY_WORDS:
+                    n, to = n + len(seqs[to]), to + 1
+                some = seqs[at:to]
+                ends = np.cumsum([0, *(len(x) // 4 for x in some)]).astype(np.int32)
+                tokens = np.concatenate([[0], np.cumsum(counts[np.frombuffer(b"".join(some), dtype="<u4")])])[ends]
+                ids_sha = [hashlib.sha256(x.encode()).hexdigest() for x in _whole(text, some, pa.array(ends), " ")]
+                body_sha = [hashlib.sha256(x).hexdigest() for x in _whole(body, some, pa.array(ends), b"")]
+                out = [pa.array(doc_ids[at:to], pa.int64()), pa.array(np.diff(tokens).astype(np.int64)), pa.array(ids_sha, pa.string()), pa.array(body_sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at = to
 
 
 def encode_documents(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded without special tokens and decoded.
 
-    Texts are gathered into packs of about PACK_CHARS characters, each with its distinct words. Words are encoded once
-    for the whole corpus, and each pack gets the ids of its own words by a join: neither a vocabulary that grows with
-    the corpus nor any text is broadcast or shuffled. A common word has one row a pack. Null and empty texts have no
-    tokens; repeated rows and null keys keep a row each; other columns are ignored; no rows give no rows.
+    Each task gathers its texts into packs of about PACK_CHARS characters, encodes a pack's distinct words and applies
+    their ids: nothing is shuffled, stored or broadcast, a common word is merged once a pack, and a lost task is run
+    again from its input alone. Null and empty texts have no tokens; repeated rows and null keys keep a row each; other
+    columns are ignored; no rows give no rows.
     """
     arrow_batches(df.sparkSession, 500)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    packs = stored(rows.mapInArrow(partial(_packs, pattern=pattern, ranks_path=ranks_path, chars=PACK_CHARS), "pack string, words array<string>, doc_ids array<long>, seqs array<binary>"), "packs")
-    used = packs.select("pack", F.posexplode("words").alias("at", "word"))
-    known = stored(encode_words(used.select("word").distinct(), ranks_path), "words")
-    tables = used.join(known, "word").groupBy("pack").agg(F.collect_list(F.struct("at", F.when(F.col("ids").isNull(), F.col("word")).alias("word"), "ids")).alias("table"))
-    full = packs.select("pack", F.size("words").alias("n_words"), "doc_ids", "seqs").join(tables, "pack", "left")
-    return full.select("n_words", "doc_ids", "seqs", "table").mapInArrow(partial(_apply, ranks_path=ranks_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    packs = rows.mapInArrow(partial(_packs, pattern=pattern, chars=PACK_CHARS), "doc_ids array<long>, seqs array<binary>, words array<array<smallint>>")
+    rest = F.filter("words", lambda w: left_out(w, ranks_path))
+    encoded = packs.select("doc_ids", "seqs", rest.alias("rest"), merged_words(F.col("words"), ranks_path).alias("ids"))
+    return encoded.mapInArrow(partial(_apply, ranks_path=ranks_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -14,6 +14,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
 from strandwork.llm import bpe, common, embeddings, lines, media, packing, queries, sharding, simhash, tokens, toolcalls, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -24,7 +25,7 @@ def make_texts():
     rng = random.Random(3)
     base = [" ".join(rng.choices(WORDS, k=rng.randint(1, 60))) for _ in range(40)]
     near = [b + " omega" for b in base[:6]]
-    odd = [None, "", " ", "  two  blanks ", "tab\tand\nline\n\n end\n", "it's we'll don't 123 45.6 !!??", "日本語 テスト　全角", "a" * 300, "x y z", "\x1c sep", "<|endoftext|> stays text", "long " * 3000]
+    odd = [None, "", " ", "  two  blanks ", "tab\tand\nline\n\n end\n", "it's we'll don't 123 45.6 !!??", "日本語 テスト　全角", "a" * 300, "x y z", "\x1c sep", "<|endoftext|> stays text", "long " * 3000, "x" * 97 + " end"]
     return base + near + base[:5] + odd
 
 
@@ -79,6 +80,15 @@ def test_bpe_equals_tiktoken(docs, empty):
     assert bpe.encode_documents(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_fold_leads_to_every_token(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    some = [*bpe.odd_tokens(path), *list(ranks)[::25]]
+    words = spark.createDataFrame([([list(w) for w in some],)], "words array<array<smallint>>")
+    got = words.select(bpe.merged_words(F.col("words"), path).alias("ids")).first()["ids"]
+    assert got == [None if w in bpe.odd_tokens(path) else [ranks[w]] for w in some]
+
+
 def test_unit_encoder_equals_tokenizers():
     path = public_tokenizers.path("byte_bpe_50k.json")
     encode, whole = tokens.unit_encoder(path), Tokenizer.from_file(path)
