@@ -195,6 +195,7 @@ def merge_linear(nodes: DataFrame, arcs: DataFrame, k: int) -> tuple[DataFrame,
 def bubbles(nodes: DataFrame, arcs: DataFrame, depth: int, visit_limit: int = 1000) -> DataFrame:
     """(root, meet, path_a, path_b, cov_a, cov_b): pairs of paths from a branching node that meet again within depth.
 
+    A node is expanded at a distance of up to depth, itself included: the branch of a substitution is just k long.
     Level-synchronous search by joins; a root's frontier is limited to visit_limit paths a level, as the search's own
     limit says. The lower-coverage path comes first.
     """
@@ -208,7 +209,7 @@ def bubbles(nodes: DataFrame, arcs: DataFrame, depth: int, visit_limit: int = 10
     for _ in range(depth):
         if level.isEmpty():
             break
-        grown = level.where(F.col("dist") < depth).join(step, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")) & (F.col("dst") != F.col("root")))
+        grown = level.where(F.col("dist") <= depth).join(step, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")) & (F.col("dst") != F.col("root")))
         grown = grown.select("root", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("dist") + F.col("len")).alias("dist"), "cov")
         level = saved(grown.withColumn("_r", rank).where(F.col("_r") <= visit_limit).drop("_r"), "frontier")
         seen.append(level)

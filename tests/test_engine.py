@@ -121,6 +121,20 @@ def test_tips_bubbles_and_merge(spark):
     assert [r.seq for r in clean.collect()] == [canon(g)]
 
 
+@pytest.mark.parametrize("k", [15, 31])
+def test_substitution_bubble_at_depth_k(spark, k):
+    rng = random.Random(11)
+    g = "".join(rng.choices("ACGT", k=200))
+    wrong = g[:100] + ("A" if g[100] != "A" else "C") + g[101:]
+    b = graph.build(spark, as_reads(spark, [g] * 12 + [wrong] * 2), k)
+    branch = b["nodes"].where((F.col("marginal") == k) & (F.col("kmer_cov") == 2 * k)).first().node_id
+    found = graph.saved(graph.bubbles(b["nodes"], b["arcs"], k), "found")
+    assert {abs(r.path_a[0]) for r in found.collect()} == {branch} and found.count() == 2  # from both sides
+    assert [r.node_id for r in graph.bubble_removals(found, 3.0).collect()] == [branch]
+    clean, _ = graph.purify(b["nodes"], b["arcs"], k, 4.0, 100)
+    assert [r.seq for r in clean.collect()] == [canon(g)]
+
+
 def test_correction(spark):
     rng = random.Random(3)
     g = "".join(rng.choices("ACGT", k=200))
