@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from ..functions.seq import poisson_pdf
+from ..functions.seq import log_gamma, poisson_pdf
 
 #: Fixed value: the base whose logarithm the cut-off formula takes.
 NEAR_E = 2.718281
@@ -63,12 +66,32 @@ def thresholds(rounds: DataFrame, cut: float) -> DataFrame:
     return rounds.select("r", (cut * (1 + F.when(r < 6, r / 10).otherwise(1.0))).alias("red_line"), (cut * (0.7 + F.when(r < 4, r / 10).otherwise(1.0))).alias("safe"), (cut * (0.3 + F.when(r < 3, r / 10).otherwise(0.5))).alias("certain"))
 
 
+@F.pandas_udf(DoubleType())
+def _around(starts: pd.Series, log_factorial: pd.Series, mu: pd.Series, multiplicity: pd.Series) -> pd.Series:
+    """Sum of the densities at m - 1, m + 1, m - 2, and so on, until it changes by at most 1e-6 a term and i is 5.
+
+    Where no m - i of at least 1 is left, only m + i goes on. Rows that have settled leave the arrays.
+    """
+    n, lf, mu, m = (x.to_numpy(dtype=np.float64) for x in (starts, log_factorial, mu, multiplicity))
+    total, at = np.zeros(len(n)), np.arange(len(n))
+    density = lambda x: np.exp(n * np.log(x) - x - lf)
+    last, i, minus = density(mu * (m + 1)), np.ones(len(n)), np.ones(len(n), dtype=bool)
+    while len(at):
+        down = minus & (m > i)
+        p = density(mu * np.where(down, m - i, m + i))
+        total[at] += p
+        i, minus = np.where(down, i, i + 1), ~down
+        go = (np.abs(p - last) > 1e-6) | (i < 5)
+        at, n, lf, mu, m, last, i, minus = (x[go] for x in (at, n, lf, mu, m, p, i, minus))
+    return pd.Series(total)
+
+
 def node_multiplicity(nodes: DataFrame, most: int = 200) -> DataFrame:
     """nodes + expected multiplicity: climb from 1 while the Poisson density of the read starts rises; 0 if it is 0 at 1.
 
     The density in m rises up to starts / (mean per marginal x marginal) and falls after, so the climb stops at the
-    floor or the ceiling of that ratio, whichever is denser. confidence is its share of the densities around it,
-    incorrectness the density of what was seen against the peak.
+    floor or the ceiling of that ratio, whichever is denser. confidence is its density over the sum of those
+    around it (infinite where they are nothing), incorrectness the density of what was seen against the peak.
     """
     rate = longest_share(nodes).agg((F.sum("read_start_cov") / F.sum("marginal")).alias("_rate"))
     rows = nodes.crossJoin(rate).withColumn("_mu", F.col("_rate") * F.col("marginal"))
@@ -76,15 +99,18 @@ def node_multiplicity(nodes: DataFrame, most: int = 200) -> DataFrame:
     low = F.greatest(F.floor(F.col("read_start_cov") / F.col("_mu")), F.lit(1)).cast("double")
     rows = rows.withColumn("_low", low).withColumn("_up", at(F.col("_low") + 1) > at(F.col("_low")))
     rows = rows.withColumn("multiplicity", F.when(at(F.lit(1.0)) == 0, 0.0).otherwise(F.col("_low") + F.when(F.col("_up"), 1).otherwise(0)))
-    around = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(0.0), lambda s, i: s + at(F.col("multiplicity") + i) + F.when(F.col("multiplicity") > i, at(F.col("multiplicity") - i)).otherwise(0.0))
+    rows = rows.withColumn("_around", _around(F.col("read_start_cov").cast("double"), log_gamma(F.col("read_start_cov") + 1.0), F.col("_mu"), F.col("multiplicity")))
+    at_m = at(F.col("multiplicity"))
     peak = F.col("_mu") * F.greatest("multiplicity", F.lit(1.0))
-    rows = rows.withColumn("confidence", at(F.col("multiplicity")) / (at(F.col("multiplicity")) + around))
-    return rows.withColumn("incorrectness", poisson_pdf(peak, peak) / poisson_pdf(F.least(F.col("read_start_cov"), peak), peak)).drop("_rate", "_mu", "_low", "_up")
+    rows = rows.withColumn("confidence", F.when(at_m == 0, 0.0).when(F.col("_around") == 0, float("inf")).otherwise(at_m / F.nullif(F.col("_around"), F.lit(0.0))))
+    seen = poisson_pdf(F.least(F.col("read_start_cov"), peak), peak)
+    rows = rows.withColumn("incorrectness", F.when(seen == 0, float("inf")).otherwise(poisson_pdf(peak, peak) / F.nullif(seen, F.lit(0.0))))
+    return rows.drop("_rate", "_mu", "_low", "_up", "_around")
 
 
 def reliable_nodes(nodes: DataFrame, k: int) -> DataFrame:
     """Long branching nodes of sure multiplicity; nodes: marginal, n_right, confidence, incorrectness."""
-    return nodes.where((F.col("marginal") >= k) & (F.col("n_right") >= 2) & (1 / F.col("confidence") <= 0.001) & (1 / F.col("incorrectness") >= 0.001))
+    return nodes.where((F.col("marginal") >= k) & (F.col("n_right") >= 2) & (F.col("confidence") >= 1000) & (F.col("incorrectness") <= 1000))
 
 
 def coverage_histogram(nodes: DataFrame, width: float = 0.1) -> DataFrame:

@@ -226,6 +226,29 @@ def test_multiplicity_climb(spark):
         assert got[i] == m
 
 
+def test_reliable_nodes(spark):
+    """Confidence by the reference's loop, term by term; a node alone in its density is reliable, a repeat is not."""
+    rows = [(i, 1000, 50000, n, 2) for i, n in enumerate([50] * 2 + [100, 150, 400, 5000, 1, 0])] + [(8, 1000, 50000, 50, 1), (9, 20, 1000, 1, 2), (10, 20, 1000, 300, 2), (11, 100000, 5000000, 5000, 2)]
+    nodes = spark.createDataFrame(rows, "node_id long, marginal long, kmer_cov long, read_start_cov long, n_right long")
+    got = {r.node_id: r for r in stats.node_multiplicity(nodes).collect()}
+    for i, marginal, _, starts, _ in rows:
+        mu, m = 0.05 * marginal, got[i].multiplicity
+        p = lambda x: math.exp(starts * math.log(mu * x) - mu * x - math.lgamma(starts + 1))
+        new, total, step, minus = p(m + 1), 0.0, 1, True
+        while True:
+            old = new
+            if minus and m > step:
+                new, minus = p(m - step), False
+            else:
+                new, minus, step = p(m + step), True, step + 1
+            total += new
+            if abs(new - old) <= 1e-6 and step >= 5:
+                break
+        assert got[i].confidence == pytest.approx(0.0 if not m else p(m) / total if total else math.inf, rel=1e-6), i
+    sure = {r.node_id for r in stats.reliable_nodes(stats.node_multiplicity(nodes), 31).collect()}
+    assert {0, 1, 11} <= sure and not sure & {4, 5, 8, 9, 10}
+
+
 SMALL = ["dna_projection", "solid_kmers", "kmer_overlap_mask", "kmer_neighbors", "n50", "coverage_std_top5", "poisson_pdf", "mem_matches", "asof_offset", "concat_offsets", "confusion_metrics", "match_score"]
 
 
