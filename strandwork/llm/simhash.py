@@ -7,7 +7,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, connected_components, stored
@@ -39,14 +39,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
+        values = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], names=["doc_id", "h", "fp"])
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long. Null and blank texts have fingerprint 0."""
+    """(doc_id, h, fp): the fingerprint of each whole text as a signed long, and a hash of the text. Null and blank texts have fingerprint 0."""
     arrow_batches(df.sparkSession)
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 def _half(fp: Column, high: bool) -> Column:
@@ -102,7 +102,7 @@ def near_duplicates(df: DataFrame, max_bits: int = 4, key: str = "doc_id", text:
     doc_id gets its fingerprint's class, and never names one unless all its rows are null; other columns are ignored.
     Only fingerprints that differ meet in the join: equal ones are one value, found by aggregation.
     """
-    docs = stored(fingerprints(df, key, text), "fingerprints")
+    docs = stored(fingerprints(df, key, text).select("doc_id", "fp"), "fingerprints")
     values = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "values")
     classes = values.join(fingerprint_classes(values.select("fp"), max_bits), "fp")
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -111,6 +111,18 @@ def near_duplicates(df: DataFrame, max_bits: int = 4, key: str = "doc_id", text:
 
 
 def keep_one(df: DataFrame, max_bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df whose key is the smallest of its near-duplicate class, all columns kept."""
-    keep = near_duplicates(df, max_bits, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return df.join(keep, F.col(key) == F.col("_keep"), "left_semi")
+    """One row of df of each near-duplicate class, all columns kept: that of the smallest key, a null key being the last.
+
+    A row is known by its key, the hash of its text and its number among those that share both, so a class of null keys
+    keeps a row, a key that stands on texts of other classes stays for its own only, and of repeated rows one stays
+    (that of the least hash of the other columns; maps are not hashed).
+    """
+    docs = stored(fingerprints(df, key, text), "fingerprints")
+    least = docs.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_n"), F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("h").alias("_h"))).alias("r"))
+    classes = fingerprint_classes(stored(docs.select("fp").distinct(), "values"), max_bits)
+    keep = classes.join(least, "fp").groupBy("component").agg(F.min("r").alias("r")).select("r.*")
+    k = F.col(key).cast("long")
+    rows = df.withColumns({"_n": k.isNull(), "_k": F.coalesce(k, F.lit(0)), "_h": F.xxhash64(text)}).join(keep, ["_n", "_k", "_h"], "left_semi")
+    other = [F.col(f"`{c}`") for c, kind in df.dtypes if c not in (key, text) and "map<" not in kind]
+    number = F.row_number().over(Window.partitionBy("_n", "_k", "_h").orderBy(F.xxhash64(*other) if other else F.lit(0)))
+    return rows.withColumn("_at", number).where("_at = 1").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -16,8 +16,9 @@ from sys import intern
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import arrow_batches, stored
 
@@ -164,6 +165,14 @@ def _score(batches, model):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "top", "hits"])
 
 
+def _with_values(batches, model, at):
+    m = model.value
+    for batch in batches:
+        found = _document_values(batch.column(at).to_pylist(), m["v"], m["bias"], m["name"])
+        x = np.array(found, dtype=np.float64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x[:, 0]), pa.array(x[:, 1])], names=[*batch.schema.names, "_top", "_hits"])
+
+
 def _squash(x, coef):
     z = coef[0] + coef[1] * x[:, 0] + coef[2] * np.log1p(x[:, 1])
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -322,6 +331,12 @@ def fit(few: DataFrame) -> Model | None:
 WORDS_A_DOC = 5000
 
 
+def _probability(model: Model, top: str, hits: str) -> Column:
+    a, b, c = (float(x) for x in model.coef)
+    z = F.lit(a) + F.lit(b) * F.col(top) + F.lit(c) * F.log1p(hits)
+    return 1 / (1 + F.exp(-z))
+
+
 def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, predicted) for every row, from the whole text alone.
 
@@ -335,9 +350,7 @@ def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast({"v": model.v, "bias": model.bias, "name": model.name})
     values = rows.mapInArrow(partial(_score, model=shared), "doc_id long, top double, hits double")
-    a, b, c = (float(x) for x in model.coef)
-    z = F.lit(a) + F.lit(b) * F.col("top") + F.lit(c) * F.log1p("hits")
-    p = 1 / (1 + F.exp(-z))
+    p = _probability(model, "top", "hits")
     return values.select("doc_id", p.alias("score"), F.when(p >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
@@ -354,7 +367,12 @@ def train_from_tables(documents: DataFrame, labels: DataFrame, max_docs: int = 4
     return fit(texts.join(few.select("doc_id", F.col("toxic").cast("int").alias("y")), "doc_id").select("t", "y"))
 
 
-def reject_toxic(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df not predicted toxic, all columns kept; rows that repeat a key share their worst prediction."""
-    bad = score(df, model, key, text).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return df.join(bad, F.col(key) == F.col("_bad"), "left_anti")
+def reject_toxic(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of df not predicted toxic, all columns kept; each row is judged by its own text, whatever its key."""
+    if model is None:
+        return df
+    arrow_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast({"v": model.v, "bias": model.bias, "name": model.name})
+    kind = StructType([*df.schema.fields, StructField("_top", DoubleType()), StructField("_hits", DoubleType())])
+    values = df.mapInArrow(partial(_with_values, model=shared, at=df.columns.index(text)), kind)
+    return values.where(_probability(model, "_top", "_hits") < 0.5).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -188,6 +188,21 @@ def test_simhash(docs, empty):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_keeps_a_row_of_each_class(spark):
+    """Null keys, repeated rows and a key on two texts, against brute force over whole rows."""
+    rng = random.Random(12)
+    text = [" ".join(rng.choices(WORDS, k=40)) for _ in range(6)]
+    rows = [(None, text[0], "a"), (None, text[1], "b"), (None, text[1], "a"), (3, text[2], "a"), (3, text[2], "a"), (3, text[2], "b"), (None, text[2], "a"), (4, text[3], "a"), (4, text[4], "a"), (2, text[4], "a"), (None, None, "a"), (9, text[5], None)]
+    got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    want = {}
+    for k, t, _ in rows:
+        fp, at = plain_fingerprint(t), (k is None, k or 0)
+        want[fp] = min(want.get(fp, at), at)
+    assert all((a ^ b).bit_count() > 4 for a in want for b in want if a != b)
+    assert sorted((plain_fingerprint(t), (k is None, k or 0)) for k, t, _ in got) == sorted(want.items())
+    assert set(got) <= set(rows)
+
+
 def test_grid_join_finds_every_link(spark):
     rng = random.Random(9)
     values = set()
@@ -318,6 +333,16 @@ def test_toxicity_tolerates_insertions(spark):
     assert {r.predicted for r in toxicity.score(df, None).collect()} == {0}
 
 
+def test_reject_toxic_judges_each_row(spark):
+    rng = random.Random(1)
+    calm = [" ".join(rng.choices(WORDS, k=30)) for _ in range(40)]
+    rude = [c + " " + rng.choice(["blockhead", "dunderpate"]) for c in calm]
+    model = toxicity.train(spark.createDataFrame([(i, t, int(i >= 40)) for i, t in enumerate(calm + rude)], "doc_id long, text string, toxic int"))
+    rows = [(None, "you blockhead", 1), (None, "alpha beta", 2), (7, "you blockhead", 3), (7, "alpha beta", 4), (7, "alpha beta", 4), (8, None, 5)]
+    kept = toxicity.reject_toxic(spark.createDataFrame(rows, "doc_id long, text string, extra int"), model).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted((r for r in rows if r[1] != "you blockhead"), key=repr)
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(0, x) for x in range(300, 340)] + [(None, 1)]
