@@ -222,9 +222,17 @@ def bubbles(nodes: DataFrame, arcs: DataFrame, depth: int, visit_limit: int = 10
     return a.join(b, ["root", "at"]).where("(cov_a < cov_b) or (cov_a = cov_b and ca < cb)").select("root", F.col("at").alias("meet"), "path_a", "path_b", "cov_a", "cov_b")
 
 
-def bubble_removals(found: DataFrame, cutoff: float) -> DataFrame:
-    """node_ids to remove: the first node of a bubble's lower-coverage branch, if its coverage is under the cut-off."""
-    return found.where((F.col("cov_a") < cutoff) & (F.size("path_a") > 1)).select(F.abs(F.col("path_a")[0]).alias("node_id")).distinct()
+def bubble_removals(found: DataFrame, cutoff: float, nodes: DataFrame | None = None) -> DataFrame:
+    """node_ids to remove: the first node of a bubble's lower-coverage branch, if its coverage is under the cut-off.
+
+    With nodes, also the last node of such a branch before the meeting one, if its own coverage is under it.
+    """
+    lost = found.where((F.col("cov_a") < cutoff) & (F.size("path_a") > 1))
+    first = lost.select(F.abs(F.col("path_a")[0]).alias("node_id"))
+    if nodes is None:
+        return first.distinct()
+    low = nodes.where(F.col("kmer_cov") / F.col("marginal") < cutoff).select("node_id")
+    return first.union(lost.select(F.abs(F.element_at("path_a", -2)).alias("node_id")).join(low, "node_id", "left_semi")).distinct()
 
 
 def graph_fasta(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -245,20 +253,34 @@ def sanity(nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
 
 
 def purify(nodes: DataFrame, arcs: DataFrame, k: int, cutoff: float, read_length: int, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Rounds of tip clipping, bubble removal and linear merges under rising thresholds, until a round removes nothing."""
+    """Rounds of tip clipping, bubble removal and linear merges under rising thresholds, until a round removes nothing.
+
+    Bubbles are sought at depth k, then at depths that grow by the read length up to round x read_length (at most
+    max_delete), as long as the last search removed some. Unreliable nodes are not deleted yet. Rounds that do not
+    settle raise.
+    """
     max_delete, red = 4 * read_length, 0.0
+
+    def without(gone):
+        gone = saved(gone, "gone")
+        n = gone.count()
+        if not n:
+            return nodes, arcs, 0
+        kept = remove_nodes(nodes, arcs, gone)
+        merged = merge_linear(saved(kept[0], "nodes"), saved(kept[1], "arcs"), k)
+        return saved(merged[0], "nodes"), saved(merged[1], "arcs"), n
+
     for r in range(1, max_rounds + 1):
         red = max(red, cutoff * (1 + (r / 10 if r < 6 else 1)))
         safe = cutoff * (0.7 + (r / 10 if r < 4 else 1))
-        changed = 0
-        for rule in ("tips", "bubbles"):
-            gone = saved(clip_tips(nodes, arcs, safe, red, max_delete) if rule == "tips" else bubble_removals(bubbles(nodes, arcs, k), red), "gone")
-            n = gone.count()
-            changed += n
-            if n:
-                nodes, arcs = remove_nodes(nodes, arcs, gone)
-                nodes, arcs = merge_linear(saved(nodes, "nodes"), saved(arcs, "arcs"), k)
-                nodes, arcs = saved(nodes, "nodes"), saved(arcs, "arcs")
+        nodes, arcs, changed = without(clip_tips(nodes, arcs, safe, red, max_delete))
+        nodes, arcs, n = without(bubble_removals(bubbles(nodes, arcs, k), red, nodes))
+        changed += n
+        depth, going = k, True
+        while going and depth < min(r * read_length, max_delete):
+            depth += read_length
+            nodes, arcs, n = without(bubble_removals(bubbles(nodes, arcs, depth), red, nodes))
+            changed, going = changed + n, n > 0
         if not changed:
-            break
-    return nodes, arcs
+            return nodes, arcs
+    raise RuntimeError(f"purification did not settle in {max_rounds} rounds")

@@ -309,7 +309,7 @@ def bubbles(spark, sf_dir):
 @query()
 def bubble_removals(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return G.bubble_removals(G.bubbles(g["nodes"], g["arcs"], K31), 3.0)
+    return G.bubble_removals(G.bubbles(g["nodes"], g["arcs"], K31), 3.0, g["nodes"])
 
 
 @query()

@@ -135,6 +135,27 @@ def test_substitution_bubble_at_depth_k(spark, k):
     assert [r.seq for r in clean.collect()] == [canon(g)]
 
 
+def test_purify_reaches_long_branches(spark):
+    """Two substitutions ten letters apart make a branch of k + 10, which a search of depth k does not cross."""
+    k, nodes = 15, [(1, 86, 1032), (2, 25, 300), (3, 25, 50), (4, 74, 888)]
+    rng = random.Random(11)
+    g = "".join(rng.choices("ACGT", k=199))
+    swap = lambda s, i: s[:i] + ("A" if s[i] != "A" else "C") + s[i + 1 :]
+    wrong = swap(swap(g, 100), 110)
+    seqs = {1: g[:100], 2: g[86:124 + 1], 3: wrong[86:124 + 1], 4: g[111:]}
+    n = spark.createDataFrame([(i, seqs[i], c, 0, len(seqs[i]) - k + 1) for i, _, c in nodes], "node_id long, seq string, kmer_cov long, read_start_cov long, marginal long")
+    a = [(1, 2), (1, 3), (2, 4), (3, 4)]
+    arcs = spark.createDataFrame([(x, y, 5) for x, y in a] + [(-y, -x, 5) for x, y in a], "src long, dst long, cov long")
+    assert set(graph.sanity(n, arcs, k).first()) == {0} and graph.bubbles(n, arcs, k).count() == 0
+    clean, _ = graph.purify(n, arcs, k, 4.0, 100)
+    assert [r.seq for r in clean.collect()] == [canon(g)]
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.purify(n, arcs, k, 4.0, 100, max_rounds=1)
+    chain = spark.createDataFrame([(1, 4, [2, 3, 4], [5, 4], 2.0, 9.0)], "root long, meet long, path_a array<long>, path_b array<long>, cov_a double, cov_b double")
+    low = spark.createDataFrame([(2, 10, 20), (3, 10, 20), (4, 10, 90)], "node_id long, marginal long, kmer_cov long")
+    assert {r.node_id for r in graph.bubble_removals(chain, 3.0, low).collect()} == {2, 3}
+
+
 def test_correction(spark):
     rng = random.Random(3)
     g = "".join(rng.choices("ACGT", k=200))
