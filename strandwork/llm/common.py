@@ -13,9 +13,11 @@ ARROW_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own in local mode where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="strandwork-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -61,6 +63,34 @@ def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """name, or with underscores after it until no column of `taken` has it (in any case, as Spark compares names)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+class Recent:
+    """What a task has worked out lately: at most about twice `size` entries, those in use kept; made in a task and gone with it."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.before = size, {}, {}
+
+    def unknown(self, keys) -> list:
+        """Keys not held; those held from before come along."""
+        if len(self.now) > self.size:
+            self.now, self.before = {}, self.now
+        now, before, out = self.now, self.before, []
+        for k in keys:
+            if k not in now:
+                if k in before:
+                    now[k] = before[k]
+                else:
+                    out.append(k)
+        return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,27 +35,27 @@ def boilerplate_lines(lines: DataFrame, sites: int = 10) -> DataFrame:
     return sure.select("h1", "h2", F.col("n").alias("n_sites"), "keep_id", "keep_at").union(kept)
 
 
-def remove_boilerplate(df: DataFrame, sites: int = 10, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """df's columns with the text less its boilerplate lines, plus n_lines and n_removed.
+def remove_boilerplate(df: DataFrame, sites: int = 10, key: str = "doc_id", text: str = "text", site: str = "source", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """df's columns with the text less its boilerplate lines, plus two counts: lines, and lines removed.
 
     A line is what stands between line feeds; lines of white space only are never boilerplate. A boilerplate line stays
     at its first place (smallest key, then position), so a passage that many documents share survives once, and is
     removed elsewhere. A null site is no site. A null text stays null with no lines; a null key sorts first; rows that
-    repeat key and text are treated alike; extra columns pass through.
+    repeat key and text are treated alike; extra columns of any name pass through, only one that bears the name of a
+    count is replaced by it; no rows give no rows.
     """
-    columns = df.columns
-    docs = df.withColumn("_k", F.col(key).cast("long")).withColumn("_h", F.xxhash64(text))
-    split = F.split(F.col(text), "\n")
-    lines = docs.select(F.col("_k").alias("doc_id"), "_h", F.col(site).cast("string").alias("site"), F.posexplode(split).alias("at", "line"))
-    lines = stored(lines.where(F.length(F.trim("line")) > 0).select("doc_id", "_h", "site", "at", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")), "lines")
+    rows = df.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"), F.col(site).cast("string").alias("site"))
+    split = F.split("t", "\n")
+    lines = rows.select(F.col("k").alias("doc_id"), "h", "site", F.posexplode(split).alias("at", "line"))
+    lines = stored(lines.where(F.length(F.trim("line")) > 0).select("doc_id", "h", "site", "at", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")), "lines")
     bad = stored(boilerplate_lines(lines, sites), "boilerplate")
     here = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("at") == F.col("keep_at"))
-    cut = lines.join(bad, ["h1", "h2"]).where(~here).groupBy("doc_id", "_h").agg(F.sort_array(F.collect_set("at")).alias("_cut"))
-    cut = cut.select(F.col("doc_id").alias("_ck"), F.col("_h").alias("_ch"), "_cut")
-    joined = docs.join(cut, F.col("_k").eqNullSafe(F.col("_ck")) & (F.col("_h") == F.col("_ch")), "left")
-    edges = F.concat(F.array(F.lit(-1)), F.col("_cut"), F.array(F.size(split)))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_cut")), lambda i: F.slice(split, F.get(edges, i) + 2, F.get(edges, i + 1) - F.get(edges, i) - 1)))
-    new = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    total, gone = F.coalesce(F.size(split), F.lit(0)), F.coalesce(F.size("_cut"), F.lit(0))
-    extra = [F.when(F.col(text).isNull(), F.lit(0)).otherwise(total).alias("n_lines"), F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(gone).alias("n_removed")]
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in columns], *extra)
+    cut = lines.join(bad, ["h1", "h2"]).where(~here).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("at")).alias("cut"))
+    cut = cut.select(F.col("doc_id").alias("ck"), F.col("h").alias("ch"), "cut")
+    joined = rows.join(cut, F.col("k").eqNullSafe(F.col("ck")) & (F.col("h") == F.col("ch")), "left")
+    edges = F.concat(F.array(F.lit(-1)), F.col("cut"), F.array(F.size(split)))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("cut")), lambda i: F.slice(split, F.get(edges, i) + 2, F.get(edges, i + 1) - F.get(edges, i) - 1)))
+    new = F.when(F.col("cut").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n"))
+    total = F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.size(split)).alias(counts[0])
+    gone = F.when(F.col("cut").isNull(), F.lit(0)).otherwise(F.size("cut")).alias(counts[1])
+    return joined.select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns if c not in counts], total, gone)

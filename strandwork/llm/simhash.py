@@ -115,14 +115,17 @@ def keep_one(df: DataFrame, max_bits: int = 4, key: str = "doc_id", text: str =
 
     A row is known by its key, the hash of its text and its number among those that share both, so a class of null keys
     keeps a row, a key that stands on texts of other classes stays for its own only, and of repeated rows one stays
-    (that of the least hash of the other columns; maps are not hashed).
+    (that of the least hash of the other columns; maps are not hashed). Null and blank texts have fingerprint 0 and are
+    one class; extra columns of any name pass through; no rows give no rows.
     """
     docs = stored(fingerprints(df, key, text), "fingerprints")
-    least = docs.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_n"), F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("h").alias("_h"))).alias("r"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("h"))
+    least = docs.groupBy("fp").agg(F.min(place).alias("r"))
     classes = fingerprint_classes(stored(docs.select("fp").distinct(), "values"), max_bits)
     keep = classes.join(least, "fp").groupBy("component").agg(F.min("r").alias("r")).select("r.*")
     k = F.col(key).cast("long")
-    rows = df.withColumns({"_n": k.isNull(), "_k": F.coalesce(k, F.lit(0)), "_h": F.xxhash64(text)}).join(keep, ["_n", "_k", "_h"], "left_semi")
     other = [F.col(f"`{c}`") for c, kind in df.dtypes if c not in (key, text) and "map<" not in kind]
-    number = F.row_number().over(Window.partitionBy("_n", "_k", "_h").orderBy(F.xxhash64(*other) if other else F.lit(0)))
-    return rows.withColumn("_at", number).where("_at = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.struct("*").alias("row"), k.isNull().alias("n"), F.coalesce(k, F.lit(0)).alias("k"), F.xxhash64(text).alias("h"), (F.xxhash64(*other) if other else F.lit(0)).alias("o"))
+    rows = rows.join(keep, ["n", "k", "h"], "left_semi")
+    number = F.row_number().over(Window.partitionBy("n", "k", "h").orderBy("o"))
+    return rows.withColumn("at", number).where("at = 1").select(*[F.col("row").getField(c).alias(c) for c in df.columns])

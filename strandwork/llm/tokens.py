@@ -8,9 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import Recent
+
 #: White space other than blank, tab and line ends.
 RARE_SPACE = re.compile("[\\x0b\\x0c\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-MEMORY = 900_000
+#: Parts held at a time, half of them those in use of late.
+MEMORY = 120_000
 
 
 def byte_signs() -> dict[str, int]:
@@ -25,9 +28,23 @@ def one_blank_apart(text: str) -> bool:
     return not ("  " in text or "\n " in text or "\t " in text or "\r " in text or text[:1] == " " or text[-1:] == " " or RARE_SPACE.search(text))
 
 
+@lru_cache(maxsize=2)
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[str, ...]:
+    """What the file's added tokens stand for: the library takes them for tokens wherever a text holds them."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens") or [] if t["content"])
+
+
 @lru_cache(maxsize=2)
 def _encode_whole(path: str):
-    """text -> list of ids. Where the merges stand in the order of their ids, as in the public files, ranks say the same
+    """text -> list of ids, for texts without added tokens. Where the merges stand in the order of their ids, as in the public files, ranks say the same
     as merges and tiktoken's core does the work; otherwise the tokenizers library itself."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
@@ -42,39 +59,33 @@ def _encode_whole(path: str):
         ranks = {bytes(signs[c] for c in t): i for t, i in vocab.items() if i in whole}
         if len(ranks) == len(made) + 256:
             return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-
-
-_memory: dict[str, dict[str, bytes]] = {}
+    return lambda text: library(path).encode(text, add_special_tokens=False).ids
 
 
 def unit_encoder(path: str):
-    """text -> ids as little-endian 32-bit bytes, equal to encoding the whole text at once.
+    """text -> ids as little-endian 32-bit bytes, equal to encoding the whole text at once with the library's own settings.
 
-    Parts that this worker has met are looked up. The memory is emptied when it holds MEMORY parts, which bounds the
-    worker's size and changes no result.
+    Parts that this encoder has met lately are looked up (about 2 x MEMORY at most; make one a task). A text that holds
+    the content of one of the file's added tokens goes to the library as it is.
     """
-    whole = _encode_whole(path)
-    memory = _memory.setdefault(path, {})
+    whole, added = _encode_whole(path), added_tokens(path)
+    memory = Recent(MEMORY)
     pack = lambda s: np.array(whole(s), dtype="<u4").tobytes()
 
     def encode(text: str) -> bytes:
+        if any(t in text for t in added):
+            return np.array(library(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if not one_blank_apart(text):
             return pack(text)
         parts = text.split(" ")
         parts[0] = head = "\x00 " + parts[0]
         try:
-            return b"".join([memory[u] for u in parts])
+            held = memory.now
+            return b"".join([held[u] for u in parts])
         except KeyError:
-            if len(memory) > MEMORY:
-                memory.clear()
-            for u in parts:
-                if u not in memory:
-                    memory[u] = pack(u[2:] if u is head else " " + u)
-            return b"".join([memory[u] for u in parts])
+            new = memory.unknown(dict.fromkeys(parts))
+            held = memory.now
+            held.update([(u, pack(u[2:] if u is head else " " + u)) for u in new])
+            return b"".join([held[u] for u in parts])
 
     return encode

@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_batches, stored
+from .common import Recent, arrow_batches, fresh, stored
 
 DECAY, SPAN, BITS, SURE = 0.6, 6, 16, 0.4
-MEMORY = 700_000
+#: Words whose values a task holds, half of them those in use of late.
+MEMORY = 150_000
 #: Words scored at a time: bounds the arrays of their subsequences.
 SCORED = 5000
 SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
@@ -131,46 +132,38 @@ def score_words(words: list[str], v: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-_memory: dict[str, dict[str, float]] = {}
-
-
-def _document_values(texts, v, bias, name):
-    """Of each text the highest decision value and the number of words above SURE; words met before are looked up."""
-    memory = _memory.setdefault(name, {})
-    if len(_memory) > 1:
-        for other in [k for k in _memory if k != name]:
-            del _memory[other]
-    if len(memory) > MEMORY:
-        memory.clear()
+def _document_values(texts, v, bias, memory: Recent):
+    """Of each text the highest decision value and the number of words above SURE; words met of late are looked up."""
     split = [tokens(t) for t in texts]
-    new = list({w for ws in split for w in ws if w not in memory})
+    new = memory.unknown({w for ws in split for w in ws})
     bare = {w: plain(w) for w in new}
-    words = list({p for p in bare.values() if p not in memory})
+    words, value = list(dict.fromkeys(bare.values())), {}
     for i in range(0, len(words), SCORED):
         part = words[i : i + SCORED]
-        memory.update(zip(part, score_words(part, v, bias).tolist(), strict=True))
-    memory.update([(w, memory[p]) for w, p in bare.items()])
+        value.update(zip(part, score_words(part, v, bias).tolist(), strict=True))
+    known = memory.now
+    known.update([(w, value[p]) for w, p in bare.items()])
     out = []
     for ws in split:
-        values = [memory[w] for w in ws]
+        values = [known[w] for w in ws]
         out.append((max(values, default=-2.0), sum([x > SURE for x in values])))
     return out
 
 
 def _score(batches, model):
-    m = model.value
+    m, memory = model.value, Recent(MEMORY)
     for batch in batches:
-        found = _document_values(batch.column(1).to_pylist(), m["v"], m["bias"], m["name"])
+        found = _document_values(batch.column(1).to_pylist(), m["v"], m["bias"], memory)
         x = np.array(found, dtype=np.float64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "top", "hits"])
 
 
-def _with_values(batches, model, at):
-    m = model.value
+def _with_values(batches, model, at, names):
+    m, memory = model.value, Recent(MEMORY)
     for batch in batches:
-        found = _document_values(batch.column(at).to_pylist(), m["v"], m["bias"], m["name"])
+        found = _document_values(batch.column(at).to_pylist(), m["v"], m["bias"], memory)
         x = np.array(found, dtype=np.float64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x[:, 0]), pa.array(x[:, 1])], names=[*batch.schema.names, "_top", "_hits"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x[:, 0]), pa.array(x[:, 1])], names=[*batch.schema.names, *names])
 
 
 def _squash(x, coef):
@@ -245,7 +238,7 @@ def learn_words(toxic_docs: list[set[str]], clean_docs: list[set[str]], landmark
     for s in cover(toxic_docs, clean_docs, least):
         for w in s:
             count[w] = count.get(w, 0) + 1
-    positives = sorted((w for w in count if w not in good or good[w] * 20 < count[w]), key=lambda w: (-count[w], w))[:3000]
+    positives = sorted((w for w in count if w not in good or good[w] * 20 < count[w]), key=lambda w: (-count[w], w))
     pool = sorted(good)
     if not positives or not pool:
         return None
@@ -288,23 +281,24 @@ def learn_words(toxic_docs: list[set[str]], clean_docs: list[set[str]], landmark
 
 
 class Model:
-    def __init__(self, v, bias, coef, name):
-        self.v, self.bias, self.coef, self.name = v, bias, coef, name
+    def __init__(self, v, bias, coef):
+        self.v, self.bias, self.coef = v, bias, coef
 
 
 def train(labelled: DataFrame, max_docs: int = 4000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """Fit on at most max_docs labelled rows (null labels and texts are left out), those of least hash of the key.
 
-    Distinct words only reach the driver, at most WORDS_A_DOC of one text, hence no more than max_docs times that.
-    None if a class is missing.
+    max_docs is the documented bound of the sample: of each chosen row the distinct words of its whole text reach the
+    driver. Rows that repeat a key count each; ties in the hash are settled by key, text and label, so the choice is the
+    same from run to run. None if a class is missing.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    return fit(rows.select("k", "t", "y").orderBy(F.xxhash64("k"), "k").limit(max_docs))
+    return fit(rows.orderBy(F.xxhash64("k"), "k", F.xxhash64("t"), "y").limit(max_docs))
 
 
 def fit(few: DataFrame) -> Model | None:
-    """Fit on all rows (t, y) of a bounded sample. Their distinct words come as Arrow batches, one string a text."""
-    words = F.array_join(F.slice(F.array_distinct(F.split(F.lower("t"), r"\s+")), 1, WORDS_A_DOC), " ")
+    """Fit on all rows (t, y) of a bounded sample. The distinct words of each whole text come as Arrow batches, one string a text."""
+    words = F.array_join(F.array_distinct(F.split(F.lower("t"), r"\s+")), " ")
     arrow_batches(few.sparkSession, 200)
     batches = few.select("y", words.alias("w")).toArrow().to_batches()
     sides = {0: [], 1: []}
@@ -319,18 +313,12 @@ def fit(few: DataFrame) -> Model | None:
     if found is None:
         return None
     v, bias = found
-    name = f"{hash((bias, float(v.sum())))}"
-    model = Model(v, bias, np.array([0.0, 1.0, 0.0]), name)
-    x = np.array([y for d in sides[0] + sides[1] for y in _document_values([" ".join(sorted(d))], v, bias, name)])
-    _memory.clear()
+    model, memory = Model(v, bias, np.array([0.0, 1.0, 0.0])), Recent(MEMORY)
+    x = np.array([y for d in sides[0] + sides[1] for y in _document_values([" ".join(sorted(d))], v, bias, memory)])
     model.coef = np.round(fit_logistic(x, np.array([0.0] * len(sides[0]) + [1.0] * len(sides[1]))), 6)  # rows come in any order
     return model
 
 
-#: Of a training text so many distinct words are used; scoring reads whole texts.
-WORDS_A_DOC = 5000
-
-
 def _probability(model: Model, top: str, hits: str) -> Column:
     a, b, c = (float(x) for x in model.coef)
     z = F.lit(a) + F.lit(b) * F.col(top) + F.lit(c) * F.log1p(hits)
@@ -348,31 +336,41 @@ def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     arrow_batches(spark)
-    shared = spark.sparkContext.broadcast({"v": model.v, "bias": model.bias, "name": model.name})
+    shared = spark.sparkContext.broadcast({"v": model.v, "bias": model.bias})
     values = rows.mapInArrow(partial(_score, model=shared), "doc_id long, top double, hits double")
     p = _probability(model, "top", "hits")
     return values.select("doc_id", p.alias("score"), F.when(p >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def held_out(key) -> object:
-    """Rows whose crc32 of the key as text leaves 0 modulo 5: never trained on."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """Rows whose crc32 of the key as text leaves 0 modulo 5: never trained on. A null key is held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def train_from_tables(documents: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Model | None:
-    """Labels come from rows that are not held out."""
-    labelled = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    """Fit on at most max_docs labelled documents whose row is not held out.
+
+    Of the labels that one doc_id has, the greatest counts; of the texts that one doc_id has, that of the least hash; null
+    keys, labels and texts are left out. So the sample is the same from run to run and never over max_docs rows.
+    """
+    labelled = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     few = stored(labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs), "labelled")
-    texts = documents.where("text is not null").select("doc_id", F.col("text").alias("t"))
-    return fit(texts.join(few.select("doc_id", F.col("toxic").cast("int").alias("y")), "doc_id").select("t", "y"))
+    texts = documents.where("text is not null").select("doc_id", F.col("text").alias("t")).join(few.select("doc_id"), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    return fit(texts.join(few, "doc_id").select("t", "y"))
 
 
 def reject_toxic(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows of df not predicted toxic, all columns kept; each row is judged by its own text, whatever its key."""
+    """The rows of df not predicted toxic, all columns kept; each row is judged by its own text, whatever its key.
+
+    Null keys and repeated rows are judged like any other; a null or empty text holds no insult; extra columns of any
+    name pass through; no rows give no rows; without a model all rows stay.
+    """
     if model is None:
         return df
     arrow_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast({"v": model.v, "bias": model.bias, "name": model.name})
-    kind = StructType([*df.schema.fields, StructField("_top", DoubleType()), StructField("_hits", DoubleType())])
-    values = df.mapInArrow(partial(_with_values, model=shared, at=df.columns.index(text)), kind)
-    return values.where(_probability(model, "_top", "_hits") < 0.5).select(*[F.col(f"`{c}`") for c in df.columns])
+    shared = df.sparkSession.sparkContext.broadcast({"v": model.v, "bias": model.bias})
+    top, hits = fresh(df.columns, "top"), fresh(df.columns, "hits")
+    kind = StructType([*df.schema.fields, StructField(top, DoubleType()), StructField(hits, DoubleType())])
+    values = df.mapInArrow(partial(_with_values, model=shared, at=df.columns.index(text), names=(top, hits)), kind)
+    return values.where(_probability(model, top, hits) < 0.5).select(*[F.col(f"`{c}`") for c in df.columns])
