@@ -80,12 +80,13 @@ def near_duplicate_vectors(df: DataFrame, least: float = 0.93, tables: int = TAB
     With the defaults a pair just at 0.93 meets with probability 1 - (1 - p^10)^96 (over 0.9999), p = collision_probability(0.93);
     a nearer pair is surer. Vectors that are null, empty, zero or hold a null or non-finite component, and those of a
     null label, link with nothing and are their own component. Vectors of different lengths never link. Repeated ids
-    are one node; other columns are ignored; no rows give no rows.
+    are one node, that of the least label and then unit vector (in bytes), and keep a row each; a null id links with
+    nothing and has no component; other columns are ignored; no rows give no rows.
     """
     spark = df.sparkSession
     arrow_batches(spark)
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).cast("string").alias("label"))
-    unit = stored(rows.where("vec_id is not null").mapInArrow(_unit, "vec_id long, label string, unit binary").dropDuplicates(["vec_id"]), "unit")
+    unit = stored(rows.where("vec_id is not null").mapInArrow(_unit, "vec_id long, label string, unit binary").groupBy("vec_id").agg(F.min(F.struct("label", "unit")).alias("u")).select("vec_id", "u.*"), "unit")
     reps = stored(unit.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
     members = stored(unit.join(reps, ["label", "unit"]).select("vec_id", "rep", F.col("n").alias("own")), "members")
     hashed = reps.select("rep", "unit").mapInArrow(partial(_buckets, tables=tables, per_table=per_table, width=width, seed=SEED), "rep long, bucket long")

@@ -64,7 +64,7 @@ def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.calls_from_conversations(table(spark, sf_dir, "conversations"))
     linked = toolcalls.link_tool_calls(calls, results, toolcalls.SCHEMAS)
-    return linked.select("conv_id", "call_id", "name", F.col("level").cast("long").alias("level"), "n_results", "valid", "errors", "canonical", "result_position")
+    return linked.select("conv_id", "call_id", "name", F.col("level").cast("long").alias("level"), "place", "n_results", "valid", "errors", "canonical", "result_position")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_png_media, op2_byte_bpe, op3_warc_index, op4_line_spread, op5_embedding_lsh, op6_toxicity, op7_simhash_grid, op8_best_fit, op9_hash_tree, op10_tool_calls, pipeline)}
 
 _BASE32 = " || ".join(f"substr('{warc.BASE32}', 1 + ((g{i} >> {s}) & 31)::int, 1)" for i in range(8) for s in (15, 10, 5, 0))
-_LINES = "select doc_id, source, at, line from (select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as at from documents)"
+_LINES = "select doc_id, source, pos, line from (select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)"
 
 
 def _draw(node: str, weight: float) -> str:
@@ -107,9 +107,9 @@ ORACLES = {
     "op3_warc_index": None,
     "op4_line_spread": f"""
 with l as ({_LINES}),
-spread as (select line, first(doc_id order by doc_id, at) as keep_id, first(at order by doc_id, at) as keep_at from l where length(trim(line)) > 0 group by line having count(distinct source) >= {SITES}),
-m as (select l.doc_id, l.at, l.line, s.line is not null and not (l.doc_id = s.keep_id and l.at = s.keep_at) as gone from l left join spread s on l.line = s.line),
-t as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, coalesce(string_agg(line, chr(10) order by at) filter (where not gone), '') as kept from m group by doc_id)
+spread as (select line, first(doc_id order by doc_id, pos) as keep_id, first(pos order by doc_id, pos) as keep_at from l where length(trim(line)) > 0 group by line having count(distinct source) >= {SITES}),
+m as (select l.doc_id, l.pos, l.line, s.line is not null and not (l.doc_id = s.keep_id and l.pos = s.keep_at) as gone from l left join spread s on l.line = s.line),
+t as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as kept from m group by doc_id)
 select doc_id, n_lines, n_removed, length(kept) as n_chars_kept, md5(kept) as text_md5 from t""",
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
@@ -19,49 +19,77 @@ def calls_from_conversations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A conversation seen as tool use: (calls, results).
 
     A user turn calls `reply` with {prompt, turn}, a system turn calls `configure` with {instructions}; the assistant
-    turn right after a call is its result. A call waits for the call right before it: the turn before, or, if an
-    assistant spoke there, the one before that. Neighbours are found by joins on (conversation, turn), so a
-    conversation of any length is no single group. Rows without conv_id, turn or a known role are left out.
+    turn right after calls is the result of each. A call waits for the calls right before it: those of the turn before, or,
+    if only an assistant spoke there, of the one before that. Neighbours are found by joins on (conversation, turn), so a
+    conversation of any length is no single group. Rows of one conversation, turn and role are one, that of the least
+    text; roles that share a turn count each (a call is named conversation:turn, and conversation:turn:system beside a
+    user's). A null text is empty. Rows without conv_id, turn or a known role are left out; other columns are ignored.
     """
-    rows = df.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
-    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
-    heads = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"))
-    near = rows.join(heads, ["conv_id", "turn"], "left")
-    two = rows.where("role in ('user', 'system')").select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("two"))
-    asked = near.where("role in ('user', 'system')").join(two, ["conv_id", "turn"], "left")
-    waits = F.when(F.col("before").isin("user", "system"), name(F.col("turn") - 1)).when((F.col("before") == "assistant") & F.col("two"), name(F.col("turn") - 2))
-    user = F.col("role") == "user"
-    arguments = F.when(user, F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt")))).otherwise(F.to_json(F.struct(F.col("text").alias("instructions"))))
-    calls = asked.select("conv_id", name(F.col("turn")).alias("call_id"), F.when(user, "reply").otherwise("configure").alias("name"), arguments.alias("arguments"), F.array_compact(F.array(waits)).alias("waits_for"), F.col("turn").alias("position"))
-    results = near.where("role = 'assistant' and before in ('user', 'system')").select("conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"), F.col("turn").alias("position"))
-    return calls, results
+    rows = df.where("conv_id is not null and turn is not null and role in ('user', 'system', 'assistant')").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    says = {r: F.min(F.when(F.col("role") == r, F.col("text"))).alias(r) for r in ("user", "system", "assistant")}
+    turns = rows.groupBy("conv_id", "turn").agg(*says.values())
+
+    def names(turn: Column, user: Column, system: Column) -> Column:
+        name = F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+        return F.array_compact(F.array(F.when(user, name), F.when(system & user, F.concat(name, F.lit(":system"))).when(system, name)))
+
+    there = {r: F.coalesce(F.col(r).isNotNull(), F.lit(False)) for r in says}
+    marks = turns.select("conv_id", "turn", *[there[r].alias(r) for r in says])
+    back = lambda k: marks.select("conv_id", (F.col("turn") + k).alias("turn"), *[F.col(r).alias(f"{r}{k}") for r in says])
+    was = lambda r, k: F.coalesce(F.col(f"{r}{k}"), F.lit(False))
+    near = turns.join(back(1), ["conv_id", "turn"], "left").withColumn("calls1", names(F.col("turn") - 1, was("user", 1), was("system", 1)))
+    results = near.where((F.size("calls1") > 0) & there["assistant"]).select("conv_id", F.explode("calls1").alias("call_id"), F.col("assistant").alias("content"), F.col("turn").alias("position"))
+    asked = near.where(there["user"] | there["system"]).join(back(2), ["conv_id", "turn"], "left")
+    waits = F.when(F.size("calls1") > 0, F.col("calls1")).when(was("assistant", 1), names(F.col("turn") - 2, was("user", 2), was("system", 2))).otherwise(F.array().cast("array<string>"))
+    own = names(F.col("turn"), there["user"], there["system"])
+    reply = F.when(there["user"], F.struct(F.lit("reply").alias("name"), F.to_json(F.struct(F.col("turn"), F.col("user").alias("prompt"))).alias("arguments")))
+    configure = F.when(there["system"], F.struct(F.lit("configure").alias("name"), F.to_json(F.struct(F.col("system").alias("instructions"))).alias("arguments")))
+    calls = asked.select("conv_id", waits.alias("waits_for"), F.col("turn").alias("position"), F.explode(F.arrays_zip(own.alias("call_id"), F.array_compact(F.array(reply, configure)).alias("c"))).alias("x"))
+    return calls.select("conv_id", F.col("x.call_id").alias("call_id"), "x.c.name", "x.c.arguments", "waits_for", "position"), results
+
+
+def _object_errors(value: Column, schema: dict, within: str, path: str) -> Column:
+    """Array of what is wrong with the fields of a variant object, deeper objects included; fields are named by their path."""
+    keys = F.json_object_keys(F.to_json(F.variant_get(value, path, "variant")) if path != "$" else F.to_json(value))
+    checks, deeper = [], []
+    for field in schema.get("required", []):
+        checks.append(F.when(~F.coalesce(F.array_contains(keys, field), F.lit(False)), F.lit(f"missing {within}{field}")))
+    for field, rule in schema.get("properties", {}).items():
+        at = f"{path}.{field}"
+        have, shape = F.coalesce(F.array_contains(keys, field), F.lit(False)), F.schema_of_variant(F.variant_get(value, at, "variant"))
+        good = F.lit(False)
+        for prefix in _TYPES[rule["type"]]:
+            good = good | shape.startswith(prefix)
+        good = F.coalesce(good, F.lit(False))
+        checks.append(F.when(have & ~good, F.lit(f"{within}{field} is not {rule['type']}")))
+        text, number = F.try_variant_get(value, at, "string"), F.try_variant_get(value, at, "double")
+        for limit, wrong in (("minLength", lambda n, t=text: F.length(t) < n), ("maxLength", lambda n, t=text: F.length(t) > n), ("minimum", lambda n, x=number: x < n), ("maximum", lambda n, x=number: x > n), ("enum", lambda n, t=text: ~t.isin(*map(str, n)))):
+            if limit in rule:
+                checks.append(F.when(have & good & wrong(rule[limit]), F.lit(f"{within}{field} breaks {limit}")))
+        if "items" in rule:
+            items, kinds = F.try_variant_get(value, at, "array<variant>"), _TYPES[rule["items"]["type"]]
+            fits = lambda x, kinds=kinds: F.coalesce(F.exists(F.array(*[F.schema_of_variant(x).startswith(k) for k in kinds]), lambda b: b), F.lit(False))
+            checks.append(F.when(have & good & ~F.coalesce(F.forall(items, fits), F.lit(True)), F.lit(f"{within}{field} holds what is not {rule['items']['type']}")))
+        if rule["type"] == "object" and ("properties" in rule or "required" in rule):
+            deeper.append(F.when(have & good, _object_errors(value, rule, f"{within}{field}.", at)).otherwise(F.array().cast("array<string>")))
+    found = [F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")]
+    if not schema.get("additionalProperties"):
+        extra = F.array_except(keys, F.array(*[F.lit(p) for p in schema.get("properties", {})]).cast("array<string>"))
+        found.append(F.transform(extra, lambda k: F.concat(F.lit(f"unknown field {within}"), k)))
+    return F.concat(*found, *deeper)
 
 
 def argument_errors(name: Column, arguments: Column, schemas: dict) -> Column:
-    """Array of what is wrong with the arguments of a call, by schemas of types, required, bounds and enums; empty if nothing."""
+    """Array of what is wrong with the arguments of a call; empty if nothing.
+
+    Schemas name types, required fields, bounds, enums, item types of arrays and deeper objects. What Spark's variant
+    cannot hold (no JSON, a repeated key, over 128 MB) is "not an object".
+    """
     value = F.try_parse_json(arguments)
-    keys = F.json_object_keys(arguments)
     kind = F.schema_of_variant(value)
     out = F.array(F.concat(F.lit("unknown tool "), F.coalesce(name, F.lit("null"))))
     for tool, schema in schemas.items():
-        checks = []
-        for field in schema.get("required", []):
-            checks.append(F.when(~F.coalesce(F.array_contains(keys, field), F.lit(False)), F.lit(f"missing {field}")))
-        for field, rule in schema.get("properties", {}).items():
-            part = F.variant_get(value, f"$.{field}", "variant")
-            have, shape = F.coalesce(F.array_contains(keys, field), F.lit(False)), F.schema_of_variant(part)
-            good = F.lit(False)
-            for prefix in _TYPES[rule["type"]]:
-                good = good | shape.startswith(prefix)
-            checks.append(F.when(have & ~F.coalesce(good, F.lit(False)), F.lit(f"{field} is not {rule['type']}")))
-            text, number = F.try_variant_get(value, f"$.{field}", "string"), F.try_variant_get(value, f"$.{field}", "double")
-            for limit, wrong in (("minLength", lambda n, t=text: F.length(t) < n), ("maxLength", lambda n, t=text: F.length(t) > n), ("minimum", lambda n, x=number: x < n), ("maximum", lambda n, x=number: x > n), ("enum", lambda n, t=text: ~t.isin(*map(str, n)))):
-                if limit in rule:
-                    checks.append(F.when(have & good & wrong(rule[limit]), F.lit(f"{field} breaks {limit}")))
-        extra = F.array_except(keys, F.array(*[F.lit(p) for p in schema.get("properties", {})]))
-        found = F.concat(F.array_compact(F.array(*checks)), F.transform(extra, lambda k: F.concat(F.lit("unknown field "), k)) if not schema.get("additionalProperties") else F.array().cast("array<string>"))
-        out = F.when(name == tool, F.when(value.isNull() | ~kind.startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(found)).otherwise(out)
+        out = F.when(name == tool, F.when(value.isNull() | ~kind.startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(_object_errors(value, schema, "", "$"))).otherwise(out)
     return out
 
 
@@ -119,23 +147,40 @@ def topological_levels(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return state.where("ended").join(settled, ["conv_id", "to"]).select(*key, (F.col("base") + F.col("dist")).alias("level"))
 
 
+def in_order(linked: DataFrame) -> DataFrame:
+    """linked + place, from 0 in each conversation by level (null last), position and call_id.
+
+    Rows are dealt to ranges of that order and numbered within their part, so a conversation with a third of all calls is
+    sorted by many tasks; a part's start in a conversation is a running count over a row for each part that holds some of it.
+    """
+    order = [F.col("conv_id"), F.col("level").isNull(), F.col("level"), F.col("position"), F.col("call_id")]
+    parts = stored(linked.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ordered")
+    starts = parts.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("conv_id", "part").orderBy(*order[1:])
+    return parts.withColumn("nth", F.row_number().over(within) - 1).join(starts, ["conv_id", "part"]).withColumn("place", (F.col("start") + F.col("nth")).cast("long")).drop("part", "nth", "start")
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
-    """One row a call: (conv_id, call_id, name, level, n_results, valid, errors, canonical, result_position).
+    """One row a call: (conv_id, call_id, name, level, place, n_results, valid, errors, canonical, result_position).
 
     calls: conv_id, call_id, name, arguments (JSON), waits_for (identifiers), position; results: conv_id, call_id,
     content, position. Results are hash-joined to calls by identifier; of several the first counts, and so does the
-    first of calls that repeat an identifier. level is null on cycles. Arguments that are no JSON object are invalid
+    first of calls that repeat an identifier. level is null on and behind cycles. place
+    numbers a conversation's calls from 0 in topological order: by level, then position, then identifier, cycles last.
+    Arguments that are no JSON object are invalid
     and canonically null. canonical has keys in order and no white space; rows with a null identifier are left out.
     Results that name no call are left out.
     """
     calls = stored(calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("position", "name", "arguments", "waits_for")).alias("c")).select("conv_id", "call_id", "c.*"), "calls")
     first = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n_results"), F.min(F.struct("position", "content")).alias("r"))
     levels = topological_levels(calls)
-    linked = calls.hint("shuffle_hash").join(first, ["conv_id", "call_id"], "left").join(levels, ["conv_id", "call_id"], "left")
+    linked = in_order(calls.hint("shuffle_hash").join(first, ["conv_id", "call_id"], "left").join(levels, ["conv_id", "call_id"], "left"))
     errors = argument_errors(F.col("name"), F.col("arguments"), schemas)
     ordered = F.to_json(F.try_parse_json(F.coalesce("arguments", F.lit("null"))))  # variant objects keep their keys in order
     canonical = F.concat(F.lit('{"arguments":'), F.coalesce(ordered, F.lit("null")), F.lit(',"id":'), _string(F.col("call_id")), F.lit(',"name":'), F.coalesce(_string(F.col("name")), F.lit("null")), F.lit(',"result":'), F.coalesce(_string(F.col("r.content")), F.lit("null")), F.lit("}"))
-    return linked.select("conv_id", "call_id", "name", "level", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), (F.size(errors) == 0).alias("valid"), F.array_join(errors, "; ").alias("errors"), canonical.alias("canonical"), F.col("r.position").alias("result_position"))
+    return linked.select("conv_id", "call_id", "name", "level", "place", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), (F.size(errors) == 0).alias("valid"), F.array_join(errors, "; ").alias("errors"), canonical.alias("canonical"), F.col("r.position").alias("result_position"))
 
 
 def _string(c: Column) -> Column:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, new_path, stored
 
 FILE_BYTES, MOST_BYTES = 8 << 20, 512 << 20
+#: Captures that one task merges, about.
+RANGE_ROWS = 50_000
 RECORD, PROFILE = "urn:strandwork:page:", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 #: RFC 4648 alphabet and the digits that conv() writes in base 32.
@@ -171,13 +173,19 @@ class LoserTree:
 
 
 def _merge(batches):
-    """A range of keys: its rows come as pieces of sorted runs, which a loser tree merges."""
+    """A range of keys: its rows are stretches of the archives' sorted runs, which a loser tree merges.
+
+    A stretch that comes in pieces out of order is as many runs; a range holds about RANGE_ROWS rows, however many there are.
+    """
     runs: list[list] = []
+    of: dict[str, list] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not runs or _key(row) < _key(runs[-1][-1]):
-                runs.append([])
-            runs[-1].append(row)
+            run = of.get(row[3])
+            if run is None or _key(row) < _key(run[-1]):
+                run = of[row[3]] = []
+                runs.append(run)
+            run.append(row)
     part, out, n = TaskContext.get().partitionId(), [], 0
     for row in LoserTree(runs, _key):
         out.append((row, n))
@@ -194,14 +202,15 @@ def _numbered(rows, part):
     return pa.RecordBatch.from_arrays([*base.columns, pa.array([part] * len(rows), pa.int32()), pa.array([n for _, n in rows], pa.int64())], names=[*_NAMES, "range_no", "place"])
 
 
-def merge_index(runs: DataFrame, ranges: int | None = None) -> DataFrame:
+def merge_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Globally ordered capture histories: by url_key, ts and page_id within range_no and place, ranges in order.
 
-    Keys are cut into ranges by a sample; time and page are part of the key, so one URL with a third of all captures is
-    spread over ranges. Each range merges the pieces of the sorted runs that fall into it.
+    runs is a written table of locally sorted runs. Keys are cut by a sample into ranges of about range_rows captures, so
+    what a task holds does not grow with the table; time, page and place in the archive are part of the key, so one URL
+    with a third of all captures is spread over ranges. Each range merges the stretches of the runs that fall into it.
     """
     spark = runs.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = -(-runs.count() // range_rows) or 1
     arrow_batches(spark, 5000)
     dealt = runs.repartitionByRange(n, "url_key", "ts", "page_id", "archive", "offset")
     return dealt.mapInArrow(_merge, CAPTURE + ", range_no int, place long")
