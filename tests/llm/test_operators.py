@@ -81,19 +81,37 @@ def test_bpe_equals_tiktoken(docs, empty):
 
 
 def test_bpe_fold_leads_to_every_token(spark):
+    """Every 25th token by the fold alone, and the same ones as whole tokens."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = bpe.load_ranks(path)
-    some = [*bpe.odd_tokens(path), *list(ranks)[::25]]
-    words = spark.createDataFrame([([list(w) for w in some],)], "words array<array<smallint>>")
-    got = words.select(bpe.merged_words(F.col("words"), path).alias("ids")).first()["ids"]
-    assert got == [None if w in bpe.odd_tokens(path) else [ranks[w]] for w in some]
+    some = list(ranks)[::25]
+    for whole in ([-1] * len(some), [ranks[w] for w in some]):
+        words = spark.createDataFrame([([list(w) for w in some], whole)], "words array<array<smallint>>, whole array<int>")
+        got = words.select(bpe.merged_words(F.col("words"), F.col("whole"), path).alias("made")).first()["made"]
+        assert [(r.ids, bytes(r.body)) for r in got] == [([ranks[w]], w) for w in some]
+
+
+def test_bpe_folds_long_words(spark, monkeypatch):
+    """Words of thousands of bytes, with and without places to cut, and packs that remember, forget and start anew."""
+    rng = random.Random(6)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5000)), "a" * 5000, "".join(rng.choices("QXZJqxzj", k=5000)), "日本語" * 400]
+    texts += [" ".join(rng.choices(WORDS, k=30)) for _ in range(60)]
+    assert len(bpe.parts_of(texts[2].encode(), path)) > 100 and b"".join(bpe.parts_of(texts[0].encode(), path)) == texts[0].encode()
+    monkeypatch.setattr(bpe, "PACK_CHARS", 400)
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 9)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in bpe.encode_documents(rows, path, public_tokenizers.PATTERN).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
 def test_unit_encoder_equals_tokenizers():
     path = public_tokenizers.path("byte_bpe_50k.json")
     encode, whole = tokens.unit_encoder(path), Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    for t in make_texts() + [" a", "a ", "a \n b", "\n\n a", "a\t b", "a\r\nb"]:
+    for t in make_texts() + ["a <|endoftext|> b", "<|endoftext|>", " a", "a ", "a \n b", "\n\n a", "a\t b", "a\r\nb"]:
         assert np.frombuffer(encode(t or ""), "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
@@ -254,7 +272,6 @@ def test_bulk_plan_is_best_fit_decreasing():
 def test_packing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in enumerate(make_texts())}
     got = packing.pack(docs, path).collect()
     by_seq, by_doc = {}, {}
