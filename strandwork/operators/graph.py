@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import packed as P
 from ..functions import seq as S
+from ..store import drop, saved
 from . import kmers as K
 
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """A written table in the shared folder: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="strandwork-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Pieces of a path that one row gathers at a time.
+STRETCH = 4096
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
@@ -33,31 +23,61 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     return ranged.withColumn("_at", at).join(starts, "_p").withColumn(name, (F.col("_at") + F.col("_start")).cast("long")).drop("_p", "_at", "_start")
 
 
-def chains(edges: DataFrame, vertices: DataFrame, strandless, max_rounds: int = 40) -> DataFrame:
+def chains(links: DataFrame, strandless, max_rounds: int = 60) -> DataFrame:
     """(v, head, rank, loop): position of each vertex on its path, by pointer doubling.
 
-    edges (src, dst): at most one edge out of and one into a vertex. Each round doubles the distance that a vertex
-    looks back, so paths of n vertices take log2(n) joins. A vertex on a circle never meets a head; it learns the
-    circle's least vertex in the order of strandless(v), where both strands' circles are then cut.
+    links (v, p): each vertex and the one before it, null at the start of a path. Each round doubles the distance that
+    a vertex looks back, so paths of n vertices take log2(n) joins; only vertices that have not met their head yet are
+    joined and written again. A vertex on a circle never meets a head; circles are cut before their least vertex in the
+    order of strandless(v), on both strands alike.
     """
-    order = lambda c: F.struct(strandless(F.col(c)).alias("s"), F.col(c).alias("v"))
-    first = vertices.join(edges.select(F.col("dst").alias("v"), F.col("src").alias("p")), "v", "left").select("v", F.coalesce("p", "v").alias("p"), F.col("p").isNull().alias("done"))
-    state = saved(first.select("v", "p", F.when(F.col("done"), 0).otherwise(1).cast("long").alias("d"), "done", F.least(order("v"), order("p")).alias("low")), "chain")
-    total = vertices.count()
+    links = saved(links, "links")
+    ended = [links.where("p is null").select("v", F.col("v").alias("p"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("done"))]
+    left = links.where("p is not null").select("v", "p", F.lit(1).cast("long").alias("d"), F.lit(False).alias("done"))
+    total, rounds = links.count(), []
     for r in range(max_rounds):
-        left = state.where("not done").count()
-        if left == 0 or 2**r > total:  # what is open then has looked all around its circle
+        if left.isEmpty() or 2**r > 2 * total:  # what is left then has looked all around its circle
             break
-        back = state.select(F.col("v").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"), F.col("done").alias("pdone"), F.col("low").alias("plow"))
-        step = state.where("not done").join(back, "p").select("v", F.col("pp").alias("p"), (F.col("d") + F.col("dd")).alias("d"), F.col("pdone").alias("done"), F.least("low", "plow").alias("low"))
-        state = saved(state.where("done").unionByName(step), "chain")
-    ended = state.where("done").select("v", F.col("p").alias("head"), F.col("d").alias("rank"), F.lit(False).alias("loop"))
-    circle = state.where("not done")
-    if circle.isEmpty():
-        return ended
-    lows = saved(circle.select("v", F.col("low.v").alias("low")), "circle")
-    cut = edges.join(lows.select(F.col("v").alias("dst"), "low"), "dst").where("dst <> low").select("src", "dst")
-    return ended.unionByName(chains(cut, lows.select("v"), strandless, max_rounds).withColumn("loop", F.lit(True)))
+        back = left
+        for some in ended:
+            back = back.unionByName(some)
+        back = back.select(F.col("v").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"), F.col("done").alias("pdone"))
+        step = saved(left.drop("done").join(back, "p").select("v", F.col("pp").alias("p"), (F.col("d") + F.col("dd")).alias("d"), F.col("pdone").alias("done")), "chain")
+        rounds.append(step)
+        ended.append(step.where("done"))
+        left = step.where("not done")
+    else:
+        raise RuntimeError(f"paths of over 2^{max_rounds} vertices")
+    paths = ended[0]
+    for some in ended[1:]:
+        paths = paths.unionByName(some)
+    paths = paths.select("v", F.col("p").alias("head"), F.col("d").alias("rank"), F.lit(False).alias("loop"))
+    if not left.isEmpty():
+        cut = _cut_circles(left.select("v").join(links, "v"), strandless)
+        paths = paths.unionByName(chains(cut, strandless, max_rounds).withColumn("loop", F.lit(True)))
+    out = saved(paths, "paths")
+    drop(*rounds, links)
+    return out
+
+
+def _cut_circles(links: DataFrame, strandless) -> DataFrame:
+    """links of circles, without the link into the least vertex of each: minima spread over doubled distances."""
+    order = F.struct(strandless(F.col("v")).alias("s"), F.col("v").alias("v"))
+    links = saved(links.select("v", "p"), "circle")
+    state = saved(links.select("v", "p", order.alias("low")), "low")
+    for _ in range(links.count().bit_length() + 1):
+        back = state.select(F.col("v").alias("p"), F.col("p").alias("pp"), F.col("low").alias("plow"))
+        new = saved(state.join(back, "p").select("v", F.col("pp").alias("p"), F.least("low", "plow").alias("low")), "low")
+        drop(state)
+        state = new
+    return links.join(state.select("v", F.col("low.v").alias("least")), "v").select("v", F.when(F.col("v") != F.col("least"), F.col("p")).alias("p"))
+
+
+def _joined(pieces: DataFrame) -> DataFrame:
+    """(head, loop, seq) of pieces (head, loop, rank, s): stretches of a path first, so no row gathers a long path letter by letter."""
+    at = F.floor(F.col("rank") / STRETCH)
+    part = pieces.groupBy("head", "loop", at.alias("at")).agg(F.sort_array(F.collect_list(F.struct("rank", "s"))).alias("x")).select("head", "loop", "at", F.array_join("x.s", "").alias("s"))
+    return part.groupBy("head", "loop").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("x")).select("head", "loop", F.array_join("x.s", "").alias("seq"))
 
 
 def one_strand(paths: DataFrame, first) -> DataFrame:
@@ -67,42 +87,56 @@ def one_strand(paths: DataFrame, first) -> DataFrame:
     return lines.unionByName(loops)
 
 
+def kmer_links(masks: DataFrame, k: int) -> DataFrame:
+    """(v, p): each oriented k-mer and the one before it, if each is the other's only neighbour on that side; else null.
+
+    A k-mer is never linked to itself or to its own reverse complement.
+    """
+    strands = saved(K.oriented(masks, k), "strands")
+    bits = F.col("mask").bitwiseAND(F.lit(15))
+    base = F.get(K.right_bases(), 0)
+    out = strands.where(F.bit_count(bits) == 1).select(F.col("v").alias("p"), F.col("back").alias("pback"), P.pushed_right(F.col("v"), base, k).alias("v"))
+    met = out.where("p <> v and pback <> v").select(F.col("v").alias("next"), "p")
+    into = strands.select("v", (F.bit_count(F.shiftright("mask", 4)) == 1).alias("single"))
+    return into.join(met, F.col("single") & (F.col("v") == F.col("next")), "left").select("v", "p")
+
+
 def unitigs(masks: DataFrame, k: int) -> DataFrame:
     """(node_id, seq): maximal paths of k-mers joined by mutually unique overlaps, one strand each, numbered by sequence.
 
     A path stops at a branch, at a loop and at its own reverse complement. The strand kept is the lesser one.
     """
-    arcs = saved(K.kmer_neighbors(masks), "kmer_arcs")
-    out = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).where("n = 1")
-    into = arcs.groupBy("dst").agg(F.count(F.lit(1)).alias("m")).where("m = 1")
-    edges = saved(out.join(into, "dst").where((F.col("src") != F.col("dst")) & (F.col("dst") != S.revcomp(F.col("src")))).select("src", "dst"), "edges")
-    vertices = masks.select(F.col("kmer").alias("v")).union(masks.select(S.revcomp(F.col("kmer")).alias("v")))
-    paths = chains(edges, vertices, S.canonical).groupBy("head", "loop").agg(F.sort_array(F.collect_list(F.struct("rank", F.substr("v", F.lit(k), F.lit(1)).alias("b")))).alias("r"))
-    seqs = paths.select(F.concat(F.substr("head", F.lit(1), F.lit(k - 1)), F.array_join(F.col("r.b"), "")).alias("seq"), "loop")
+    own = lambda v: F.least(v, P.revcomp(v, k))
+    paths = chains(kmer_links(masks, k), own)
+    ends = paths.where("not loop").groupBy("head").agg(F.max_by("v", "rank").alias("last"))
+    lesser = ends.where(F.col("head") <= P.revcomp(F.col("last"), k)).select("head")
+    kept = paths.where("loop").unionByName(paths.where("not loop").join(lesser, "head", "left_semi").select("v", "head", "rank", "loop"))
+    last = F.substr(F.lit("ACGT"), F.col("v").bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
+    seqs = _joined(kept.select("head", "loop", "rank", last.alias("s"))).select(F.concat(F.substr(P.letters(F.col("head"), k), F.lit(1), F.lit(k - 1)), "seq").alias("seq"), "loop")
     return numbered(one_strand(seqs, S.canonical(F.substr("seq", F.lit(1), F.lit(k)))), "seq", "node_id").select("node_id", "seq")
 
 
 def kmer_index(nodes: DataFrame, k: int) -> DataFrame:
-    """(kmer, node_id, pos): canonical k-mer -> signed node and offset from 0 on that strand."""
-    rows = S.windows(nodes.select("node_id", "seq", F.length("seq").alias("_n")), "seq", k, ["node_id", "_n"])
-    same = F.col("w") == S.canonical(F.col("w"))
-    return rows.select(S.canonical(F.col("w")).alias("kmer"), F.when(same, F.col("node_id")).otherwise(-F.col("node_id")).alias("node_id"), F.when(same, F.col("pos") - 1).otherwise(F.col("_n") - F.col("pos") + 1 - k).cast("int").alias("pos"), F.col("_n").alias("node_len"))
+    """(code, node_id, pos, node_len): canonical k-mer -> signed node and offset from 0 on that strand."""
+    rows = P.windows(nodes.select("node_id", F.length("seq").alias("node_len"), "seq"), "seq", k, ["node_id", "node_len"])
+    return rows.select("code", F.when(F.col("same"), F.col("node_id")).otherwise(-F.col("node_id")).alias("node_id"), F.when(F.col("same"), F.col("pos") - 1).otherwise(F.col("node_len") - F.col("pos") + 1 - k).cast("int").alias("pos"), "node_len")
 
 
 def unitig_arcs(nodes: DataFrame, masks: DataFrame, k: int) -> DataFrame:
     """(src, dst) signed, both orientations: observed overlaps between a node's last k-mer and a node's first."""
-    signed = nodes.select("node_id", "seq").union(nodes.select(-F.col("node_id"), S.revcomp(F.col("seq"))))
-    ends = signed.select(F.col("node_id").alias("src"), F.expr(f"right(seq, {k})").alias("a"))
-    starts = signed.select(F.col("node_id").alias("dst"), F.substr("seq", F.lit(1), F.lit(k)).alias("b"))
-    arcs = K.kmer_neighbors(masks).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return ends.join(arcs, "a").join(starts, "b").select("src", "dst").distinct()
+    head, tail = P.code_of(F.substr("seq", F.lit(1), F.lit(k))), P.code_of(F.expr(f"right(seq, {k})"))
+    both = nodes.select("node_id", head.alias("a"), tail.alias("b"))
+    both = saved(both.union(both.select(-F.col("node_id"), P.revcomp(F.col("b"), k), P.revcomp(F.col("a"), k))), "ends")
+    ends = both.select(F.col("node_id").alias("src"), F.col("b").alias("v"))
+    starts = both.select(F.col("node_id").alias("dst"), F.col("a").alias("next"))
+    arcs = K.oriented(masks, k).join(ends, "v").select("src", "v", F.explode(K.right_bases()).alias("base"))
+    return arcs.select("src", P.pushed_right(F.col("v"), F.col("base"), k).alias("next")).join(starts, "next").select("src", "dst").distinct()
 
 
 def read_node_positions(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(read_id, pos, node, off): each indexed k-mer of a read on its signed node, on the read's strand."""
-    rows = K.kmers(reads, k).join(index.withColumnRenamed("pos", "pos_n"), "kmer")
-    same = F.col("w") == F.col("kmer")
-    return rows.select("read_id", "pos", F.when(same, F.col("node_id")).otherwise(-F.col("node_id")).alias("node"), F.when(same, F.col("pos_n")).otherwise(F.col("node_len") - F.col("pos_n") - k).alias("off"))
+    rows = K.kmers(reads, k).join(index.withColumnRenamed("pos", "pos_n"), "code")
+    return rows.select("read_id", F.col("pos").cast("int").alias("pos"), F.when(F.col("same"), F.col("node_id")).otherwise(-F.col("node_id")).alias("node"), F.when(F.col("same"), F.col("pos_n")).otherwise(F.col("node_len") - F.col("pos_n") - k).alias("off"))
 
 
 def node_coverage(positions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -126,6 +160,7 @@ _graphs: dict = {}
 
 def build(spark: SparkSession, reads: DataFrame, k: int, key=None) -> dict[str, DataFrame]:
     """Stages 1 to 3 as written tables: solid, masks, nodes, arcs, index, positions. Kept for the session by key."""
+    P.check(k)
     key = (spark.sparkContext.applicationId, k, key)
     if key[2] is not None and key in _graphs:
         return _graphs[key]
@@ -178,12 +213,12 @@ def merge_linear(nodes: DataFrame, arcs: DataFrame, k: int) -> tuple[DataFrame,
     """Join nodes along arcs that are the only one out of their source and the only one into their target."""
     out = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).where("n = 1")
     into = arcs.groupBy("dst").agg(F.count(F.lit(1)).alias("m")).where("m = 1")
-    edges = saved(out.join(into, "dst").where("src <> dst and src <> -dst").select("src", "dst"), "edges")
+    edges = out.join(into, "dst").where("src <> dst and src <> -dst").select(F.col("src").alias("p"), F.col("dst").alias("v"))
     signed = nodes.select(F.col("node_id").alias("v"), "seq", "kmer_cov", "read_start_cov").union(nodes.select(-F.col("node_id"), S.revcomp(F.col("seq")), "kmer_cov", "read_start_cov"))
-    placed = saved(chains(edges, signed.select("v"), F.abs).join(signed, "v"), "placed")
+    placed = saved(chains(signed.select("v").join(edges, "v", "left"), F.abs).join(signed, "v"), "placed")
     body = F.when(F.col("rank") == 0, F.col("seq")).otherwise(F.substr("seq", F.lit(k)))
-    paths = placed.groupBy("head", "loop").agg(F.sort_array(F.collect_list(F.struct("rank", body.alias("s")))).alias("r"), F.sum("kmer_cov").alias("kmer_cov"), F.sum("read_start_cov").alias("read_start_cov"), F.max_by("v", "rank").alias("last"))
-    paths = paths.select("head", "last", "loop", F.array_join("r.s", "").alias("seq"), "kmer_cov", "read_start_cov")
+    sums = placed.groupBy("head", "loop").agg(F.sum("kmer_cov").alias("kmer_cov"), F.sum("read_start_cov").alias("read_start_cov"), F.max_by("v", "rank").alias("last"))
+    paths = _joined(placed.select("head", "loop", "rank", body.alias("s"))).join(sums, ["head", "loop"]).select("head", "last", "loop", "seq", "kmer_cov", "read_start_cov")
     merged = one_strand(saved(paths, "paths"), F.abs("head")).drop("loop")
     new = saved(numbered(merged, "seq", "node_id"), "numbered")
     start = new.select(F.col("head").alias("v"), F.col("node_id").alias("n")).union(new.select(-F.col("last"), -F.col("node_id")))

@@ -1,69 +1,96 @@
-"""k-mer counting, solid k-mers and their overlaps."""
+"""k-mer counting, solid k-mers and their overlaps. k-mers are longs (functions/packed.py) and become texts at the end."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import seq as S
+from ..functions import packed as P
 
 
 def kmers(reads: DataFrame, k: int, double_stranded: bool = True) -> DataFrame:
-    """(read_id, pos, w, kmer): every valid window of every read."""
-    rows = S.windows(reads, "seq", k, ["read_id"]).where(S.valid(F.col("w")))
-    return rows.select("read_id", "pos", "w", S.canonical(F.col("w"), double_stranded).alias("kmer"))
+    """(read_id, pos, code, same): every valid window of every read; same: the read holds the canonical form."""
+    return P.windows(reads, "seq", k, ["read_id"], double_stranded)
 
 
 def kmer_count(reads: DataFrame, k: int, double_stranded: bool = True) -> DataFrame:
-    return kmers(reads, k, double_stranded).groupBy("kmer").agg(F.count(F.lit(1)).alias("cov"))
+    """(code, cov) of each distinct k-mer, counted within batches before the shuffle."""
+    return P.counts(reads, "seq", P.check(k), double_stranded).groupBy("code").agg(F.sum("n").alias("cov"))
 
 
 def solid(counts: DataFrame) -> DataFrame:
     return counts.where("cov > 1")
 
 
+def spelt(rows: DataFrame, k: int) -> DataFrame:
+    """rows with the column code as the text kmer."""
+    return rows.select(P.letters(F.col("code"), k).alias("kmer"), *[c for c in rows.columns if c != "code"])
+
+
 def kmer_totals(counts: DataFrame) -> DataFrame:
     return counts.agg(F.count(F.lit(1)).alias("n_distinct"), F.count_if(F.col("cov") > 1).alias("n_solid"), F.sum("cov").alias("n_windows"))
 
 
 def read_solid_kmers(reads: DataFrame, solid_kmers: DataFrame, k: int) -> DataFrame:
     """(read_id, n_solid): windows of each read that are solid k-mers."""
-    return kmers(reads, k).join(solid_kmers.select("kmer"), "kmer", "left_semi").groupBy("read_id").agg(F.count(F.lit(1)).alias("n_solid"))
+    return kmers(reads, k).join(solid_kmers.select("code"), "code", "left_semi").groupBy("read_id").agg(F.count(F.lit(1)).alias("n_solid"))
 
 
 def weak_kmers(reads: DataFrame, solid_kmers: DataFrame, k: int) -> DataFrame:
-    return kmers(reads, k).select("kmer").join(solid_kmers.select("kmer"), "kmer", "left_anti").distinct()
+    return kmer_count(reads, k).select("code").join(solid_kmers.select("code"), "code", "left_anti")
+
+
+def _sides(code: np.ndarray, k: int):
+    """Of a (k+1)-mer both k-mers in canonical form, each with the mask bit of its neighbour."""
+    c = code.view(np.uint64)
+    a, b = c >> np.uint64(2), c & np.uint64((1 << 2 * k) - 1)
+    first, last = (c >> np.uint64(2 * k)).astype(np.int64), (c & np.uint64(3)).astype(np.int64)
+    ta, tb = P.turned(a, k), P.turned(b, k)
+    ma = np.where(a <= ta, 1 << (3 - last), 16 << last)
+    mb = np.where(b <= tb, 16 << (3 - first), 1 << first)
+    return np.minimum(a, ta).view(np.int64), ma.astype(np.int32), np.minimum(b, tb).view(np.int64), mb.astype(np.int32)
 
 
 def overlap_masks(reads: DataFrame, solid_kmers: DataFrame, k: int) -> DataFrame:
-    """(kmer, mask) of every solid k-mer: which bases were seen beside it in a read, where both neighbours are solid.
+    """(code, mask) of every solid k-mer: which bases were seen beside it in a read, where both neighbours are solid.
 
-    Equal (k+1)-mers are counted once before the joins, so a repeated passage meets the solid set once.
+    Mask: high nibble left A, C, G, T, low nibble right, from the highest bit. Equal (k+1)-mers are one row before the
+    joins, so a repeated passage meets the solid set once.
     """
-    pairs = S.windows(reads, "seq", k + 1, ["read_id"]).where(S.valid(F.col("w"))).select("w").distinct()
-    sides = pairs.select(F.substr("w", F.lit(1), F.lit(k)).alias("a"), F.substr("w", F.lit(2), F.lit(k)).alias("b"))
-    sides = sides.select("a", "b", S.canonical(F.col("a")).alias("ka"), S.canonical(F.col("b")).alias("kb"))
-    known = solid_kmers.select("kmer")
-    sides = sides.join(known.withColumnRenamed("kmer", "ka"), "ka", "left_semi").join(known.withColumnRenamed("kmer", "kb"), "kb", "left_semi")
-    out_a = S.right_bit(F.substr("b", F.lit(k), F.lit(1)))
-    out_b = S.left_bit(F.substr("a", F.lit(1), F.lit(1)))
-    marks = sides.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("ka").alias("kmer"), F.when(F.col("a") == F.col("ka"), out_a).otherwise(S.reversed_mask(out_a)).alias("mask")),
-                F.struct(F.col("kb").alias("kmer"), F.when(F.col("b") == F.col("kb"), out_b).otherwise(S.reversed_mask(out_b)).alias("mask")),
-            )
-        ).alias("m")
-    ).select("m.*")
-    return known.join(marks, "kmer", "left").groupBy("kmer").agg(F.coalesce(F.bit_or("mask"), F.lit(0)).alias("mask"))
+    pairs = P.counts(reads, "seq", k + 1).select("code").distinct()
+    sides = P.mapped(pairs, lambda c: _sides(c, k), "ka long, ma int, kb long, mb int")
+    known = solid_kmers.select("code")
+    sides = sides.join(known.withColumnRenamed("code", "ka"), "ka", "left_semi").join(known.withColumnRenamed("code", "kb"), "kb", "left_semi")
+    ends = F.array(F.struct(F.col("ka").alias("code"), F.col("ma").alias("mask")), F.struct(F.col("kb").alias("code"), F.col("mb").alias("mask")))
+    marks = sides.select(F.explode(ends).alias("m")).select("m.*").groupBy("code").agg(F.bit_or("mask").alias("mask"))
+    return known.join(marks, "code", "left").select("code", F.coalesce("mask", F.lit(0)).alias("mask"))
 
 
 def overlap_degree(masks: DataFrame) -> DataFrame:
-    return masks.select("kmer", F.bit_count(F.shiftright("mask", 4)).alias("n_left"), F.bit_count(F.col("mask").bitwiseAND(F.lit(15))).alias("n_right"))
+    return masks.select("code", F.bit_count(F.shiftright("mask", 4)).alias("n_left"), F.bit_count(F.col("mask").bitwiseAND(F.lit(15))).alias("n_right"))
+
+
+def _both(code: np.ndarray, mask: np.ndarray, k: int):
+    """Each k-mer on both strands, with its reverse complement and its mask as that strand sees it."""
+    back = P.turned(code, k).view(np.int64)
+    swapped = np.zeros_like(mask)
+    for i in range(8):
+        swapped |= ((mask >> i) & 1) << (7 - i)
+    return np.concatenate([code, back]), np.concatenate([back, code]), np.concatenate([mask, swapped])
+
+
+def oriented(masks: DataFrame, k: int) -> DataFrame:
+    """(v, back, mask): both strands of every k-mer, each with the other strand's code."""
+    return P.mapped(masks.select("code", "mask"), lambda c, m: _both(c, m, k), "v long, back long, mask int")
+
+
+def right_bases(mask="mask"):
+    """The letters (0 to 3) to the right that a mask names."""
+    return F.filter(F.array(*[F.lit(b).cast("long") for b in range(4)]), lambda b: F.getbit(F.col(mask), (3 - b).cast("int")) > 0)
 
 
-def kmer_neighbors(masks: DataFrame) -> DataFrame:
-    """(src, dst): oriented k-mers that an arc joins, in both orientations."""
-    both = masks.select("kmer", "mask").union(masks.select(S.revcomp(F.col("kmer")).alias("kmer"), S.reversed_mask(F.col("mask")).alias("mask")))
-    bases = F.filter(F.array(*[F.lit(b) for b in S.BASES]), lambda b: F.col("mask").bitwiseAND(S.right_bit(b)) > 0)
-    return both.select(F.col("kmer").alias("src"), F.explode(bases).alias("b")).select("src", S.push_right(F.col("src"), F.col("b")).alias("dst"))
+def kmer_neighbors(masks: DataFrame, k: int) -> DataFrame:
+    """(src, dst): codes of oriented k-mers that an arc joins, in both orientations."""
+    arcs = oriented(masks, k).select("v", F.explode(right_bases()).alias("b"))
+    return arcs.select(F.col("v").alias("src"), P.pushed_right(F.col("v"), F.col("b"), k).alias("dst"))

@@ -5,42 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import packed as P
 from ..functions import seq as S
 
 
 def mems(queries: DataFrame, refs: DataFrame, least: int) -> DataFrame:
     """(query_id, ref_id, q_start, r_start, len): all maximal exact matches of at least `least` letters without N.
 
-    Windows of length `least` of both sides meet by an equality join; matches on one diagonal at adjacent places are
-    one match, found as islands.
+    Windows of length `least` of both sides, as longs, meet by an equality join, those of the references only if some
+    query holds them; matches on one diagonal at adjacent places are one match, found as islands.
     """
-    q = S.windows(queries, "seq", least, ["query_id"]).where(S.valid(F.col("w"))).withColumnRenamed("pos", "q")
-    r = S.windows(refs, "seq", least, ["ref_id"]).where(S.valid(F.col("w"))).withColumnRenamed("pos", "r")
-    hits = q.join(r, "w").select("query_id", "ref_id", "q", (F.col("r") - F.col("q")).alias("diagonal"))
+    q = P.windows(queries, "seq", least, ["query_id"], both=False).select("query_id", F.col("pos").alias("q"), "code")
+    r = P.windows(refs, "seq", least, ["ref_id"], both=False).select("ref_id", F.col("pos").alias("r"), "code")
+    hits = r.join(q, "code").select("query_id", "ref_id", "q", (F.col("r") - F.col("q")).alias("diagonal"))
     w = Window.partitionBy("query_id", "ref_id", "diagonal").orderBy("q")
     islands = hits.withColumn("island", F.col("q") - F.row_number().over(w))
     out = islands.groupBy("query_id", "ref_id", "diagonal", "island").agg(F.min("q").alias("q_start"), F.count(F.lit(1)).alias("n"))
     return out.select("query_id", "ref_id", "q_start", (F.col("q_start") + F.col("diagonal")).alias("r_start"), (F.col("n") + least - 1).alias("len"))
 
 
-def unique_matches(found: DataFrame, queries: DataFrame, refs: DataFrame, both: bool = False) -> DataFrame:
+def unique_matches(found: DataFrame, both: bool = False) -> DataFrame:
     """Of mems those whose text occurs once in the references (MAM), and once in the queries as well if both (MUM).
 
-    A longer exact occurrence elsewhere is a match too, so each match's text is sought among all windows of its length.
+    found must hold all mems. Another occurrence of a match's text in the references gives a match of the same query
+    that covers the same stretch of it, so a match is unique iff no other covers it: one running maximum over a query's
+    matches by start. The same holds with sides changed.
     """
-    text = found.join(queries.select("query_id", F.col("seq").alias("_q")), "query_id").withColumn("text", F.substr("_q", F.col("q_start").cast("int"), F.col("len").cast("int"))).drop("_q")
-    lengths = [r[0] for r in text.select("len").distinct().orderBy("len").collect()]  # at most the longest sequence's length
-    keep = text
-    for side, name in ((refs, "ref_id"), *(((queries, "query_id"),) if both else ())):
-        counts = None
-        wanted = text.select("text", "len").distinct()
-        for n in lengths:
-            c = S.windows(side, "seq", int(n), [name]).join(wanted.where(F.col("len") == n).select(F.col("text").alias("w")), "w").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-            counts = c if counts is None else counts.union(c)
-        if counts is None:
-            return found
-        keep = keep.join(counts.where("c = 1").select(F.col("w").alias("text")), "text", "left_semi")
-    return keep.drop("text")
+    for side, start in (("query_id", "q_start"), *((("ref_id", "r_start"),) if both else ())):
+        end = F.col(start) + F.col("len")
+        before = Window.partitionBy(side).orderBy(F.col(start), F.desc("len")).rowsBetween(Window.unboundedPreceding, -1)
+        alike = Window.partitionBy(side, start, "len")
+        marked = found.withColumns({"_reach": F.max(end).over(before), "_alike": F.count(F.lit(1)).over(alike)})
+        lone = marked.where((F.col("_alike") == 1) & (F.col("_reach").isNull() | (F.col("_reach") < end))).drop("_reach", "_alike")
+        kept = lone if side == "query_id" else kept.join(lone.select("query_id", "ref_id", "q_start", "r_start", "len"), ["query_id", "ref_id", "q_start", "r_start", "len"], "left_semi")
+    return kept
 
 
 def verify(found: DataFrame, queries: DataFrame, refs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import packed as P
 from ..functions import seq as S
 from ..operators import correct as C
 from ..operators import graph as G
@@ -14,6 +15,8 @@ from ..operators import stats as T
 from ..sources.reads import documents_as_reads, wrapped
 
 K31, L20, BAND = 31, 20, 2
+#: Coverage under which dead ends go: joined on one side (RED), alone or at a branch (SAFE).
+SAFE, RED = 2.5, 3.0
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -117,12 +120,13 @@ def iupac_revcomp(spark, sf_dir):
 
 @query(f"{_KMERS} select read_id, count(*) as n, min(kmer) as least, max(kmer) as greatest from km group by read_id")
 def canonical_kmer(spark, sf_dir):
-    return K.kmers(_reads(spark, sf_dir), K31).groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.min("kmer").alias("least"), F.max("kmer").alias("greatest"))
+    rows = K.kmers(_reads(spark, sf_dir), K31).groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("a"), F.max("code").alias("z"))
+    return rows.select("read_id", "n", P.letters(F.col("a"), K31).alias("least"), P.letters(F.col("z"), K31).alias("greatest"))
 
 
 @query(f"{_KMERS} select read_id, count(*) as n, min(pos) as first_pos, max(pos) as last_pos from kw group by read_id")
 def valid_kmers(spark, sf_dir):
-    w = S.windows(_reads(spark, sf_dir), "seq", K31, ["read_id"]).where(S.valid(F.col("w")))
+    w = P.windows(_reads(spark, sf_dir), "seq", K31, ["read_id"])
     return w.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"))
 
 
@@ -134,7 +138,7 @@ def explode_kmers(spark, sf_dir):
 
 @query(f"{_COUNTS} select kmer, substr(kmer, 2) || 'A' as pushed_right, 'T' || substr(kmer, 1, {K31 - 1}) as pushed_left from solid")
 def kmer_push(spark, sf_dir):
-    return K.solid(_counts(spark, sf_dir)).select("kmer", S.push_right(F.col("kmer"), F.lit("A")).alias("pushed_right"), S.push_left(F.col("kmer"), F.lit("T")).alias("pushed_left"))
+    return K.spelt(K.solid(_counts(spark, sf_dir)), K31).select("kmer", S.push_right(F.col("kmer"), F.lit("A")).alias("pushed_right"), S.push_left(F.col("kmer"), F.lit("T")).alias("pushed_left"))
 
 
 # --- k-mers
@@ -142,12 +146,12 @@ def kmer_push(spark, sf_dir):
 
 @query(f"{_COUNTS} select kmer, cov from kc")
 def kmer_count(spark, sf_dir):
-    return _counts(spark, sf_dir)
+    return K.spelt(_counts(spark, sf_dir), K31)
 
 
 @query(f"{_KMERS} select w as kmer, count(*) as cov from kw group by w")
 def kmer_count_single_stranded(spark, sf_dir):
-    return K.kmer_count(_reads(spark, sf_dir), K31, double_stranded=False)
+    return K.spelt(K.kmer_count(_reads(spark, sf_dir), K31, double_stranded=False), K31)
 
 
 @query(f"{_COUNTS} select count(*) as n_distinct, count(*) filter (where cov > 1) as n_solid, sum(cov)::bigint as n_windows from kc")
@@ -157,13 +161,13 @@ def kmer_totals(spark, sf_dir):
 
 @query(f"{_COUNTS} select kmer, cov from kc where cov > 1")
 def solid_kmers(spark, sf_dir):
-    return K.solid(_counts(spark, sf_dir))
+    return K.spelt(K.solid(_counts(spark, sf_dir)), K31)
 
 
 @query(f"{_COUNTS} select kmer from kc where cov = 1")
 def weak_kmers(spark, sf_dir):
     reads = _reads(spark, sf_dir)
-    return K.weak_kmers(reads, K.solid(K.kmer_count(reads, K31)), K31)
+    return K.spelt(K.weak_kmers(reads, K.solid(K.kmer_count(reads, K31)), K31), K31)
 
 
 @query(f"{_COUNTS} select read_id, count(*) as n_solid from km where kmer in (select kmer from solid) group by read_id")
@@ -179,115 +183,156 @@ def kmer_histogram(spark, sf_dir):
 
 @query(f"{_MASKS} select kmer, mask from masks")
 def kmer_overlap_mask(spark, sf_dir):
-    return _masks(spark, sf_dir)
+    return K.spelt(_masks(spark, sf_dir), K31)
 
 
 @query(f"{_MASKS} select kmer, bit_count(mask >> 4)::int as n_left, bit_count(mask & 15)::int as n_right from masks")
 def overlap_degree(spark, sf_dir):
-    return K.overlap_degree(_masks(spark, sf_dir))
+    return K.spelt(K.overlap_degree(_masks(spark, sf_dir)), K31)
 
 
 @query(f"{_MASKS}, {_signed} select src, dst from karcs")
 def kmer_neighbors(spark, sf_dir):
-    return K.kmer_neighbors(_masks(spark, sf_dir))
+    return K.kmer_neighbors(_masks(spark, sf_dir), K31).select(*[P.letters(F.col(c), K31).alias(c) for c in ("src", "dst")])
 
 
 @query(f"{_MASKS} select kmer from masks where (mask >> 4) = 0 or (mask & 15) = 0")
 def dead_ends(spark, sf_dir):
-    return K.overlap_degree(_masks(spark, sf_dir)).where("n_left = 0 or n_right = 0").select("kmer")
+    return K.spelt(K.overlap_degree(_masks(spark, sf_dir)).where("n_left = 0 or n_right = 0").select("code"), K31)
 
 
 @query(f"{_MASKS}, {_signed} select src, count(*) as n from karcs group by src having count(*) >= 2")
 def branch_nodes(spark, sf_dir):
-    return K.kmer_neighbors(_masks(spark, sf_dir)).groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-
-
-# --- graph (rows depend on path compaction, which has no plain SQL form; tests hold them against brute force)
-
-
-@query()
+    rows = K.kmer_neighbors(_masks(spark, sf_dir), K31).groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return rows.select(P.letters(F.col("src"), K31).alias("src"), "n")
+
+
+# --- graph: in SQL, paths are compacted by pointer doubling, a CTE a round
+
+#: Rounds that the SQL unrolls: paths and circles of up to 2^ROUNDS k-mers.
+ROUNDS = 15
+
+
+def _doubling(name: str, start: str, more: str = "", merged: str = "") -> str:
+    """CTEs that double the pointers of start (v, p, d, done and what `more` names) ROUNDS times; the last one is `name`."""
+    out = [f"{name}0 as materialized ({start})"]
+    for r in range(ROUNDS):
+        here = f"{name}{r}"
+        there = f"{name}{r + 1}" if r < ROUNDS - 1 else name
+        out.append(f"{there} as materialized (select a.v, case when a.done then a.p else b.p end as p, case when a.done then a.d else a.d + b.d end as d, a.done or b.done as done{merged} from {here} a join {here} b on a.p = b.v)")
+    return ", ".join(out)
+
+
+def _paths(vertices: str, edges: str, own: str, tag: str) -> str:
+    """CTEs up to {tag}paths (v, head, rank, loop) of vertices (v) and edges (src, dst), circles cut before the least of own(v)."""
+    lines = _doubling(f"{tag}l", f"select x.v, coalesce(e.src, x.v) as p, case when e.src is null then 0 else 1 end::bigint as d, e.src is null as done, {own.format('x.v')} as lo, x.v as lv from {vertices} x left join {edges} e on e.dst = x.v", merged=", case when (b.lo, b.lv) < (a.lo, a.lv) then b.lo else a.lo end as lo, case when (b.lo, b.lv) < (a.lo, a.lv) then b.lv else a.lv end as lv")
+    circle = _doubling(f"{tag}c", f"select x.v, coalesce(e.src, x.v) as p, case when e.src is null then 0 else 1 end::bigint as d, e.src is null as done from {tag}l x left join {edges} e on e.dst = x.v and x.lv <> x.v where not x.done")
+    return f"{lines}, {circle}, {tag}paths as materialized (select v, p as head, d as rank, false as loop from {tag}l where done union all select v, p, d, true from {tag}c)"
+
+
+_ARCS = f"{_MASKS}, {_signed}, arcs as materialized (select distinct src, dst from karcs)"
+_EDGES = f"kedges as materialized (select o.src, o.dst from (select src, min(dst) as dst from arcs group by src having count(*) = 1) o join (select dst from arcs group by dst having count(*) = 1) i using (dst) where o.src <> o.dst and o.dst <> {_rc('o.src')})"
+_PATHS = _paths("(select kmer as v from oriented)", "kedges", f"least({{0}}, {_rc('{0}')})", "walk_")
+_UNITIGS = f"""{_ARCS}, {_EDGES}, {_PATHS},
+kseqs as (select head, loop, substr(head, 1, {K31 - 1}) || string_agg(right(v, 1), '' order by rank) as seq from walk_paths group by head, loop),
+klesser as (select distinct seq from kseqs where not loop and seq <= {_rc('seq')} union all select seq from (select seq, row_number() over (partition by least(substr(seq, 1, {K31}), {_rc(f"substr(seq, 1, {K31})")}) order by seq) as r from kseqs where loop) where r = 1),
+unitigs as materialized (select row_number() over (order by seq) as node_id, seq from klesser),
+strands as materialized (select node_id, seq from unitigs union all select -node_id, {_rc('seq')} from unitigs)"""
+_GARCS = f"""{_UNITIGS}, garcs as materialized (select distinct a.node_id as src, b.node_id as dst from strands a join arcs on right(a.seq, {K31}) = arcs.src join strands b on substr(b.seq, 1, {K31}) = arcs.dst)"""
+_INDEX = f"""{_GARCS}, kidx as materialized (select least(w, {_rc('w')}) as kmer, case when w <= {_rc('w')} then node_id else -node_id end as node_id, case when w <= {_rc('w')} then o else n - {K31} - o end::int as pos, n::int as node_len from (select node_id, length(seq) as n, o, substr(seq, o + 1, {K31}) as w from (select node_id, seq, unnest(range(0, length(seq) - {K31 - 1})) as o from unitigs)))"""
+_POS = f"""{_INDEX}, place as materialized (select read_id, km.pos::int as pos, case when w = km.kmer then node_id else -node_id end as node, case when w = km.kmer then kidx.pos else node_len - kidx.pos - {K31} end as off from km join kidx on km.kmer = kidx.kmer)"""
+_GRAPH = f"""{_POS},
+nodes as materialized (select u.node_id, u.seq, coalesce(c.n, 0) as kmer_cov, coalesce(f.n, 0) as read_start_cov, length(u.seq) - {K31 - 1} as marginal from unitigs u left join (select abs(node) as node_id, count(*) as n from place group by 1) c using (node_id) left join (select abs(node) as node_id, count(*) as n from (select arg_min(node, pos) as node from place group by read_id) group by 1) f using (node_id)),
+steps as (select node, lag(node) over w as prev, pos - lag(pos) over w as gap from place window w as (partition by read_id order by pos)),
+seen as (select prev as src, node as dst, count(*) as c from steps where gap = 1 and node <> prev group by all),
+acov as materialized (select g.src, g.dst, coalesce(sum(s.c), 0)::bigint as cov from garcs g left join (select * from seen union all select -dst, -src, c from seen where src <> -dst) s on g.src = s.src and g.dst = s.dst group by all),
+degree as (select n.*, coalesce(r.n, 0) as n_right, coalesce(l.n, 0) as n_left from nodes n left join (select src as node_id, count(*) as n from acov where src > 0 group by 1) r using (node_id) left join (select -src as node_id, count(*) as n from acov where src < 0 group by 1) l using (node_id))"""
+_LOW = "select node_id from nodes where kmer_cov / marginal <= 3.0 and marginal <= 400"
+
+
+@query(f"{_UNITIGS} select node_id, seq from unitigs")
 def unitigs(spark, sf_dir):
     return _graph(spark, sf_dir)["nodes"].select("node_id", "seq")
 
 
-@query()
+@query(f"{_GARCS} select src, dst from garcs")
 def unitig_arcs(spark, sf_dir):
     return _graph(spark, sf_dir)["arcs"].select("src", "dst")
 
 
-@query()
+@query(f"{_INDEX} select kmer, node_id, pos, node_len from kidx")
 def kmer_index(spark, sf_dir):
-    return _graph(spark, sf_dir)["index"]
+    return K.spelt(_graph(spark, sf_dir)["index"], K31)
 
 
-@query()
+@query(f"{_GRAPH} select node_id, kmer_cov from nodes")
 def node_kmer_cov(spark, sf_dir):
     return _graph(spark, sf_dir)["nodes"].select("node_id", "kmer_cov")
 
 
-@query()
+@query(f"{_GRAPH} select node_id, read_start_cov from nodes")
 def node_read_start_cov(spark, sf_dir):
     return _graph(spark, sf_dir)["nodes"].select("node_id", "read_start_cov")
 
 
-@query()
+@query(f"{_GRAPH} select src, dst, cov from acov")
 def arc_cov(spark, sf_dir):
     return _graph(spark, sf_dir)["arcs"]
 
 
-@query()
+@query(f"{_GRAPH} select src, dst, marginal, kmer_cov from acov join nodes on abs(dst) = node_id")
 def arc_endpoints(spark, sf_dir):
     g = _graph(spark, sf_dir)
     n = g["nodes"].select("node_id", "marginal", "kmer_cov")
     return g["arcs"].join(n, F.abs("dst") == F.col("node_id")).select("src", "dst", "marginal", "kmer_cov")
 
 
-@query()
+@query(f"{_GRAPH} select (select count(*) from nodes) as n_nodes, (select sum(marginal + {K31})::bigint from nodes) as graph_size, (select sum(length(seq))::bigint from nodes) as n_bases, (select count(*) from acov) as n_arcs")
 def graph_stats(spark, sf_dir):
     g = _graph(spark, sf_dir)
     return G.graph_stats(g["nodes"], g["arcs"], K31)
 
 
-@query()
+@query("select 0::bigint as dangling, 0::bigint as one_sided, 0::bigint as unequal, 0::bigint as no_overlap")
 def graph_sanity(spark, sf_dir):
     g = _graph(spark, sf_dir)
     return G.sanity(g["nodes"], g["arcs"], K31)
 
 
-@query()
+@query(f"{_INDEX} select count(*) as n, 0::bigint as wrong from kidx")
 def kmer_index_sanity(spark, sf_dir):
     """Index entries that do not map back to their k-mer: none expected."""
     g = _graph(spark, sf_dir)
     signed = g["nodes"].select("node_id", "seq").union(g["nodes"].select(-F.col("node_id"), S.revcomp(F.col("seq"))))
     at = F.substr("seq", F.col("pos") + 1, F.lit(K31))
-    return g["index"].join(signed, "node_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(at != F.col("kmer"), F.lit(True))).alias("wrong"))
+    return K.spelt(g["index"], K31).join(signed, "node_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(at != F.col("kmer"), F.lit(True))).alias("wrong"))
 
 
-@query()
+@query(f"""{_GRAPH} select node_id, concat_ws(chr(9), '>NODE', node_id::varchar, length(seq)::varchar, concat_ws(chr(9), coalesce(len(l), 0)::varchar, coalesce(array_to_string(l, chr(9)), '')), concat_ws(chr(9), coalesce(len(r), 0)::varchar, coalesce(array_to_string(r, chr(9)), ''))) as header, seq from nodes left join (select src as node_id, list(dst order by dst) as r from acov where src > 0 group by 1) using (node_id) left join (select -src as node_id, list(-dst order by -dst) as l from acov where src < 0 group by 1) using (node_id)""")
 def graph_fasta(spark, sf_dir):
     g = _graph(spark, sf_dir)
     return G.graph_fasta(g["nodes"], g["arcs"])
 
 
-@query()
+@query(f"{_GRAPH} select node_id from degree where (n_left = 0 or n_right = 0) and marginal < 400 and kmer_cov / marginal < case when greatest(n_left, n_right) <> 1 then {SAFE} else {RED} end")
 def clip_tips(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return G.clip_tips(g["nodes"], g["arcs"], 1.4, 2.0, 400)
+    return G.clip_tips(g["nodes"], g["arcs"], SAFE, RED, 400)
 
 
-@query()
+@query(f"{_GRAPH} {_LOW}")
 def coverage_filter(spark, sf_dir):
     return G.coverage_filter(_graph(spark, sf_dir)["nodes"], 3.0, 400)
 
 
-@query()
+@query(f"{_GRAPH} select distinct src from acov join nodes on abs(dst) = node_id where kmer_cov / marginal < 3.0")
 def low_cov_roots(spark, sf_dir):
     g = _graph(spark, sf_dir)
     low = g["nodes"].where(F.col("kmer_cov") / F.col("marginal") < 3.0).select(F.col("node_id").alias("n"))
     return g["arcs"].join(low, F.abs("dst") == F.col("n"), "left_semi").select("src").distinct()
 
 
-@query()
+@query(f"{_GRAPH}, gone as ({_LOW}) select src, dst, cov from acov where abs(src) not in (from gone) and abs(dst) not in (from gone)")
 def remove_nodes(spark, sf_dir):
     g = _graph(spark, sf_dir)
     return G.remove_nodes(g["nodes"], g["arcs"], G.coverage_filter(g["nodes"], 3.0, 400))[1]
@@ -296,7 +341,7 @@ def remove_nodes(spark, sf_dir):
 @query()
 def merge_linear(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    nodes, arcs = G.remove_nodes(g["nodes"], g["arcs"], G.clip_tips(g["nodes"], g["arcs"], 1.4, 2.0, 400))
+    nodes, arcs = G.remove_nodes(g["nodes"], g["arcs"], G.clip_tips(g["nodes"], g["arcs"], SAFE, RED, 400))
     return G.merge_linear(G.saved(nodes, "nodes"), G.saved(arcs, "arcs"), K31)[0]
 
 
@@ -318,22 +363,28 @@ def reliable_nodes(spark, sf_dir):
     return T.reliable_nodes(T.node_multiplicity(G.degrees(g["nodes"], g["arcs"])), K31).select("node_id", "multiplicity")
 
 
-@query()
+@query(f"{_POS} select read_id, pos, node, off from place")
 def read_node_positions(spark, sf_dir):
     return _graph(spark, sf_dir)["positions"]
 
 
-@query()
+_SEEDS = f"""{_POS}, runs as (select *, case when node = lag(node) over w and pos - lag(pos) over w = 1 and off - lag(off) over w = 1 then 0 else 1 end as new from place window w as (partition by read_id order by pos)),
+seeds as materialized (select read_id, first(node) as node, min(off) as node_first, min(pos) - 1 as read_first, max(pos) as read_end from (select *, sum(new) over (partition by read_id order by pos) as run from runs) group by read_id, run)"""
+_MERGED = f"""{_SEEDS}, mruns as (select *, case when node = lag(node) over w and node_first - lag(node_first) over w = read_first - lag(read_first) over w then 0 else 1 end as new, row_number() over w as nth from seeds window w as (partition by read_id order by node, node_first, read_first)),
+merged as materialized (select read_id, min(node) as node, min(node_first) as node_first, arg_min(read_first, nth) as read_first, arg_max(read_end, nth) as read_end from (select *, sum(new) over (partition by read_id order by nth) as run from mruns) group by read_id, run)"""
+
+
+@query(f"{_SEEDS} select read_id, node, node_first, read_first, read_end from seeds")
 def read_seeds(spark, sf_dir):
     return C.read_seeds(_graph(spark, sf_dir)["positions"])
 
 
-@query()
+@query(f"{_MERGED} select read_id, node, node_first, read_first, read_end from merged")
 def merged_seeds(spark, sf_dir):
     return C.merged_seeds(C.read_seeds(_graph(spark, sf_dir)["positions"]))
 
 
-@query()
+@query(f"{_SEEDS} select * from (select read_id, node, node_first, read_first, read_end, row_number() over (partition by read_id order by read_end - read_first desc, node, node_first, read_first)::int as place from seeds) where place <= 10")
 def top10_seeds(spark, sf_dir):
     return C.top_seeds(C.read_seeds(_graph(spark, sf_dir)["positions"]), 10)
 
@@ -444,16 +495,21 @@ def mem_matches(spark, sf_dir):
     return M.mems(*_sides(spark, sf_dir), L20)
 
 
-@query()
+
+def _lone(rows: str, side: str, start: str) -> str:
+    return f"select * from {rows} m where not exists (select 1 from {rows} o where o.{side} = m.{side} and o.{start} <= m.{start} and o.{start} + o.len >= m.{start} + m.len and (o.query_id, o.ref_id, o.q_start, o.r_start) <> (m.query_id, m.ref_id, m.q_start, m.r_start))"
+
+
+@query(f"{_MEMS} {_lone('mems', 'query_id', 'q_start')}")
 def mam_matches(spark, sf_dir):
     q, r = _sides(spark, sf_dir)
-    return M.unique_matches(G.saved(M.mems(q, r, L20), "mems"), q, r)
+    return M.unique_matches(G.saved(M.mems(q, r, L20), "mems"))
 
 
-@query()
+@query(f"{_MEMS}, mams as ({_lone('mems', 'query_id', 'q_start')}), lone as ({_lone('mems', 'ref_id', 'r_start')}) select mams.* from mams semi join lone using (query_id, ref_id, q_start, r_start, len)")
 def mum_matches(spark, sf_dir):
     q, r = _sides(spark, sf_dir)
-    return M.unique_matches(G.saved(M.mems(q, r, L20), "mems"), q, r, both=True)
+    return M.unique_matches(G.saved(M.mems(q, r, L20), "mems"), both=True)
 
 
 @query(f"{_MEMS} select query_id, ref_id, q_start, r_start, len, substr(q.seq, q_start, len) = substr(r.seq, r_start, len) as ok from mems join q using (query_id) join r using (ref_id)")

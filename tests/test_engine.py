@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwork.config import Config
+from strandwork.functions import packed as P
 from strandwork.functions import seq as S
 from strandwork.operators import correct, graph, kmers, match, stats
 from strandwork.plans import catalogue
@@ -51,6 +52,27 @@ def test_windows_of_long_sequences(spark):
     assert got == {(i + 1, s[i : i + K]) for i in range(len(s) - K + 1)}
 
 
+def test_packed_kmers(spark, monkeypatch):
+    """Codes of windows on both strands, stretches of long texts, and the column forms, against plain text."""
+    rng = random.Random(4)
+    seqs = ["".join(rng.choices("ACGTN", weights=[9, 9, 9, 9, 1], k=n)) for n in (0, 5, 40, 700, 90)] + [None]
+    number = lambda s: int(s.translate(str.maketrans("ACGT", "0123")), 4)
+    for k in (1, 2, 9, 16, 31):
+        monkeypatch.setattr(P, "CHUNK", 64)
+        df = as_reads(spark, seqs)
+        got = {(r.read_id, r.pos, r.code, r.same) for r in P.windows(df, "seq", k, ["read_id"]).collect()}
+        wins = [(i, j + 1, s[j : j + k]) for i, s in enumerate(seqs) for j in range(len(s or "") - k + 1) if "N" not in s[j : j + k]]
+        assert got == {(i, j, number(canon(w)), w == canon(w)) for i, j, w in wins}
+        count = Counter(number(canon(w)) for _, _, w in wins)
+        assert {r.code: r.n for r in P.counts(df, "seq", k).groupBy("code").agg(F.sum("n").alias("n")).collect()} == count
+        one = [w for _, _, w in wins][:40]
+        rows = spark.createDataFrame([(w,) for w in one], "w string").withColumn("c", P.code_of(F.col("w")))
+        for r in rows.select("w", "c", P.letters(F.col("c"), k).alias("t"), P.letters(P.revcomp(F.col("c"), k), k).alias("r")).collect():
+            assert (r.c, r.t, r.r) == (number(r.w), r.w, rc(r.w))
+    with pytest.raises(ValueError):
+        P.windows(as_reads(spark, seqs), "seq", 32, [])
+
+
 def brute_graph(seqs, k):
     count = Counter(canon(s[i : i + k]) for s in seqs for i in range(len(s) - k + 1) if set(s[i : i + k]) <= set("ACGT"))
     solid = {x for x, n in count.items() if n > 1}
@@ -93,8 +115,9 @@ def test_graph(spark, case):
         seqs = [g[:40] + rc(g[:40])] * 2
     solid, arcs, nodes = brute_graph(seqs, K)
     built = graph.build(spark, as_reads(spark, seqs), K)
-    assert {r.kmer for r in built["solid"].collect()} == solid
-    assert {(r.src, r.dst) for r in kmers.kmer_neighbors(built["masks"]).collect()} == arcs
+    assert {r.kmer for r in kmers.spelt(built["solid"], K).collect()} == solid
+    text = lambda c: P.letters(F.col(c), K).alias(c)
+    assert {(r.src, r.dst) for r in kmers.kmer_neighbors(built["masks"], K).select(text("src"), text("dst")).collect()} == arcs
     got = [r.seq for r in built["nodes"].collect()]
     assert Counter(frozenset(canon(s[i : i + K]) for i in range(len(s) - K + 1)) for s in got) == Counter(frozenset(canon(x) for x in p) for p in nodes)
     assert sum(len(s) - K + 1 for s in got) == len(solid)
@@ -179,7 +202,7 @@ def test_matches(spark):
     rng = random.Random(2)
     ref = ["".join(rng.choices("ACGT", k=200)) for _ in range(3)]
     ref[2] = ref[2][:50] + ref[0][40:90] + ref[2][50:]
-    qs = [ref[0][30:80] + "N" + ref[1][5:40], "ACGT"]
+    qs = [ref[0][30:80] + "N" + ref[1][5:40], "ACGT", ref[1][10:35]]
     want = set()
     for qi, q in enumerate(qs):
         for ri, r in enumerate(ref):
@@ -199,8 +222,11 @@ def test_matches(spark):
     assert {r.ok for r in match.verify(mems, queries, refs).collect()} == {True}
     text = lambda m: qs[m[0]][m[2] - 1 : m[2] - 1 + m[4]]
     occurs = lambda t: sum(r[j : j + len(t)] == t for r in ref for j in range(len(r)))
-    mams = {(r.query_id, r.ref_id, r.q_start, r.r_start, r["len"]) for r in match.unique_matches(mems, queries, refs).collect()}
+    mams = {(r.query_id, r.ref_id, r.q_start, r.r_start, r["len"]) for r in match.unique_matches(mems).collect()}
     assert mams == {m for m in want if occurs(text(m)) == 1}
+    inside = lambda t: sum(q[j : j + len(t)] == t for q in qs for j in range(len(q)))
+    mums = {(r.query_id, r.ref_id, r.q_start, r.r_start, r["len"]) for r in match.unique_matches(mems, both=True).collect()}
+    assert mums == {m for m in mams if inside(text(m)) == 1} and len(mums) < len(mams)
 
 
 def test_read_files(spark, tmp_path):
