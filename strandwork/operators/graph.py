@@ -34,10 +34,12 @@ def chains(links: DataFrame, strandless, max_rounds: int = 60) -> DataFrame:
     links = saved(links, "links")
     ended = [links.where("p is null").select("v", F.col("v").alias("p"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("done"))]
     left = links.where("p is not null").select("v", "p", F.lit(1).cast("long").alias("d"), F.lit(False).alias("done"))
-    total, rounds = links.count(), []
-    for r in range(max_rounds):
-        if left.isEmpty() or 2**r > 2 * total:  # what is left then has looked all around its circle
+    rounds, open_before = [], None
+    for _ in range(max_rounds):
+        still = left.count()
+        if still in (0, open_before):  # a path's ranks have no gap: where a round ends none, what is left goes in circles
             break
+        open_before = still
         back = left
         for some in ended:
             back = back.unionByName(some)
@@ -287,6 +289,57 @@ def sanity(nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
     return joined.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("dangling"), F.count_if(F.col("tc").isNull()).alias("one_sided"), F.count_if(F.col("tc") != F.col("cov")).alias("unequal"), F.count_if(F.col("a") != F.col("b")).alias("no_overlap"))
 
 
+def prelude(nodes: DataFrame, arcs: DataFrame, k: int, cutoff: float = 3.0, read_length: float = 150.0) -> tuple[DataFrame, DataFrame]:
+    """A graph made simpler before its statistics are taken: tips clipped, merged, nodes of low coverage removed, merged."""
+    most = int(4 * read_length)
+    for gone in (lambda n, a: clip_tips(n, a, 0.7 * cutoff, cutoff, most), lambda n, a: coverage_filter(n, cutoff, most)):
+        kept = remove_nodes(nodes, arcs, saved(gone(nodes, arcs), "gone"))
+        nodes, arcs = (saved(t, "merged") for t in merge_linear(saved(kept[0], "nodes"), saved(kept[1], "arcs"), k))
+    return nodes, arcs
+
+
+def _neighbours(nodes: DataFrame, arcs: DataFrame, sure: DataFrame) -> DataFrame:
+    """Right neighbours of sure nodes (node_id signed, multiplicity): node, multiplicity, next, its coverage, length and degrees."""
+    near = degrees(nodes, arcs).select(F.col("node_id").alias("_id"), (F.col("kmer_cov") / F.col("marginal")).alias("cov_next"), "marginal", "n_right", "n_left")
+    j = arcs.join(sure, F.col("src") == F.col("node_id")).join(near, F.abs("dst") == F.col("_id"))
+    right = F.when(F.col("dst") > 0, F.col("n_right")).otherwise(F.col("n_left"))
+    left = F.when(F.col("dst") > 0, F.col("n_left")).otherwise(F.col("n_right"))
+    return j.select(F.col("src").alias("node"), "multiplicity", F.col("dst").alias("next"), "cov_next", "marginal", right.alias("next_right"), left.alias("next_left"))
+
+
+def delete_extra_neighbors(nodes: DataFrame, arcs: DataFrame, sure: DataFrame, red_line: float, mean: float, std: float, max_delete: int, bubble_nodes: DataFrame | None = None) -> DataFrame:
+    """node_ids to remove: of each sure node's right neighbours of too low a coverage the least covered one.
+
+    sure: (node_id signed, multiplicity) of reliable nodes; only those whose multiplicity is at least their number of right
+    neighbours count. Too low is under red_line, for tips and losing branches of bubbles (bubble_nodes: node_id) under
+    the greater of red_line and mean - 2 std. Nodes longer than max_delete stay. Ties go to the least node.
+    """
+    near = _neighbours(nodes, arcs, sure)
+    near = near.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node"))).where(F.col("multiplicity") >= F.col("n"))
+    doubted = (F.col("next_right") == 0) & (F.col("next_left") == 1)
+    if bubble_nodes is not None:
+        near = near.join(bubble_nodes.select(F.col("node_id").alias("_b")).distinct(), F.abs("next") == F.col("_b"), "left")
+        doubted = doubted | F.col("_b").isNotNull()
+    limit = F.when(doubted, F.lit(max(red_line, mean - 2 * std))).otherwise(F.lit(float(red_line)))
+    low = near.where((F.col("cov_next") < limit) & (F.col("marginal") <= max_delete))
+    first = low.groupBy("node").agg(F.min(F.struct("cov_next", "next")).alias("x"))
+    return first.select(F.abs("x.next").alias("node_id")).distinct()
+
+
+def connect_same_mult(nodes: DataFrame, arcs: DataFrame, sure: DataFrame, red_line: float, max_delete: int) -> DataFrame:
+    """node_ids to remove: low siblings on an arc between two sure nodes of one multiplicity of 2 or more.
+
+    Right neighbours of the first and left neighbours of the second, other than these two, under red_line and not longer than
+    max_delete; of each side the least covered one.
+    """
+    a, b = (sure.select(F.col("node_id").alias(x), F.col("multiplicity").alias(f"m{x}")) for x in "ab")
+    pairs = saved(arcs.join(a, F.col("src") == F.col("a")).join(b, F.col("dst") == F.col("b")).where("ma = mb and ma >= 2").select("a", "b"), "pairs")
+    sides = arcs.join(pairs, F.col("src") == F.col("a")).where("dst <> b").select(F.col("a").alias("at"), F.abs("dst").alias("node_id"))
+    sides = sides.union(arcs.join(pairs, F.col("dst") == F.col("b")).where("src <> a").select((-F.col("b")).alias("at"), F.abs("src").alias("node_id")))
+    low = sides.join(nodes.select("node_id", (F.col("kmer_cov") / F.col("marginal")).alias("c"), "marginal"), "node_id").where((F.col("c") < red_line) & (F.col("marginal") <= max_delete))
+    return low.groupBy("at").agg(F.min(F.struct("c", "node_id")).alias("x")).select(F.col("x.node_id").alias("node_id")).distinct()
+
+
 def purify(nodes: DataFrame, arcs: DataFrame, k: int, cutoff: float, read_length: int, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
     """Rounds of tip clipping, bubble removal and linear merges under rising thresholds, until a round removes nothing.
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import packed as P
 from ..functions import seq as S
 from ..operators import correct as C
+from ..operators import explore as X
 from ..operators import graph as G
 from ..operators import kmers as K
 from ..operators import match as M
 from ..operators import stats as T
-from ..sources.reads import documents_as_reads, wrapped
+from ..sources.reads import READS_A_DOC, documents_as_reads, wrapped
 
 K31, L20, BAND = 31, 20, 2
 #: Coverage under which dead ends go: joined on one side (RED), alone or at a branch (SAFE).
@@ -43,7 +44,7 @@ def _rc(c: str) -> str:
 
 
 _READS = f"""d as (select doc_id, source, {_dna("coalesce(text, '')")} as s from documents),
-reads as (select doc_id * 100000 + i as read_id, source, substr(s, i * 50 + 1, 100) as seq from (select doc_id, source, s, unnest(range(0, cast(ceil(length(s) / 50.0) as bigint))) as i from d where s <> ''))"""
+reads as (select doc_id * {READS_A_DOC} + i as read_id, source, substr(s, i * 50 + 1, 100) as seq from (select doc_id, source, s, unnest(range(0, cast(ceil(length(s) / 50.0) as bigint))) as i from d where s <> ''))"""
 
 
 def _windows(k: int, name: str = "kw") -> str:
@@ -400,6 +401,74 @@ def correction_report(spark, sf_dir):
     return C.report(corrected_reads(spark, sf_dir))
 
 
+# --- looking at the graph; the benchmark texts serve as its genome
+
+_GENOME = f"contigs as (select item_id as ref_id, {_dna('text')} as seq from benchmark)"
+DEPTH, ROOTS, SPAN = 40, 100, 400
+
+
+def _contigs(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), S.dna(F.col("text")).alias("seq"))
+
+
+@query(f"{_COUNTS} select kmer, list_reduce(list_transform(string_split(translate(kmer, 'ACGT', '0123'), ''), lambda x: x::bigint), lambda a, b: a * 4 + b) as code from solid")
+def kmer_code(spark, sf_dir):
+    return K.solid(_counts(spark, sf_dir)).select(P.letters(F.col("code"), K31).alias("kmer"), "code")
+
+
+@query(f"{_COUNTS} select {_rc('kmer')} as rc, substr(kmer, 1, 1) as first_base, substr(kmer, {K31}, 1) as last_base, substr(kmer, 25, 30) as tail from solid")
+def kmer_peek(spark, sf_dir):
+    code, text = F.col("code"), P.letters(F.col("code"), K31)
+    base = lambda b: F.substr(F.lit("ACGT"), b.cast("int") + 1, F.lit(1))
+    return K.solid(_counts(spark, sf_dir)).select(P.letters(P.revcomp(code, K31), K31).alias("rc"), base(F.shiftright(code, 2 * K31 - 2)).alias("first_base"), base(code.bitwiseAND(F.lit(3))).alias("last_base"), F.substr(text, F.lit(25), F.lit(30)).alias("tail"))
+
+
+@query(f"{_GRAPH}, walk as (select node_id as a, node_id as b from nodes union select a, n from walk join (select abs(src) as s, abs(dst) as n from acov union select abs(dst), abs(src) from acov) on b = s) select a as node_id, min(b) as component from walk group by a".replace("with ", "with recursive ", 1))
+def components(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return X.components(g["nodes"], g["arcs"])
+
+
+@query(f"{_GRAPH}, near as (select distinct s, n, marginal from (select src as s, dst as n from acov union all select dst, src from acov) join nodes on abs(s) = node_id), reach as (select node_id as root, node_id as node, 0::bigint as depth from nodes where node_id % {ROOTS} = 0 union select root, n, depth + marginal from reach join near on node = s where depth <= {DEPTH}) select root, node, min(depth) as depth from reach group by root, node".replace("with ", "with recursive ", 1))
+def neighborhood(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return X.neighborhood(g["nodes"], g["arcs"], g["nodes"].where(F.col("node_id") % ROOTS == 0).select(F.col("node_id").alias("root")), DEPTH)
+
+
+@query(f"{_UNITIGS} select node_id, coalesce(sum(2 * length(seq) + 2) over (order by node_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from unitigs")
+def node_start_offsets(spark, sf_dir):
+    return X.node_start_offsets(_graph(spark, sf_dir)["nodes"])
+
+
+@query(f"{_GRAPH} select concat_ws(chr(9), src::varchar, dst::varchar, cov::varchar) as value from acov union all select concat_ws(chr(9), node_id::varchar, marginal::varchar, kmer_cov::varchar, read_start_cov::varchar) from nodes")
+def cytoscape(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    arcs, nodes = X.cytoscape(g["nodes"], g["arcs"])
+    return arcs.unionAll(nodes)
+
+
+@query(f"{_COUNTS}, {_GENOME}, gw as (select substr(seq, p, {K31}) as w from (select seq, unnest(range(1, length(seq) - {K31} + 2)) as p from contigs)), gk as (select least(w, {_rc('w')}) as kmer from gw where not regexp_matches(w, '[^ACGT]')) select count(*) as n_kmers, count(cov) as n_found, count(*) filter (where cov > 1) as n_solid, round(100.0 * count(cov) / count(*), 6)::double as pct_found, round(100.0 * count(*) filter (where cov > 1) / count(*), 6)::double as pct_solid from gk left join kc using (kmer)")
+def validate_kmers(spark, sf_dir):
+    return X.validate_kmers(_contigs(spark, sf_dir), _counts(spark, sf_dir), K31)
+
+
+@query(f"{_ARCS}, {_GENOME}, gw as (select substr(seq, p, {K31 + 1}) as w from (select seq, unnest(range(1, length(seq) - {K31} + 1)) as p from contigs)), gs as (select substr(w, 1, {K31}) as src, substr(w, 2) as dst from gw where not regexp_matches(w, '[^ACGT]')) select count(*) as n_steps, count(*) filter (where (src, dst) in (select (src, dst) from arcs)) as n_seen from gs where least(src, {_rc('src')}) in (select kmer from solid) and least(dst, {_rc('dst')}) in (select kmer from solid)")
+def validate_overlaps(spark, sf_dir):
+    return X.validate_overlaps(_contigs(spark, sf_dir), _masks(spark, sf_dir), K31)
+
+
+@query(f"{_UNITIGS}, {_GENOME}, told as (select length(seq) - {K31 - 1} as marginal, exists (select 1 from contigs c where contains(c.seq || c.seq, u.seq) or contains(c.seq || c.seq, {_rc('u.seq')})) as ok from unitigs u) select count(*) filter (where ok) as n_correct, count(*) filter (where not ok) as n_incorrect, coalesce(sum(marginal) filter (where ok), 0)::bigint as size_correct, coalesce(sum(marginal) filter (where not ok), 0)::bigint as size_incorrect, (select sum(length(seq) + 1 - {K31})::bigint from contigs) as genome_size from told")
+def graph_quality(spark, sf_dir):
+    return X.graph_quality(_graph(spark, sf_dir)["nodes"], _contigs(spark, sf_dir), K31)
+
+
+@query(f"with d as (select doc_id as ref_id, {_dna('text')} as seq from documents), w as (select ref_id, p, substr(seq, p, {L20}) as w from (select ref_id, seq, unnest(range(1, length(seq) - {L20} + 2)) as p from d where length(seq) >= {L20})), b as (select item_id as id, {_dna('text')} as s from benchmark), st as (select id, ref_id, p from w join b on w = substr(s, 1, {L20})), sp as (select id, ref_id, p from w join b on w = substr(s, 61, {L20})) select st.id, st.ref_id, st.p as p1, sp.p as p2 from st join sp on st.id = sp.id and st.ref_id = sp.ref_id and sp.p > st.p and sp.p - st.p + {L20} <= {SPAN} where not regexp_matches((select any_value(substr(s, 1, {L20}) || substr(s, 61, {L20})) from b where b.id = st.id), '[^ACGT]')")
+def pair_span(spark, sf_dir):
+    q, r = _sides(spark, sf_dir)
+    part = lambda at: X.hits(q.select(F.col("query_id").alias("id"), F.substr("seq", F.lit(at), F.lit(L20)).alias("seq")).where(F.length("seq") == L20), r, L20)
+    return X.pair_span(part(1), part(61), SPAN)
+
+
 # --- statistics, on parts taken as nodes: marginal = quantity sold, kmer_cov = lines x 7 + size, read_start_cov = lines
 
 _NODES = "nodes as (select l_partkey as node_id, sum(l_quantity)::bigint as marginal, (count(*) * 7 + l_partkey % 50)::bigint as kmer_cov, count(*) as read_start_cov from lineitem group by l_partkey)"
@@ -500,6 +569,11 @@ def _lone(rows: str, side: str, start: str) -> str:
     return f"select * from {rows} m where not exists (select 1 from {rows} o where o.{side} = m.{side} and o.{start} <= m.{start} and o.{start} + o.len >= m.{start} + m.len and (o.query_id, o.ref_id, o.q_start, o.r_start) <> (m.query_id, m.ref_id, m.q_start, m.r_start))"
 
 
+@query(f"{_MEMS.replace('q as (select item_id as query_id, ', 'q0 as (select item_id as query_id, ').replace(' from benchmark)', ' from benchmark), q as (select query_id, seq, false as reverse from q0 union all select -1 - query_id, ' + _rc('seq') + ', true from q0)')} select case when reverse then -1 - query_id else query_id end as query_id, ref_id, q_start, r_start, len, reverse, case when reverse then length(q.seq) - q_start - len + 2 else q_start end as q_forward from mems join q using (query_id)")
+def mem_both_strands(spark, sf_dir):
+    return X.mems_on_strands(*_sides(spark, sf_dir), L20)
+
+
 @query(f"{_MEMS} {_lone('mems', 'query_id', 'q_start')}")
 def mam_matches(spark, sf_dir):
     q, r = _sides(spark, sf_dir)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
 
 FORMATS = ("sam", "raw", "fasta", "fastq")
+#: Read ids that each document has to itself.
+READS_A_DOC = 1 << 32
 
 
 def file_format(path: str) -> str:
@@ -26,20 +28,36 @@ def default_output(path: str) -> str:
     return re.sub(rf"\.{kind}(\.gz)?$", "", path, flags=re.I) + f".corr.{kind}"
 
 
+def _starts(counts: DataFrame) -> DataFrame:
+    """(part, start) of (part, n): a row a partition, so the one ordered window is small."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+
+
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): lines in the file's order; partitions are counted first, so nothing is collected."""
-    lines = spark.read.text(path)
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])), "n long, value string")
+    """(n, value, part): lines in the file's order, numbered from 0 by their place in their partition and the partition's start."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.select(F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), "value")
+    starts = _starts(lines.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    return lines.join(F.broadcast(starts), "part").select((F.col("at") + F.col("start")).alias("n"), "value", "part")  # a row a partition
+
+
+def _fasta(lines: DataFrame) -> DataFrame:
+    """Records of lines: a header is a line that begins with >, other > are text. What stands before the first header is no record."""
+    marked = lines.withColumn("head", F.col("value").startswith(">").cast("int"))
+    starts = _starts(marked.groupBy("part").agg(F.sum("head").alias("n")))
+    within = Window.partitionBy("part").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("record", F.sum("head").over(within)).join(F.broadcast(starts), "part").withColumn("record", F.col("record") + F.col("start"))
+    rows = marked.where("record > 0").groupBy("record").agg(F.max(F.when(F.col("head") == 1, F.col("value"))).alias("title"), F.sort_array(F.collect_list(F.when(F.col("head") == 0, F.struct("n", "value")))).alias("x"))
+    seq = F.regexp_replace(F.array_join("x.value", ""), r"\s", "")
+    return rows.select(F.col("record").alias("n"), F.concat(F.regexp_replace("title", "\r$", ""), F.lit("\n")).alias("pre"), seq.alias("seq"), F.lit("\n").alias("post"), F.lit(None).cast("string").alias("qual"))
 
 
 def read_reads(spark: SparkSession, path: str, lib_id: int = 0) -> DataFrame:
     """(lib_id, read_id, pre, seq, post, qual) in file order; sequences in upper case; empty records are skipped."""
     kind = file_format(path)
     if kind == "fasta":
-        rows = spark.read.option("lineSep", ">").text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-        rows = spark.createDataFrame(rows, "n long, value string").where("n > 0")
-        parts = F.split("value", "\r?\n", 2)
-        rows = rows.select("n", F.concat(F.lit(">"), parts[0], F.lit("\n")).alias("pre"), F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), r"\s", "").alias("seq"), F.lit("\n").alias("post"), F.lit(None).cast("string").alias("qual"))
+        rows = _fasta(_numbered_lines(spark, path))
     elif kind == "fastq":
         lines = _numbered_lines(spark, path)
         rec = lines.groupBy(F.expr("n div 4").alias("n")).agg(*[F.max(F.when(F.col("n") % 4 == i, F.col("value"))).alias(f"l{i}") for i in range(4)])
@@ -87,4 +105,4 @@ def documents_as_reads(spark: SparkSession, sf_dir: str, length: int = 100, step
     tiles = docs.where("s <> ''").select("doc_id", "source", F.length("s").alias("n"), F.explode(F.sequence(F.lit(0), ((F.length("s") - 1) / (step * wide)).cast("int"))).alias("t"), "s")
     tiles = tiles.select("doc_id", "source", "n", "t", F.substr("s", F.col("t") * step * wide + 1, F.lit(step * wide + length)).alias("s"))
     reads = tiles.select("doc_id", "source", "n", "t", "s", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("j")).where((F.col("t") * wide + F.col("j")) * step < F.col("n"))
-    return reads.select((F.col("doc_id") * 100000 + F.col("t") * wide + F.col("j")).alias("read_id"), "source", F.substr("s", F.col("j") * step + 1, F.lit(length)).alias("seq"))
+    return reads.select((F.col("doc_id") * READS_A_DOC + F.col("t") * wide + F.col("j")).alias("read_id"), "source", F.substr("s", F.col("j") * step + 1, F.lit(length)).alias("seq"))

@@ -8,12 +8,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from strandwork.config import Config
 from strandwork.functions import packed as P
 from strandwork.functions import seq as S
-from strandwork.operators import correct, graph, kmers, match, stats
+from strandwork.operators import correct, explore, graph, kmers, match, stats
 from strandwork.plans import catalogue
 from strandwork.sources import reads as R
+from strandwork.sources import stages
 
 K = 9
 
@@ -30,13 +30,6 @@ def as_reads(spark, seqs):
     return spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
 
 
-def test_config():
-    assert Config().k == 31
-    for k in (8, 10, 7, 65):
-        with pytest.raises(ValueError):
-            Config(k=k)
-
-
 def test_sequence_functions(spark):
     row = spark.range(1).select(S.revcomp(F.lit("AGCTTGCT")).alias("a"), S.iupac_revcomp(F.lit("ACGTRYKMBVDHSW-")).alias("b"), S.push_right(F.lit("ACG"), F.lit("T")).alias("c"), S.push_left(F.lit("ACG"), F.lit("T")).alias("d")).first()
     assert tuple(row) == ("AGCAAGCT", "nwsdhbvkmryacgt", "CGT", "TAC")
@@ -232,7 +225,7 @@ def test_matches(spark):
 def test_read_files(spark, tmp_path):
     seqs = ["ACGT" * 25, "acgtn" * 24, "TTTT"]
     texts = {
-        "fasta": "".join(f">r{i} x\n" + "\n".join(s[j : j + 60] for j in range(0, len(s), 60)) + "\n" for i, s in enumerate(seqs)),
+        "fasta": "".join(f">r{i} x>y A>G\n" + "\n".join(s[j : j + 60] for j in range(0, len(s), 60)) + "\n" for i, s in enumerate(seqs)),
         "fastq": "".join(f"@r{i}\n{s}\n+\n{'I' * len(s)}\n" for i, s in enumerate(seqs)),
         "sam": "@HD\tVN:1\n" + "".join(f"r{i}\t0\tc\t1\t60\t*\t*\t0\t0\t{s}\t{'I' * len(s)}\tX:1\n" for i, s in enumerate(seqs)),
         "raw": "\n".join(seqs[:2]) + "\n\n" + seqs[2],
@@ -248,7 +241,7 @@ def test_read_files(spark, tmp_path):
         R.write_reads(R.read_reads(spark, str(plain)), out, kind)
         body = "\n".join(r.value for r in spark.read.text(out).collect())
         if kind == "fasta":
-            assert max(map(len, body.split("\n"))) == 70 and body.count(">") == 3
+            assert max(map(len, body.split("\n"))) == 70 and body.count("\n>") == 2 and body.count(" x>y A>G\n") == 3
         else:
             assert body.upper() == "\n".join(x for x in text.upper().split("\n") if x and not x.startswith("@HD"))
     with pytest.raises(ValueError):
@@ -259,6 +252,57 @@ def test_read_files(spark, tmp_path):
         R.read_reads(spark, str(tmp_path / "bad.fastq")).collect()
 
 
+def test_libraries_and_stage_files(spark, tmp_path):
+    (tmp_path / "a.raw").write_text("ACGTACGTA\nACGTACGTA\n")
+    (tmp_path / "b.fasta").write_text("lost\n>x\nAC\nGT\n>none\n>y\nTTTTTTTTT")
+    got = R.read_libraries(spark, [str(tmp_path / "a.raw"), str(tmp_path / "b.fasta")]).orderBy("lib_id", "read_id").collect()
+    assert [(r.lib_id, r.seq) for r in got] == [(0, "ACGTACGTA"), (0, "ACGTACGTA"), (1, "ACGT"), (1, "TTTTTTTTT")]
+    with pytest.raises(ValueError):
+        R.read_libraries(spark, [])
+    b = graph.build(spark, as_reads(spark, [r.seq for r in got]), K)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    counts = kmers.kmer_count(b["reads"], K)
+    for solid in (True, False):
+        stages.write_kmers(counts, str(tmp_path / "kmers"), K, solid)
+        assert rows(stages.read_kmers(spark, str(tmp_path / "kmers"), K)) == rows(counts.where("cov > 1") if solid else counts)
+    with pytest.raises(ValueError):
+        stages.read_kmers(spark, str(tmp_path / "kmers"), 11)
+    stages.write_graph(b["nodes"], b["arcs"], str(tmp_path / "graph"))
+    nodes, arcs = stages.read_graph(spark, str(tmp_path / "graph"))
+    assert rows(nodes) == rows(b["nodes"].select(nodes.columns)) and rows(arcs) == rows(b["arcs"])
+    stats_ = stats.library_stats(b["reads"].withColumn("source", F.lit("a")))
+    stages.write_library_metadata(stats_, str(tmp_path / "met"))
+    assert rows(stages.read_library_metadata(spark, str(tmp_path / "met"))) == rows(stats_)
+    assert [stages.read_length(x, 31) for x in (None, 31.0, 100.0, 501.0)] == [150.0, 150.0, 100.0, 150.0]
+
+
+def test_unreliable_neighbours(spark):
+    """A sure node 1 with right neighbours 2 (twin, sure), 3 (low), 4 (a tip of middling coverage); 5 also leads into 2."""
+    nodes = spark.createDataFrame([(i, "A" * (m + K - 1), c, 0, m) for i, m, c in ((1, 50, 500), (2, 60, 600), (3, 20, 20), (4, 20, 100), (5, 20, 40), (6, 30, 30))], "node_id long, seq string, kmer_cov long, read_start_cov long, marginal long")
+    one = [(1, 2), (1, 3), (1, 4), (5, 2), (3, 6), (2, 6)]
+    arcs = spark.createDataFrame([(x, y, 1) for x, y in one] + [(-y, -x, 1) for x, y in one], "src long, dst long, cov long")
+    ids = lambda df: {r.node_id for r in df.collect()}
+    sure = spark.createDataFrame([(1, 3.0), (2, 3.0)], "node_id long, multiplicity double")
+    assert ids(graph.delete_extra_neighbors(nodes, arcs, sure, 2.0, 10.0, 1.0, 400)) == {3, 6}
+    assert ids(graph.delete_extra_neighbors(nodes, arcs, sure.where("node_id = 1"), 0.5, 10.0, 1.0, 400)) == {4}  # a tip under mean - 2 std
+    assert ids(graph.delete_extra_neighbors(nodes, arcs, sure.where("node_id = 1"), 0.5, 6.0, 1.0, 400, nodes.where("node_id = 3").select("node_id"))) == {3}
+    assert ids(graph.delete_extra_neighbors(nodes, arcs, sure, 2.0, 10.0, 1.0, 10)) == set()
+    assert ids(graph.delete_extra_neighbors(nodes, arcs, sure.withColumn("multiplicity", F.lit(0.0)), 2.0, 10.0, 1.0, 400)) == set()
+    assert ids(graph.connect_same_mult(nodes, arcs, sure, 3.0, 400)) == {3, 5}
+    assert ids(graph.connect_same_mult(nodes, arcs, sure.withColumn("multiplicity", F.col("node_id") + 1.0), 3.0, 400)) == set()
+    assert {(r.node_id, r.component) for r in explore.components(nodes.union(nodes.where("node_id = 1").withColumn("node_id", F.lit(9).cast("long"))), arcs).collect()} == {*((i, 1) for i in range(1, 7)), (9, 9)}
+    near = {(r.root, r.node): r.depth for r in explore.neighborhood(nodes, arcs, spark.createDataFrame([(1,)], "root long"), 60).collect()}
+    assert near == {(1, 1): 0, (1, 2): 50, (1, 3): 50, (1, 4): 50, (1, 6): 70, (1, 5): 110}
+
+
+def test_prelude(spark):
+    rng = random.Random(11)
+    g = "".join(rng.choices("ACGT", k=200))
+    b = graph.build(spark, as_reads(spark, [g] * 12 + [g[:100] + "".join(rng.choices("ACGT", k=20))] * 2), 15)
+    nodes, arcs = graph.prelude(b["nodes"], b["arcs"], 15)
+    assert [r.seq for r in nodes.collect()] == [canon(g)] and arcs.count() == 0
+
+
 def test_multiplicity_climb(spark):
     rows = [(i, 1000 - i, 5 * (1000 - i), (1000 - i) * (1 + i % 3) // 50) for i in range(30)]
     nodes = spark.createDataFrame(rows, "node_id long, marginal long, kmer_cov long, read_start_cov long")
@@ -296,7 +340,7 @@ def test_reliable_nodes(spark):
     assert {0, 1, 11} <= sure and not sure & {4, 5, 8, 9, 10}
 
 
-SMALL = ["dna_projection", "solid_kmers", "kmer_overlap_mask", "kmer_neighbors", "n50", "coverage_std_top5", "poisson_pdf", "mem_matches", "asof_offset", "concat_offsets", "confusion_metrics", "match_score"]
+SMALL = ["dna_projection", "solid_kmers", "unitigs", "arc_cov", "graph_fasta", "merged_seeds", "components", "neighborhood", "graph_quality", "validate_overlaps", "mum_matches", "mem_both_strands", "pair_span", "clip_tips", "kmer_overlap_mask", "kmer_neighbors", "n50", "coverage_std_top5", "poisson_pdf", "mem_matches", "asof_offset", "concat_offsets", "confusion_metrics", "match_score"]
 
 
 @pytest.mark.parametrize("name", SMALL)
