@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embeddings, lines, media, packing, sharding, simhash, toolcalls, toxicity, warc
-from .common import stored, table
+from .common import table
 
 SITES = 10
 MAX_TRAIN = 4000
@@ -75,36 +75,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_png_media, op2_byte_bpe, op3_warc_index, op4_line_spread, op5_embedding_lsh, op6_toxicity, op7_simhash_grid, op8_best_fit, op9_hash_tree, op10_tool_calls, pipeline)}
 
-_BASE32 = " || ".join(f"substr('{warc.BASE32}', 1 + ((g{i} >> {s}) & 31)::int, 1)" for i in range(8) for s in (15, 10, 5, 0))
 _LINES = "select doc_id, source, pos, line from (select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)"
 
 
-def _draw(node: str, weight: float) -> str:
-    return f"(-ln((('0x' || substr(md5(k || '/{node}'), 1, 12))::bigint::double + 1.0) / {float(2**48 + 1)!r}) / {float(weight)!r})"
-
-
-def _pick(children: list[tuple[str, float, str]]) -> str:
-    if len(children) == 1:
-        return children[0][2]
-    best = f"least({', '.join(_draw(n, w) for n, w, _ in children)})"
-    cases = " ".join(f"when {_draw(n, w)} = {best} then {v}" for n, w, v in children[:-1])
-    return f"case {cases} else {children[-1][2]} end"
-
-
-def _tree_sql(tree: sharding.Tree) -> str:
-    regions, n = [], 0
-    for i, region in enumerate(tree.regions):
-        racks = []
-        for j, rack in enumerate(region):
-            shards = [(f"r{i}.{j}.{k}", w, str(n + k)) for k, w in enumerate(rack)]
-            n += len(rack)
-            racks.append((f"r{i}.{j}", sum(rack), _pick(shards)))
-        regions.append((f"r{i}", sum(w for _, w, _ in racks), _pick(racks)))
-    return _pick(regions)
-
-
 ORACLES = {
-    "op3_warc_index": None,
     "op4_line_spread": f"""
 with l as ({_LINES}),
 spread as (select line, first(doc_id order by doc_id, pos) as keep_id, first(pos order by doc_id, pos) as keep_at from l where length(trim(line)) > 0 group by line having count(distinct source) >= {SITES}),
@@ -112,4 +86,3 @@ m as (select l.doc_id, l.pos, l.line, s.line is not null and not (l.doc_id = s.k
 t as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as kept from m group by doc_id)
 select doc_id, n_lines, n_removed, length(kept) as n_chars_kept, md5(kept) as text_md5 from t""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

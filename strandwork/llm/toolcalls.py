@@ -48,6 +48,18 @@ def calls_from_conversations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls.select("conv_id", F.col("x.call_id").alias("call_id"), "x.c.name", "x.c.arguments", "waits_for", "position"), results
 
 
+def _shaped(kinds: list[str]):
+    """Whether a variant has one of the shapes, as a function of one column."""
+
+    def fits(x: Column) -> Column:
+        good = F.lit(False)
+        for kind in kinds:
+            good = good | F.schema_of_variant(x).startswith(kind)
+        return F.coalesce(good, F.lit(False))
+
+    return fits
+
+
 def _object_errors(value: Column, schema: dict, within: str, path: str) -> Column:
     """Array of what is wrong with the fields of a variant object, deeper objects included; fields are named by their path."""
     keys = F.json_object_keys(F.to_json(F.variant_get(value, path, "variant")) if path != "$" else F.to_json(value))
@@ -67,9 +79,8 @@ def _object_errors(value: Column, schema: dict, within: str, path: str) -> Colum
             if limit in rule:
                 checks.append(F.when(have & good & wrong(rule[limit]), F.lit(f"{within}{field} breaks {limit}")))
         if "items" in rule:
-            items, kinds = F.try_variant_get(value, at, "array<variant>"), _TYPES[rule["items"]["type"]]
-            fits = lambda x, kinds=kinds: F.coalesce(F.exists(F.array(*[F.schema_of_variant(x).startswith(k) for k in kinds]), lambda b: b), F.lit(False))
-            checks.append(F.when(have & good & ~F.coalesce(F.forall(items, fits), F.lit(True)), F.lit(f"{within}{field} holds what is not {rule['items']['type']}")))
+            items = F.try_variant_get(value, at, "array<variant>")
+            checks.append(F.when(have & good & ~F.coalesce(F.forall(items, _shaped(_TYPES[rule["items"]["type"]])), F.lit(True)), F.lit(f"{within}{field} holds what is not {rule['items']['type']}")))
         if rule["type"] == "object" and ("properties" in rule or "required" in rule):
             deeper.append(F.when(have & good, _object_errors(value, rule, f"{within}{field}.", at)).otherwise(F.array().cast("array<string>")))
     found = [F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")]
