@@ -16,7 +16,7 @@ from .common import arrow_batches
 from .tokens import one_blank_apart
 
 #: Characters of text whose new words are encoded together: a task's unit of memory.
-PACK_CHARS = 8_000_000
+PACK_CHARS = 10_000_000
 #: Words that a task remembers from pack to pack; beyond it starts anew.
 KNOWN_WORDS = 700_000
 #: Words whose ids are laid out at a time, or one document's if it has more.
