@@ -393,7 +393,7 @@ def top10_seeds(spark, sf_dir):
 @query()
 def corrected_reads(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return C.correct(g["reads"], C.read_seeds(g["positions"]), g["nodes"], K31)
+    return C.correct(g["reads"], g["positions"], g["nodes"], g["arcs"], K31, retry=False)
 
 
 @query()

@@ -178,12 +178,119 @@ def test_correction(spark):
     bad = g[20:100][:50] + ("A" if g[70] != "A" else "C") + g[20:100][51:]
     rows = as_reads(spark, [g] * 5 + [bad, "ACGTACGTACG"])
     b = graph.build(spark, rows, K)
-    got = {r.read_id: r for r in correct.correct(rows, correct.read_seeds(b["positions"]), b["nodes"], K).collect()}
+    got = {r.read_id: r for r in correct.correct(rows, b["positions"], b["nodes"], b["arcs"], K, retry=False).collect()}
     assert got[5].corrected == g[20:100] and got[5].substitutions == 1 and got[0].corrected == g
     assert got[6].corrected == "ACGTACGTACG"
 
 
+def walk_score(a, b, gap=-3):
+    """Banded alignment, band 2, cell by cell."""
+    d = {(0, 0): 0}
+    for i in range(len(a) + 1):
+        for j in range(max(0, i - 2), min(len(b), i + 2) + 1):
+            if i or j:
+                hit = 1 if i and j and (a[i - 1] == b[j - 1] or "N" in (a[i - 1], b[j - 1])) else -1
+                d[i, j] = max(d.get((i - 1, j - 1), -999) + hit, d.get((i - 1, j), -999) + gap, d.get((i, j - 1), -999) + gap)
+    return d[len(a), len(b)]
+
+
+def test_band_scores():
+    rng = random.Random(5)
+    pairs = [("", ""), ("A", "A"), ("", "AC")]
+    for n in (5, 20, 60):
+        for _ in range(30):
+            a = "".join(rng.choices("ACGTN", weights=[9, 9, 9, 9, 1], k=n))
+            b = list(a)
+            for _ in range(rng.randrange(6)):
+                b[rng.randrange(len(b))] = rng.choice("ACGT")
+            if rng.random() < 0.5:
+                del b[rng.randrange(len(b))]
+                b.insert(rng.randrange(len(b) + 1), rng.choice("ACGT"))
+            pairs.append((a, "".join(b)[: n - rng.randrange(3)]))
+    assert list(correct.band_scores(*map(list, zip(*pairs, strict=True)))) == [walk_score(a, b) for a, b in pairs]
+
+
+def best_extension(seq, node, pos, out, k, score=0, best=None, trail=""):
+    """The search in plain form: depth first, best child first, a path counts if it beats all before it."""
+    m = len(seq) - k + 1
+    best = best if best is not None else [pos - m, pos, ""]
+    kids = []
+    for d, text in out.get(node, []):
+        marginal = len(text) - k + 1
+        n = min(marginal, m - pos)
+        add = walk_score(seq[pos + k - 1 : pos + k - 1 + n], text[k - 1 : k - 1 + n])
+        kids.append((-add / marginal, -(score + add), d, pos + n, text[k - 1 : k - 1 + n]))
+    for _, s, d, p, letters in sorted(kids):
+        if -s > best[0]:
+            best[:] = [-s, p, trail + letters]
+        if -s + m - p > best[0]:
+            best_extension(seq, d, p, out, k, -s, best, trail + letters)
+    return best
+
+
+def test_search_over_arcs(spark):
+    """Growth to the right over a graph of many branches against the depth-first search, and reads mended over branches."""
+    rng = random.Random(8)
+    g = "".join(rng.choices("ACGT", k=400))
+    swaps = {60: "A", 75: "C", 140: "G", 150: "T", 230: "A", 300: "C"}
+    h = "".join(swaps[i] if i in swaps and swaps[i] != c else c for i, c in enumerate(g))
+    mix = g[:180] + h[180:]
+    clean = [g] * 3 + [h] * 3 + [mix] * 2
+    noisy = []
+    for n in range(12):
+        a = rng.randrange(0, 300)
+        r = list((g, h, mix)[n % 3][a : a + 90])
+        for _ in range(1 + n % 4):
+            i = rng.randrange(90)
+            r[i] = rng.choice([c for c in "ACGT" if c != r[i]])
+        noisy.append(("".join(r), a))
+    rows = as_reads(spark, clean + [r for r, _ in noisy])
+    b = graph.build(spark, rows, K)
+    texts = {}
+    for r in b["nodes"].collect():
+        texts[r.node_id], texts[-r.node_id] = r.seq, rc(r.seq)
+    out = {}
+    for r in b["arcs"].collect():
+        out.setdefault(r.src, []).append((r.dst, texts[r.dst]))
+    seeds = correct._spread(correct.merged_chains(correct.chained_seeds(b["positions"], b["nodes"], b["arcs"])), b["reads"], b["nodes"], K)
+    before = {(r.read_id, r.seed): r for r in seeds.collect()}
+    after = {(r.read_id, r.seed): r for r in correct._extended(seeds, correct.followers(b["nodes"], b["arcs"], 90), K, 2, 10**6).collect()}
+    assert before.keys() == after.keys() and len(before) > 20
+    for key, s in before.items():
+        cut = max(s.lo + 1, s.hi - K)
+        tail = [x for x in s.path if x.at < cut][-1]
+        hi = min(len(s.seq) - K + 1, tail.at + tail.marginal)
+        want = best_extension(s.seq, tail.node, hi, out, K)
+        got = after[key]
+        grown = "".join(x.text[K - 1 : K - 1 + x.marginal] for x in got.path if x.at >= hi)
+        assert (got.hi, grown[: got.hi - hi]) == (want[1], want[2]), key
+    done = {r.read_id: r for r in correct.correct(b["reads"], b["positions"], b["nodes"], b["arcs"], K, retry=False).collect()}
+    walks = {t[a : a + 90] for t in (g, h, mix) for a in range(311)}
+    assert all(done[i].corrected == clean[i] for i in range(8))
+    mended = sum(done[8 + n].corrected in walks for n in range(12))
+    assert mended >= 10 and all(len(done[8 + n].corrected) == 90 for n in range(12))
+
+
+def test_mem_seeds(spark):
+    """A read with an error in each k-mer has no seed of k-mers and is mended by matches shorter than k."""
+    rng = random.Random(10)
+    g = "".join(rng.choices("ACGT", k=300))
+    r = list(g[100:190])
+    for i in range(7, 90, 8):
+        r[i] = {"A": "C", "C": "G", "G": "T", "T": "A"}[r[i]]
+    rows = as_reads(spark, [g] * 3 + ["".join(r)])
+    b = graph.build(spark, rows, K)
+    assert b["positions"].where("read_id = 3").count() == 0
+    fixed = correct.correct(rows, b["positions"], b["nodes"], b["arcs"], K).cache()
+    got = {x.read_id: x for x in fixed.collect()}
+    assert got[3].corrected == g[100:190] and got[3].by_mem and got[3].substitutions == 11
+    assert correct.report(fixed).first()[:6] == (4, 4, 3, 1, 0, 11)
+
+
 def test_alignment():
+    unit = lambda a, b: max([0] if not a or not b else [unit(a[1:], b), unit(a, b[1:]), (a[0] == b[0]) + unit(a[1:], b[1:])])
+    for a, b in (("", "A"), ("ACGT", "AGT"), ("AACCG", "CAGAC")):
+        assert correct.align_unit(a, b) == unit(a, b)
     for b, want in (("ACGTACGTAC", 10), ("ACGTACGCAC", 8), ("ACGTACCGTAC", 7), ("ACGTAGTAC", 6)):
         assert correct.align_banded("ACGTACGTAC", b, 3) == want
     assert correct.align_unit("AGCTTGTAGCTTGCTAGCTTGCTAGCTTGCT", "AGCAAGCTAGCTTGCTAGCCTAGCTTGCT") == 26
