@@ -254,7 +254,7 @@ def test_search_over_arcs(spark):
         out.setdefault(r.src, []).append((r.dst, texts[r.dst]))
     seeds = correct._spread(correct.merged_chains(correct.chained_seeds(b["positions"], b["nodes"], b["arcs"])), b["reads"], b["nodes"], K)
     before = {(r.read_id, r.seed): r for r in seeds.collect()}
-    after = {(r.read_id, r.seed): r for r in correct._extended(seeds, correct.followers(b["nodes"], b["arcs"], 90), K, 2, 10**6).collect()}
+    after = {(r.read_id, r.seed): r for r in correct._extended(seeds, correct.reachable(correct.followers(b["nodes"], b["arcs"], 90), correct.HOPS), K, 2, 10**6).collect()}
     assert before.keys() == after.keys() and len(before) > 20
     for key, s in before.items():
         cut = max(s.lo + 1, s.hi - K)
