@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from .seq import BASES
 
@@ -131,6 +131,94 @@ def windows(df: DataFrame, seq: str, k: int, keep: list[str], both: bool = True)
     return rows.mapInArrow(partial(_placed, k=k, both=both), kind)
 
 
+def _parts(texts: list[bytes | None], size: int, margin: int):
+    """(buffer, row of each part, start of its own windows, start of its letters, place in the buffer): as _laid_out, with `margin` letters about."""
+    parts, rows, starts, begins, at, length = [], [], [], [], [], 0
+    for row, text in enumerate(texts):
+        if text is None or len(text) < size:
+            continue
+        for start in range(0, len(text) - size + 1, CHUNK):
+            begin = max(0, start - margin)
+            part = text[begin : start + CHUNK + size - 1 + margin]
+            for x, y in ((parts, part), (rows, row), (starts, start), (begins, begin), (at, length)):
+                x.append(y)
+            length += len(part) + 1
+            if length >= CHUNK:
+                yield b"N".join(parts), *(np.array(x) for x in (rows, starts, begins, at))
+                parts, rows, starts, begins, at, length = [], [], [], [], [], 0
+    if parts:
+        yield b"N".join(parts), *(np.array(x) for x in (rows, starts, begins, at))
+
+
+def _beside(codes: np.ndarray, place: np.ndarray, way: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, count) of up to `far` letters from each place on, the nearest lowest, up to the first that is no base."""
+    code, count, going = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int32), np.ones(len(place), dtype=bool)
+    for d in range(far):
+        at = place + way * d
+        inside = (at >= 0) & (at < len(codes))
+        letter = np.where(inside, codes[np.clip(at, 0, len(codes) - 1)], 4).astype(np.int64)
+        going &= letter < 4
+        code |= np.where(going, letter, 0) << (2 * d)
+        count += going
+    return code, count
+
+
+def _in_context(batches, size: int, step: int, far: int):
+    for batch in batches:
+        keep, texts = batch.columns[:-1], _texts(batch.column(batch.num_columns - 1))
+        for body, rows, starts, begins, at in _parts(texts, size, far):
+            place, code, _ = _valid_windows(body, size)
+            part = np.searchsorted(at, place, side="right") - 1
+            pos = place - at[part] + begins[part]
+            own = (pos >= starts[part]) & (pos < starts[part] + CHUNK) & (pos % step == 0)
+            place, part, pos, code = place[own], part[own], pos[own], code[own]
+            codes = _CODE[np.frombuffer(body, dtype=np.uint8)]
+            before, after = _beside(codes, place - 1, -1, far), _beside(codes, place + size, 1, far)
+            taken = pa.array(rows[part])
+            made = [pa.array(x) for x in ((pos + 1).astype(np.int64), code.view(np.int64), *before, *after)]
+            yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in keep), *made], names=[*batch.schema.names[:-1], "pos", "code", "before", "n_before", "after", "n_after"])
+
+
+def sampled_windows(df: DataFrame, seq: str, size: int, step: int, far: int, keep: list[str]) -> DataFrame:
+    """keep + (pos from 1, code, before, n_before, after, n_after): valid windows at every step-th place, with up to `far` letters on both sides."""
+    check(size)
+    rows = df.select(*keep, seq)
+    context = [StructField(n, IntegerType() if n in ("n_before", "n_after") else LongType()) for n in ("pos", "code", "before", "n_before", "after", "n_after")]
+    return rows.mapInArrow(partial(_in_context, size=size, step=step, far=check(far + 1) - 1), StructType([*(rows.schema[c] for c in keep), *context]))
+
+
+#: Letters of a window that may hold other signs than the four bases: three bits each.
+ANY = 21
+
+
+def _any_letters(batches, k: int):
+    for batch in batches:
+        keep, texts = batch.columns[:-1], _texts(batch.column(batch.num_columns - 1))
+        for body, rows, starts, at in _laid_out(texts, k):
+            codes = _CODE[np.frombuffer(body, dtype=np.uint8)].astype(np.int64)
+            code = np.zeros(len(codes) - k + 1, dtype=np.int64)
+            for d in range(k):
+                code = (code << 3) | codes[d : d + len(code)]
+            place = np.arange(len(code))
+            part = np.searchsorted(at, place, side="right") - 1
+            ends = np.append(at[1:] - 1, len(body))
+            own = place + k <= ends[part]
+            place, part, code = place[own], part[own], code[own]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows[part])) for c in keep), pa.array((starts[part] + place - at[part] + 1).astype(np.int64)), pa.array(code)], names=[*batch.schema.names[:-1], "pos", "code"])
+
+
+def any_windows(df: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:
+    """keep + (pos from 1, code): all windows of k letters (ANY at most) of A, C, G, T and one sign for all others."""
+    rows = df.select(*keep, seq)
+    kind = StructType([*(rows.schema[c] for c in keep), StructField("pos", LongType()), StructField("code", LongType())])
+    return rows.mapInArrow(partial(_any_letters, k=check(k, ANY)), kind)
+
+
+def any_code(text: Column) -> Column:
+    """The code that any_windows gives a text of at most ANY letters."""
+    return F.conv(F.regexp_replace(F.translate(text, BASES, "0123"), "[^0-3]", "4"), 8, 10).cast("long")
+
+
 def _counted(batches, k: int, both: bool):
     for batch in batches:
         for body, *_ in _laid_out(_texts(batch.column(0)), k):

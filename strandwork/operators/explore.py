@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import packed as P
 from ..functions import seq as S
 from ..store import saved
+from . import graph as G
 from . import kmers as K
 from . import match as M
 from .components import connected_components
@@ -80,7 +81,7 @@ def validate_overlaps(contigs: DataFrame, masks: DataFrame, k: int) -> DataFrame
 
 def graph_quality(nodes: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
     """One row: nodes that the circular contigs hold on some strand, those that they do not, and their marginal lengths."""
-    hits = M.occurrences(nodes.select(F.col("node_id").alias("id"), "seq"), genome(contigs), k).select(F.col("id").alias("node_id"), "n")
+    hits = M.occurrences(nodes.select(F.col("node_id").alias("id"), "seq"), genome(contigs)).select(F.col("id").alias("node_id"), "n")
     j = nodes.join(hits, "node_id")
     right = F.col("n") > 0
     size = contigs.agg(F.sum(F.length("seq") + 1 - k).alias("genome_size"))
@@ -114,3 +115,55 @@ def mems_on_strands(queries: DataFrame, refs: DataFrame, least: int) -> DataFram
     there = M.mems(queries, refs, least).select("*", F.lit(False).alias("reverse"), F.col("q_start").alias("q_forward"))
     back = M.mems(queries.withColumn("seq", S.revcomp(F.col("seq"))), refs, least).join(queries.select("query_id", F.length("seq").alias("_n")), "query_id")
     return there.unionByName(back.select("*", F.lit(True).alias("reverse"), (F.col("_n") - F.col("q_start") - F.col("len") + 2).alias("q_forward")).drop("_n"))
+
+
+def true_walks(contigs: DataFrame, nodes: DataFrame, arcs: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(ref_id, walk, step, node, lo, hi, distance): the nodes that each contig passes, cut into walks that follow the graph's arcs.
+
+    contigs: (ref_id, seq). A visit is a stretch lo to hi of k-mers (from 1) on one signed node. A walk goes on if the next
+    visit begins right after the last one, that one ended with its node, the next begins its own and an arc joins them;
+    else it breaks and the walk is named by where it begins. distance: from the start of the walk's first node to the
+    start of this one, in k-mers. Visits are found by their node and diagonal, walks by pointer doubling, so a contig of
+    any length is no single task's.
+    """
+    on = G.read_node_positions(contigs.select(F.col("ref_id").alias("read_id"), "seq"), index, k)
+    on = on.select(F.col("read_id").alias("ref_id"), F.col("pos").cast("long").alias("pos"), "node", F.col("off").cast("long").alias("off"))
+    near = Window.partitionBy("ref_id", "node", (F.col("pos") - F.col("off"))).orderBy("pos")
+    runs = on.withColumn("_run", F.col("pos") - F.row_number().over(near))
+    visits = runs.groupBy("ref_id", "node", (F.col("pos") - F.col("off")).alias("_d"), "_run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("off").alias("first"), F.max("off").alias("last"))
+    visits = visits.join(nodes.select(F.col("node_id").alias("_id"), "marginal"), F.abs("node") == F.col("_id"))
+    visits = saved(visits.select("ref_id", "node", "lo", "hi", "first", "last", "marginal", F.monotonically_increasing_id().alias("v")), "visits")
+    ended = visits.where(F.col("last") == F.col("marginal") - 1).select("ref_id", (F.col("hi") + 1).alias("lo"), F.col("node").alias("src"), F.col("v").alias("p"))
+    met = visits.where("first = 0").join(ended, ["ref_id", "lo"]).join(arcs.select("src", F.col("dst").alias("node")), ["src", "node"], "left_semi").select("v", "p")
+    paths = G.chains(visits.select("v").join(met, "v", "left"), lambda v: v)
+    heads = visits.select(F.col("v").alias("head"), F.col("lo").alias("walk"), F.col("first").alias("_in"))
+    rows = visits.join(paths, "v").join(heads, "head")
+    return rows.select("ref_id", "walk", F.col("rank").alias("step"), "node", "lo", "hi", (F.col("lo") - F.col("first") - F.col("walk") + F.col("_in")).alias("distance"))
+
+
+def walk_distances(walks: DataFrame, nodes: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """(src, dst, distance): of pairs (src, dst) of signed nodes how far dst begins after src on a true walk, negative if before; null if on none within `most`.
+
+    Both strands of the walks count. Of several distances the nearest one, then the positive. A range join by cells.
+    """
+    there = walks.join(nodes.select(F.col("node_id").alias("_id"), "marginal"), F.abs("node") == F.col("_id")).select("ref_id", "walk", "node", "distance", "marginal")
+    back = there.select("ref_id", (-F.col("walk")).alias("walk"), (-F.col("node")).alias("node"), (-F.col("distance") - F.col("marginal")).alias("distance"), "marginal")
+    cell = F.floor(F.col("distance") / most)
+    at = saved(there.unionByName(back).select("ref_id", "walk", "node", "distance", cell.alias("cell")), "strands")
+    a = pairs.select("src", "dst").distinct().join(at.withColumnsRenamed({"node": "src", "distance": "_a"}), "src").withColumn("cell", F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)))
+    found = a.join(at.withColumnsRenamed({"node": "dst", "distance": "_b"}), ["ref_id", "walk", "dst", "cell"]).withColumn("distance", F.col("_b") - F.col("_a")).where(F.abs("distance") <= most)
+    best = found.groupBy("src", "dst").agg(F.min_by("distance", F.struct(F.abs("distance"), -F.col("distance"))).alias("distance"))
+    return pairs.select("src", "dst").distinct().join(best, ["src", "dst"], "left")
+
+
+def lookup_nodes(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """points (at) + node, offset: the signed node and the letter on it (from 0) at a place of the text of all nodes.
+
+    In that text each node is followed by a sign, its other strand and a sign (node_start_offsets). Places of signs get
+    the strand before them and its length as offset.
+    """
+    starts = node_start_offsets(nodes).join(nodes.select("node_id", F.length("seq").cast("long").alias("_n")), "node_id").withColumnRenamed("start", "at").withColumn("_at", F.col("at"))
+    found = M.asof(points, starts, "at")
+    into = F.col("at") - F.col("_at")
+    own = into <= F.col("_n")
+    return found.select(*points.columns, F.when(own, F.col("node_id")).otherwise(-F.col("node_id")).alias("node"), F.when(own, into).otherwise(into - F.col("_n") - 1).alias("offset"))

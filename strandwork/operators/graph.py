@@ -9,6 +9,7 @@ from ..functions import packed as P
 from ..functions import seq as S
 from ..store import drop, saved
 from . import kmers as K
+from . import stats as T
 
 #: Pieces of a path that one row gathers at a time.
 STRETCH = 4096
@@ -229,47 +230,92 @@ def merge_linear(nodes: DataFrame, arcs: DataFrame, k: int) -> tuple[DataFrame,
     return new.select("node_id", "seq", "kmer_cov", "read_start_cov", (F.length("seq") - k + 1).alias("marginal")), rewired
 
 
-def bubbles(nodes: DataFrame, arcs: DataFrame, depth: int, visit_limit: int = 1000) -> DataFrame:
+def bubbles(nodes: DataFrame, arcs: DataFrame, depth: int, cutoff: float | None = None, limit: int | None = None) -> DataFrame:
     """(root, meet, path_a, path_b, cov_a, cov_b): pairs of paths from a branching node that meet again within depth.
 
-    A node is expanded at a distance of up to depth, itself included: the branch of a substitution is just k long.
-    Level-synchronous search by joins; a root's frontier is limited to visit_limit paths a level, as the search's own
-    limit says. The lower-coverage path comes first.
+    Paths have the colour of their first node; of each colour the shortest path to a node counts (then the lesser one).
+    Rounds lower the distances of (root, node, colour) until none changes, so paths are never listed beyond these. A node
+    is left at a distance of up to depth, itself included: the branch of a substitution is just k long. With a cut-off only
+    roots with a right neighbour under it are searched; with a limit a root leaves its nearest `limit` (node, colour),
+    else all. The lower-coverage path comes first.
     """
-    cov = nodes.select("node_id", (F.col("kmer_cov") / F.col("marginal")).alias("c"), "marginal")
+    cov = nodes.select("node_id", (F.col("kmer_cov") / F.col("marginal")).alias("c"), F.col("marginal").cast("long").alias("marginal"))
     step = arcs.join(cov, F.abs("dst") == F.col("node_id")).select("src", "dst", F.col("marginal").alias("len"), "c")
-    roots = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(F.col("src").alias("root"))
-    level = roots.join(step, F.col("root") == F.col("src")).select("root", F.col("dst").alias("at"), F.array("dst").alias("path"), F.col("len").cast("long").alias("dist"), F.col("c").alias("cov"))
-    level = saved(level, "frontier")
-    seen = [level]
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("dist", "path"))
-    for _ in range(depth):
-        if level.isEmpty():
-            break
-        grown = level.where(F.col("dist") <= depth).join(step, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")) & (F.col("dst") != F.col("root")))
-        grown = grown.select("root", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("dist") + F.col("len")).alias("dist"), "cov")
-        level = saved(grown.withColumn("_r", rank).where(F.col("_r") <= visit_limit).drop("_r"), "frontier")
-        seen.append(level)
-    paths = seen[0]
-    for more in seen[1:]:
-        paths = paths.union(more)
-    paths = paths.groupBy("root", "at", F.col("path")[0].alias("colour")).agg(F.min(F.struct("dist", "path", "cov")).alias("p")).select("root", "at", "colour", "p.path", "p.cov")
-    a = paths.select("root", "at", F.col("colour").alias("ca"), F.col("path").alias("path_a"), F.col("cov").alias("cov_a"))
-    b = paths.select("root", "at", F.col("colour").alias("cb"), F.col("path").alias("path_b"), F.col("cov").alias("cov_b"))
-    return a.join(b, ["root", "at"]).where("(cov_a < cov_b) or (cov_a = cov_b and ca < cb)").select("root", F.col("at").alias("meet"), "path_a", "path_b", "cov_a", "cov_b")
-
-
-def bubble_removals(found: DataFrame, cutoff: float, nodes: DataFrame | None = None) -> DataFrame:
-    """node_ids to remove: the first node of a bubble's lower-coverage branch, if its coverage is under the cut-off.
-
-    With nodes, also the last node of such a branch before the meeting one, if its own coverage is under it.
+    step = saved(step, "steps")
+    roots = step.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).where("n >= 2")
+    if cutoff is not None:
+        roots = roots.where(F.col("low") < cutoff)
+    key, order = ["root", "at", "colour"], F.struct("dist", "path")
+    start = roots.select(F.col("src").alias("root")).join(step, F.col("root") == F.col("src")).where("dst <> root")
+    best = saved(start.select("root", F.col("dst").alias("at"), F.col("dst").alias("colour"), F.col("len").alias("dist"), F.array("dst").alias("path"), F.col("c").alias("cov"), F.lit(True).alias("lower")), "reach")
+    front = best
+    while not front.isEmpty():
+        grown = front.where(F.col("dist") <= depth).join(step, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")) & (F.col("dst") != F.col("root")))
+        grown = grown.select("root", F.col("dst").alias("at"), "colour", (F.col("dist") + F.col("len")).alias("dist"), F.concat("path", F.array("dst")).alias("path"), "cov", F.lit(True).alias("lower"))
+        both = best.withColumn("lower", F.lit(False)).unionByName(grown)
+        least = both.groupBy(*key).agg(F.min(F.struct("dist", "path", "lower", "cov")).alias("m"))
+        new = saved(least.select(*key, "m.dist", "m.path", "m.cov", "m.lower"), "reach")
+        drop(best)
+        best, front = new, new.where("lower")
+        if limit is not None:
+            nearest = new.withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy(order, "colour")))
+            front = nearest.where(F.col("lower") & (F.col("_r") <= limit)).drop("_r")
+    paths = best
+    if limit is not None:
+        left = best.withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy(order, "colour"))).where(F.col("_r") <= limit)
+        left = left.select("root", "colour", F.col("at").alias("_last"))
+        paths = best.withColumn("_last", F.when(F.size("path") > 1, F.element_at("path", -2))).join(left.withColumn("_ok", F.lit(True)), ["root", "colour", "_last"], "left").where("_last is null or _ok")
+    side = lambda x: paths.select("root", "at", F.col("colour").alias(f"c{x}"), F.col("path").alias(f"path_{x}"), F.col("cov").alias(f"cov_{x}"))
+    return side("a").join(side("b"), ["root", "at"]).where("(cov_a < cov_b) or (cov_a = cov_b and ca < cb)").select("root", F.col("at").alias("meet"), "path_a", "path_b", "cov_a", "cov_b")
+
+
+def bubble_proposals(found: DataFrame, nodes: DataFrame, cutoff: float, most: int) -> DataFrame:
+    """(priority, gone, kept): of each bubble under the cut-off what goes and what must stay then.
+
+    The first node of the lower-coverage branch goes, and its last one before the meeting node if its own coverage is
+    under the cut-off; nodes longer than `most` never go. The other branch stays. The least covered branch comes first.
+    """
+    lost = found.where((F.col("cov_a") < cutoff) & (F.size("path_a") > 1)).withColumn("_b", F.monotonically_increasing_id())
+    lost = saved(lost, "lost")
+    size = nodes.where(F.col("marginal") <= most).select("node_id", (F.col("kmer_cov") / F.col("marginal") < cutoff).alias("low"))
+    ends = lost.select("_b", F.explode(F.array(F.struct(F.abs(F.col("path_a")[0]).alias("node_id"), F.lit(True).alias("first")), F.struct(F.abs(F.element_at("path_a", -2)).alias("node_id"), F.lit(False).alias("first")))).alias("x")).select("_b", "x.*")
+    gone = ends.join(size, "node_id").where("first or low").groupBy("_b").agg(F.sort_array(F.collect_set("node_id")).alias("gone"))
+    kept = F.array_distinct(F.concat(F.transform("path_b", F.abs), F.array(F.abs("root"), F.abs("meet"))))
+    return lost.join(gone, "_b").select(F.struct(F.col("cov_a").alias("cov"), "gone", kept.alias("kept")).alias("priority"), "gone", F.array_except(kept, "gone").alias("kept")).distinct()
+
+
+def independent(proposals: DataFrame) -> DataFrame:
+    """(node_id): what accepted proposals remove. proposals: (priority, gone, kept), priorities all different.
+
+    Proposals clash if one removes what another keeps. Taking them by priority, one goes if it clashes with none accepted
+    before it. Rounds do that at once for all that come first among those they clash with: of each node the best
+    proposal to remove it meets the best to keep it, so clashes are never listed; what clashes with an accepted one falls out.
     """
-    lost = found.where((F.col("cov_a") < cutoff) & (F.size("path_a") > 1))
-    first = lost.select(F.abs(F.col("path_a")[0]).alias("node_id"))
-    if nodes is None:
-        return first.distinct()
-    low = nodes.where(F.col("kmer_cov") / F.col("marginal") < cutoff).select("node_id")
-    return first.union(lost.select(F.abs(F.element_at("path_a", -2)).alias("node_id")).join(low, "node_id", "left_semi")).distinct()
+    left = saved(proposals.withColumn("_id", F.monotonically_increasing_id()), "proposals")
+    out = None
+    while not left.isEmpty():
+        marks = left.select("_id", "priority", F.explode(F.concat(F.transform("gone", lambda x: F.struct(x.alias("node_id"), F.lit(True).alias("go"))), F.transform("kept", lambda x: F.struct(x.alias("node_id"), F.lit(False).alias("go"))))).alias("x")).select("_id", "priority", "x.*")
+        first = marks.groupBy("node_id").agg(F.min(F.when(F.col("go"), F.col("priority"))).alias("going"), F.min(F.when(~F.col("go"), F.col("priority"))).alias("staying"))
+        other = F.when(F.col("go"), F.col("staying")).otherwise(F.col("going"))
+        beaten = marks.join(first, "node_id").where(F.coalesce(other < F.col("priority"), F.lit(False))).select("_id").distinct()
+        taken = saved(left.join(beaten, "_id", "left_anti"), "taken")
+        gone = taken.select(F.explode("gone").alias("node_id")).distinct()
+        out = gone if out is None else out.union(gone)
+        held = taken.select(F.explode("kept").alias("node_id")).distinct()
+        rest = left.join(taken.select("_id"), "_id", "left_anti")
+        lost = marks.where("go").join(held, "node_id", "left_semi").select("_id").union(marks.where("not go").join(gone, "node_id", "left_semi").select("_id")).distinct()
+        new = saved(rest.join(lost, "_id", "left_anti"), "proposals")
+        drop(left)
+        left = new
+    return proposals.select(F.explode("gone").alias("node_id")).limit(0) if out is None else out.distinct()
+
+
+def bubble_removals(found: DataFrame, nodes: DataFrame, cutoff: float, most: int) -> DataFrame:
+    """node_ids to remove: the losing branches of bubbles, where no branch loses to one that loses itself."""
+    found = saved(found, "bubbles")
+    if found.isEmpty():
+        return nodes.select("node_id").limit(0)
+    return independent(bubble_proposals(found, nodes, cutoff, most))
 
 
 def graph_fasta(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -308,7 +354,7 @@ def _neighbours(nodes: DataFrame, arcs: DataFrame, sure: DataFrame) -> DataFrame
 
 
 def delete_extra_neighbors(nodes: DataFrame, arcs: DataFrame, sure: DataFrame, red_line: float, mean: float, std: float, max_delete: int, bubble_nodes: DataFrame | None = None) -> DataFrame:
-    """node_ids to remove: of each sure node's right neighbours of too low a coverage the least covered one.
+    """(priority, gone, kept): of each sure node's right neighbours of too low a coverage the least covered one goes, the sure node stays.
 
     sure: (node_id signed, multiplicity) of reliable nodes; only those whose multiplicity is at least their number of right
     neighbours count. Too low is under red_line, for tips and losing branches of bubbles (bubble_nodes: node_id) under
@@ -322,30 +368,55 @@ def delete_extra_neighbors(nodes: DataFrame, arcs: DataFrame, sure: DataFrame, r
         doubted = doubted | F.col("_b").isNotNull()
     limit = F.when(doubted, F.lit(max(red_line, mean - 2 * std))).otherwise(F.lit(float(red_line)))
     low = near.where((F.col("cov_next") < limit) & (F.col("marginal") <= max_delete))
-    first = low.groupBy("node").agg(F.min(F.struct("cov_next", "next")).alias("x"))
-    return first.select(F.abs("x.next").alias("node_id")).distinct()
+    first = low.groupBy("node").agg(F.min(F.struct("cov_next", F.abs("next").alias("next"))).alias("x"))
+    return _proposed(first.select("x.cov_next", F.col("x.next").alias("victim"), F.array(F.abs("node")).alias("kept")))
+
+
+def _proposed(rows: DataFrame) -> DataFrame:
+    """Proposals of rows (coverage, victim, kept); a node that removes itself does not count."""
+    cov = F.col(rows.columns[0]).alias("cov")
+    rows = rows.where(~F.array_contains("kept", F.col("victim"))).withColumn("gone", F.array("victim"))
+    return rows.select(F.struct(cov, "gone", "kept").alias("priority"), "gone", "kept").distinct()
 
 
 def connect_same_mult(nodes: DataFrame, arcs: DataFrame, sure: DataFrame, red_line: float, max_delete: int) -> DataFrame:
-    """node_ids to remove: low siblings on an arc between two sure nodes of one multiplicity of 2 or more.
+    """(priority, gone, kept): low siblings on an arc between two sure nodes of one multiplicity of 2 or more go, the two nodes stay.
 
     Right neighbours of the first and left neighbours of the second, other than these two, under red_line and not longer than
     max_delete; of each side the least covered one.
     """
     a, b = (sure.select(F.col("node_id").alias(x), F.col("multiplicity").alias(f"m{x}")) for x in "ab")
     pairs = saved(arcs.join(a, F.col("src") == F.col("a")).join(b, F.col("dst") == F.col("b")).where("ma = mb and ma >= 2").select("a", "b"), "pairs")
-    sides = arcs.join(pairs, F.col("src") == F.col("a")).where("dst <> b").select(F.col("a").alias("at"), F.abs("dst").alias("node_id"))
-    sides = sides.union(arcs.join(pairs, F.col("dst") == F.col("b")).where("src <> a").select((-F.col("b")).alias("at"), F.abs("src").alias("node_id")))
+    sides = arcs.join(pairs, F.col("src") == F.col("a")).where("dst <> b").select("a", "b", F.lit(1).alias("side"), F.abs("dst").alias("node_id"))
+    sides = sides.union(arcs.join(pairs, F.col("dst") == F.col("b")).where("src <> a").select("a", "b", F.lit(2), F.abs("src").alias("node_id")))
     low = sides.join(nodes.select("node_id", (F.col("kmer_cov") / F.col("marginal")).alias("c"), "marginal"), "node_id").where((F.col("c") < red_line) & (F.col("marginal") <= max_delete))
-    return low.groupBy("at").agg(F.min(F.struct("c", "node_id")).alias("x")).select(F.col("x.node_id").alias("node_id")).distinct()
+    first = low.groupBy("a", "b", "side").agg(F.min(F.struct("c", "node_id")).alias("x"))
+    return _proposed(first.select("x.c", F.col("x.node_id").alias("victim"), F.array_sort(F.array_distinct(F.array(F.abs("a"), F.abs("b")))).alias("kept")))
 
 
-def purify(nodes: DataFrame, arcs: DataFrame, k: int, cutoff: float, read_length: int, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Rounds of tip clipping, bubble removal and linear merges under rising thresholds, until a round removes nothing.
+def unreliable_nodes(nodes: DataFrame, arcs: DataFrame, k: int, cutoff: float, red_line: float, max_delete: int, depth: int) -> DataFrame:
+    """node_ids to remove next to reliable nodes, by both rules at once, statistics taken from the nodes as they are.
 
-    Bubbles are sought at depth k, then at depths that grow by the read length up to round x read_length (at most
-    max_delete), as long as the last search removed some. Unreliable nodes are not deleted yet. Rounds that do not
-    settle raise.
+    Reliable nodes are of either strand; bubbles within depth under the cut-off tell losing branches.
+    """
+    sure = T.reliable_nodes(T.node_multiplicity(degrees(nodes, arcs)), k).select("node_id", "multiplicity")
+    sure = saved(sure, "sure")
+    if sure.isEmpty():
+        return nodes.select("node_id").limit(0)
+    mean = T.coverage_mean(nodes).first()[0]
+    std = T.coverage_std(nodes).first()[0]
+    losing = bubbles(nodes, arcs, depth, cutoff).where(F.size("path_a") > 1).select(F.abs(F.col("path_a")[0]).alias("node_id"))
+    extra = delete_extra_neighbors(nodes, arcs, sure, red_line, mean, std, max_delete, losing)
+    return independent(extra.unionByName(connect_same_mult(nodes, arcs, sure, red_line, max_delete)).distinct())
+
+
+def purify(nodes: DataFrame, arcs: DataFrame, k: int, cutoff: float, read_length: int, max_rounds: int = 20, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rounds of tip clipping, bubble removal, deletion of unreliable nodes and linear merges, until a round removes nothing.
+
+    Thresholds rise with the rounds. Bubbles are sought at depth k, then at depths that grow by the read length up to
+    round x read_length (at most max_delete), as long as the last search removed some. Then nodes next to reliable ones
+    go, with new statistics after each merge, until none is left to go. Rounds that do not settle raise. limit as in
+    bubbles().
     """
     max_delete, red = 4 * read_length, 0.0
 
@@ -358,16 +429,21 @@ def purify(nodes: DataFrame, arcs: DataFrame, k: int, cutoff: float, read_length
         merged = merge_linear(saved(kept[0], "nodes"), saved(kept[1], "arcs"), k)
         return saved(merged[0], "nodes"), saved(merged[1], "arcs"), n
 
+    popped = lambda depth: bubble_removals(bubbles(nodes, arcs, depth, cutoff, limit), nodes, cutoff, max_delete)
     for r in range(1, max_rounds + 1):
         red = max(red, cutoff * (1 + (r / 10 if r < 6 else 1)))
         safe = cutoff * (0.7 + (r / 10 if r < 4 else 1))
         nodes, arcs, changed = without(clip_tips(nodes, arcs, safe, red, max_delete))
-        nodes, arcs, n = without(bubble_removals(bubbles(nodes, arcs, k), red, nodes))
+        nodes, arcs, n = without(popped(k))
         changed += n
         depth, going = k, True
         while going and depth < min(r * read_length, max_delete):
             depth += read_length
-            nodes, arcs, n = without(bubble_removals(bubbles(nodes, arcs, depth), red, nodes))
+            nodes, arcs, n = without(popped(depth))
+            changed, going = changed + n, n > 0
+        going = True
+        while going:
+            nodes, arcs, n = without(unreliable_nodes(nodes, arcs, k, cutoff, red, max_delete, k))
             changed, going = changed + n, n > 0
         if not changed:
             return nodes, arcs

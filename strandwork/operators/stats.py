@@ -68,21 +68,25 @@ def thresholds(rounds: DataFrame, cut: float) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def _around(starts: pd.Series, log_factorial: pd.Series, mu: pd.Series, multiplicity: pd.Series) -> pd.Series:
-    """Sum of the densities at m - 1, m + 1, m - 2, and so on, until it changes by at most 1e-6 a term and i is 5.
+    """Sum of the densities around multiplicity m: terms at m - 1, m + 1, m - 2, m + 2 and so on, at m + i alone once no m - i of at least 1 is left.
 
-    Where no m - i of at least 1 is left, only m + i goes on. Rows that have settled leave the arrays.
+    The sum ends with the term that differs from the one before (at first the density at m + 1) by at most 1e-6, if the
+    next i is 5 or more. Rows that have ended leave the arrays.
     """
     n, lf, mu, m = (x.to_numpy(dtype=np.float64) for x in (starts, log_factorial, mu, multiplicity))
-    total, at = np.zeros(len(n)), np.arange(len(n))
+    total, at, term = np.zeros(len(n)), np.arange(len(n)), 0
     density = lambda x: np.exp(n * np.log(x) - x - lf)
-    last, i, minus = density(mu * (m + 1)), np.ones(len(n)), np.ones(len(n), dtype=bool)
+    last = density(mu * (m + 1))
     while len(at):
-        down = minus & (m > i)
-        p = density(mu * np.where(down, m - i, m + i))
+        below = np.maximum(m - 1, 0)  # terms on the lower side
+        both = term < 2 * below
+        i = np.where(both, term // 2 + 1, term - below + 1)
+        lower = both & (term % 2 == 0)
+        p = density(mu * np.where(lower, m - i, m + i))
         total[at] += p
-        i, minus = np.where(down, i, i + 1), ~down
-        go = (np.abs(p - last) > 1e-6) | (i < 5)
-        at, n, lf, mu, m, last, i, minus = (x[go] for x in (at, n, lf, mu, m, p, i, minus))
+        go = (np.abs(p - last) > 1e-6) | (np.where(lower, i, i + 1) < 5)
+        at, n, lf, mu, m, last = (x[go] for x in (at, n, lf, mu, m, p))
+        term += 1
     return pd.Series(total)
 
 
@@ -109,8 +113,10 @@ def node_multiplicity(nodes: DataFrame, most: int = 200) -> DataFrame:
 
 
 def reliable_nodes(nodes: DataFrame, k: int) -> DataFrame:
-    """Long branching nodes of sure multiplicity; nodes: marginal, n_right, confidence, incorrectness."""
-    return nodes.where((F.col("marginal") >= k) & (F.col("n_right") >= 2) & (F.col("confidence") >= 1000) & (F.col("incorrectness") <= 1000))
+    """Long nodes of sure multiplicity, signed by the strand on which they branch to the right; nodes: marginal, n_right, n_left, confidence, incorrectness."""
+    sure = nodes.where((F.col("marginal") >= k) & (F.col("confidence") >= 1000) & (F.col("incorrectness") <= 1000))
+    back = sure.withColumns({"node_id": -F.col("node_id"), "n_right": F.col("n_left"), "n_left": F.col("n_right")})
+    return sure.unionByName(back).where("n_right >= 2")
 
 
 def coverage_histogram(nodes: DataFrame, width: float = 0.1) -> DataFrame:

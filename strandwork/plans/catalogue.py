@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..operators import match as M
 from ..operators import stats as T
 from ..sources.reads import READS_A_DOC, documents_as_reads, wrapped
 
-K31, L20, BAND = 31, 20, 2
+K31, K15, L20, BAND = 31, 15, 20, 2
 #: Coverage under which dead ends go: joined on one side (RED), alone or at a branch (SAFE).
 SAFE, RED = 2.5, 3.0
 QUERIES: dict = {}
@@ -51,10 +53,6 @@ def _windows(k: int, name: str = "kw") -> str:
     return f"{name} as (select read_id, pos, w from (select read_id, pos, substr(seq, pos, {k}) as w from (select read_id, seq, unnest(range(1, length(seq) - {k} + 2)) as pos from reads where length(seq) >= {k})) where not regexp_matches(w, '[^ACGT]'))"
 
 
-_KMERS = f"with {_READS}, {_windows(K31)}, km as (select read_id, pos, w, least(w, {_rc('w')}) as kmer from kw)"
-_COUNTS = f"{_KMERS}, kc as (select kmer, count(*) as cov from km group by kmer), solid as (select kmer from kc where cov > 1)"
-
-
 def _bit(c: str) -> str:
     return f"(case {c} when 'A' then 8 when 'C' then 4 when 'G' then 2 else 1 end)"
 
@@ -63,15 +61,72 @@ def _rev(c: str) -> str:
     return "(" + " + ".join(f"(((({c}) >> {i}) & 1) << {7 - i})" for i in range(8)) + ")"
 
 
-_MASKS = f"""{_COUNTS}, {_windows(K31 + 1, "kp")},
-sides as (select substr(w, 1, {K31}) as a, substr(w, 2, {K31}) as b from (select distinct w from kp)),
+#: Rounds that the SQL unrolls: paths and circles of up to 2^ROUNDS k-mers.
+ROUNDS = 15
+
+
+def _doubling(name: str, start: str, more: str = "", merged: str = "") -> str:
+    """CTEs that double the pointers of start (v, p, d, done and what `more` names) ROUNDS times; the last one is `name`."""
+    out = [f"{name}0 as materialized ({start})"]
+    for r in range(ROUNDS):
+        here = f"{name}{r}"
+        there = f"{name}{r + 1}" if r < ROUNDS - 1 else name
+        out.append(f"{there} as materialized (select a.v, case when a.done then a.p else b.p end as p, case when a.done then a.d else a.d + b.d end as d, a.done or b.done as done{merged} from {here} a join {here} b on a.p = b.v)")
+    return ", ".join(out)
+
+
+def _paths(vertices: str, edges: str, own: str, tag: str) -> str:
+    """CTEs up to {tag}paths (v, head, rank, loop) of vertices (v) and edges (src, dst), circles cut before the least of own(v)."""
+    lines = _doubling(f"{tag}l", f"select x.v, coalesce(e.src, x.v) as p, case when e.src is null then 0 else 1 end::bigint as d, e.src is null as done, {own.format('x.v')} as lo, x.v as lv from {vertices} x left join {edges} e on e.dst = x.v", merged=", case when (b.lo, b.lv) < (a.lo, a.lv) then b.lo else a.lo end as lo, case when (b.lo, b.lv) < (a.lo, a.lv) then b.lv else a.lv end as lv")
+    circle = _doubling(f"{tag}c", f"select x.v, coalesce(e.src, x.v) as p, case when e.src is null then 0 else 1 end::bigint as d, e.src is null as done from {tag}l x left join {edges} e on e.dst = x.v and x.lv <> x.v where not x.done")
+    return f"{lines}, {circle}, {tag}paths as materialized (select v, p as head, d as rank, false as loop from {tag}l where done union all select v, p, d, true from {tag}c)"
+
+
+def _texts(k: int) -> SimpleNamespace:
+    """The SQL texts of a graph of k-mers, each up to the CTEs that its name says."""
+    kmers = f"with {_READS}, {_windows(k)}, km as (select read_id, pos, w, least(w, {_rc('w')}) as kmer from kw)"
+    counts = f"{kmers}, kc as (select kmer, count(*) as cov from km group by kmer), solid as (select kmer from kc where cov > 1)"
+    masks = f"""{counts}, {_windows(k + 1, "kp")},
+sides as (select substr(w, 1, {k}) as a, substr(w, 2, {k}) as b from (select distinct w from kp)),
 sided as (select a, b, least(a, {_rc("a")}) as ka, least(b, {_rc("b")}) as kb from sides),
 met as (select * from sided where ka in (select kmer from solid) and kb in (select kmer from solid)),
-marks as (select ka as kmer, case when a = ka then {_bit(f"substr(b, {K31}, 1)")} else {_rev(_bit(f"substr(b, {K31}, 1)"))} end as mask from met
+marks as (select ka as kmer, case when a = ka then {_bit(f"substr(b, {k}, 1)")} else {_rev(_bit(f"substr(b, {k}, 1)"))} end as mask from met
 union all select kb, case when b = kb then 16 * {_bit("substr(a, 1, 1)")} else {_rev("16 * " + _bit("substr(a, 1, 1)"))} end from met),
 masks as (select s.kmer, coalesce(bit_or(m.mask), 0)::int as mask from solid s left join marks m on s.kmer = m.kmer group by s.kmer)"""
+    signed = f"oriented as (select kmer, mask from masks union all select {_rc('kmer')}, {_rev('mask')} from masks), karcs as (select kmer as src, substr(kmer, 2) || b as dst from oriented, (values ('A', 8), ('C', 4), ('G', 2), ('T', 1)) v(b, bit) where (mask & bit) > 0)"
+    arcs = f"{masks}, {signed}, arcs as materialized (select distinct src, dst from karcs)"
+    edges = f"kedges as materialized (select o.src, o.dst from (select src, min(dst) as dst from arcs group by src having count(*) = 1) o join (select dst from arcs group by dst having count(*) = 1) i using (dst) where o.src <> o.dst and o.dst <> {_rc('o.src')})"
+    paths = _paths("(select kmer as v from oriented)", "kedges", f"least({{0}}, {_rc('{0}')})", "walk_")
+    unitigs = f"""{arcs}, {edges}, {paths},
+kseqs as (select head, loop, substr(head, 1, {k - 1}) || string_agg(right(v, 1), '' order by rank) as seq from walk_paths group by head, loop),
+klesser as (select distinct seq from kseqs where not loop and seq <= {_rc('seq')} union all select seq from (select seq, row_number() over (partition by least(substr(seq, 1, {k}), {_rc(f"substr(seq, 1, {k})")}) order by seq) as r from kseqs where loop) where r = 1),
+unitigs as materialized (select row_number() over (order by seq) as node_id, seq from klesser),
+strands as materialized (select node_id, seq from unitigs union all select -node_id, {_rc('seq')} from unitigs)"""
+    garcs = f"""{unitigs}, garcs as materialized (select distinct a.node_id as src, b.node_id as dst from strands a join arcs on right(a.seq, {k}) = arcs.src join strands b on substr(b.seq, 1, {k}) = arcs.dst)"""
+    index = f"""{garcs}, kidx as materialized (select least(w, {_rc('w')}) as kmer, case when w <= {_rc('w')} then node_id else -node_id end as node_id, case when w <= {_rc('w')} then o else n - {k} - o end::int as pos, n::int as node_len from (select node_id, length(seq) as n, o, substr(seq, o + 1, {k}) as w from (select node_id, seq, unnest(range(0, length(seq) - {k - 1})) as o from unitigs)))"""
+    pos = f"""{index}, place as materialized (select read_id, km.pos::int as pos, case when w = km.kmer then node_id else -node_id end as node, case when w = km.kmer then kidx.pos else node_len - kidx.pos - {k} end as off from km join kidx on km.kmer = kidx.kmer)"""
+    graph = f"""{pos},
+nodes as materialized (select u.node_id, u.seq, coalesce(c.n, 0) as kmer_cov, coalesce(f.n, 0) as read_start_cov, length(u.seq) - {k - 1} as marginal from unitigs u left join (select abs(node) as node_id, count(*) as n from place group by 1) c using (node_id) left join (select abs(node) as node_id, count(*) as n from (select arg_min(node, pos) as node from place group by read_id) group by 1) f using (node_id)),
+steps as (select node, lag(node) over w as prev, pos - lag(pos) over w as gap from place window w as (partition by read_id order by pos)),
+seen as (select prev as src, node as dst, count(*) as c from steps where gap = 1 and node <> prev group by all),
+acov as materialized (select g.src, g.dst, coalesce(sum(s.c), 0)::bigint as cov from garcs g left join (select * from seen union all select -dst, -src, c from seen where src <> -dst) s on g.src = s.src and g.dst = s.dst group by all),
+degree as (select n.*, coalesce(r.n, 0) as n_right, coalesce(l.n, 0) as n_left from nodes n left join (select src as node_id, count(*) as n from acov where src > 0 group by 1) r using (node_id) left join (select -src as node_id, count(*) as n from acov where src < 0 group by 1) l using (node_id))"""
+    return SimpleNamespace(kmers=kmers, counts=counts, masks=masks, signed=signed, arcs=arcs, edges=edges, paths=paths, unitigs=unitigs, garcs=garcs, index=index, pos=pos, graph=graph)
+
 
-_signed = f"oriented as (select kmer, mask from masks union all select {_rc('kmer')}, {_rev('mask')} from masks), karcs as (select kmer as src, substr(kmer, 2) || b as dst from oriented, (values ('A', 8), ('C', 4), ('G', 2), ('T', 1)) v(b, bit) where (mask & bit) > 0)"
+_AT31, _AT15 = _texts(K31), _texts(K15)
+_KMERS = _AT31.kmers
+_COUNTS = _AT31.counts
+_MASKS = _AT31.masks
+_signed = _AT31.signed
+_ARCS = _AT31.arcs
+_EDGES = _AT31.edges
+_PATHS = _AT31.paths
+_UNITIGS = _AT31.unitigs
+_GARCS = _AT31.garcs
+_INDEX = _AT31.index
+_POS = _AT31.pos
+_GRAPH = _AT31.graph
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,44 +265,6 @@ def branch_nodes(spark, sf_dir):
 
 # --- graph: in SQL, paths are compacted by pointer doubling, a CTE a round
 
-#: Rounds that the SQL unrolls: paths and circles of up to 2^ROUNDS k-mers.
-ROUNDS = 15
-
-
-def _doubling(name: str, start: str, more: str = "", merged: str = "") -> str:
-    """CTEs that double the pointers of start (v, p, d, done and what `more` names) ROUNDS times; the last one is `name`."""
-    out = [f"{name}0 as materialized ({start})"]
-    for r in range(ROUNDS):
-        here = f"{name}{r}"
-        there = f"{name}{r + 1}" if r < ROUNDS - 1 else name
-        out.append(f"{there} as materialized (select a.v, case when a.done then a.p else b.p end as p, case when a.done then a.d else a.d + b.d end as d, a.done or b.done as done{merged} from {here} a join {here} b on a.p = b.v)")
-    return ", ".join(out)
-
-
-def _paths(vertices: str, edges: str, own: str, tag: str) -> str:
-    """CTEs up to {tag}paths (v, head, rank, loop) of vertices (v) and edges (src, dst), circles cut before the least of own(v)."""
-    lines = _doubling(f"{tag}l", f"select x.v, coalesce(e.src, x.v) as p, case when e.src is null then 0 else 1 end::bigint as d, e.src is null as done, {own.format('x.v')} as lo, x.v as lv from {vertices} x left join {edges} e on e.dst = x.v", merged=", case when (b.lo, b.lv) < (a.lo, a.lv) then b.lo else a.lo end as lo, case when (b.lo, b.lv) < (a.lo, a.lv) then b.lv else a.lv end as lv")
-    circle = _doubling(f"{tag}c", f"select x.v, coalesce(e.src, x.v) as p, case when e.src is null then 0 else 1 end::bigint as d, e.src is null as done from {tag}l x left join {edges} e on e.dst = x.v and x.lv <> x.v where not x.done")
-    return f"{lines}, {circle}, {tag}paths as materialized (select v, p as head, d as rank, false as loop from {tag}l where done union all select v, p, d, true from {tag}c)"
-
-
-_ARCS = f"{_MASKS}, {_signed}, arcs as materialized (select distinct src, dst from karcs)"
-_EDGES = f"kedges as materialized (select o.src, o.dst from (select src, min(dst) as dst from arcs group by src having count(*) = 1) o join (select dst from arcs group by dst having count(*) = 1) i using (dst) where o.src <> o.dst and o.dst <> {_rc('o.src')})"
-_PATHS = _paths("(select kmer as v from oriented)", "kedges", f"least({{0}}, {_rc('{0}')})", "walk_")
-_UNITIGS = f"""{_ARCS}, {_EDGES}, {_PATHS},
-kseqs as (select head, loop, substr(head, 1, {K31 - 1}) || string_agg(right(v, 1), '' order by rank) as seq from walk_paths group by head, loop),
-klesser as (select distinct seq from kseqs where not loop and seq <= {_rc('seq')} union all select seq from (select seq, row_number() over (partition by least(substr(seq, 1, {K31}), {_rc(f"substr(seq, 1, {K31})")}) order by seq) as r from kseqs where loop) where r = 1),
-unitigs as materialized (select row_number() over (order by seq) as node_id, seq from klesser),
-strands as materialized (select node_id, seq from unitigs union all select -node_id, {_rc('seq')} from unitigs)"""
-_GARCS = f"""{_UNITIGS}, garcs as materialized (select distinct a.node_id as src, b.node_id as dst from strands a join arcs on right(a.seq, {K31}) = arcs.src join strands b on substr(b.seq, 1, {K31}) = arcs.dst)"""
-_INDEX = f"""{_GARCS}, kidx as materialized (select least(w, {_rc('w')}) as kmer, case when w <= {_rc('w')} then node_id else -node_id end as node_id, case when w <= {_rc('w')} then o else n - {K31} - o end::int as pos, n::int as node_len from (select node_id, length(seq) as n, o, substr(seq, o + 1, {K31}) as w from (select node_id, seq, unnest(range(0, length(seq) - {K31 - 1})) as o from unitigs)))"""
-_POS = f"""{_INDEX}, place as materialized (select read_id, km.pos::int as pos, case when w = km.kmer then node_id else -node_id end as node, case when w = km.kmer then kidx.pos else node_len - kidx.pos - {K31} end as off from km join kidx on km.kmer = kidx.kmer)"""
-_GRAPH = f"""{_POS},
-nodes as materialized (select u.node_id, u.seq, coalesce(c.n, 0) as kmer_cov, coalesce(f.n, 0) as read_start_cov, length(u.seq) - {K31 - 1} as marginal from unitigs u left join (select abs(node) as node_id, count(*) as n from place group by 1) c using (node_id) left join (select abs(node) as node_id, count(*) as n from (select arg_min(node, pos) as node from place group by read_id) group by 1) f using (node_id)),
-steps as (select node, lag(node) over w as prev, pos - lag(pos) over w as gap from place window w as (partition by read_id order by pos)),
-seen as (select prev as src, node as dst, count(*) as c from steps where gap = 1 and node <> prev group by all),
-acov as materialized (select g.src, g.dst, coalesce(sum(s.c), 0)::bigint as cov from garcs g left join (select * from seen union all select -dst, -src, c from seen where src <> -dst) s on g.src = s.src and g.dst = s.dst group by all),
-degree as (select n.*, coalesce(r.n, 0) as n_right, coalesce(l.n, 0) as n_left from nodes n left join (select src as node_id, count(*) as n from acov where src > 0 group by 1) r using (node_id) left join (select -src as node_id, count(*) as n from acov where src < 0 group by 1) l using (node_id))"""
 _LOW = "select node_id from nodes where kmer_cov / marginal <= 3.0 and marginal <= 400"
 
 
