@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.seq import log_gamma, poisson_pdf
+from ..store import saved
 
 #: Fixed value: the base whose logarithm the cut-off formula takes.
 NEAR_E = 2.718281
@@ -109,7 +110,7 @@ def node_multiplicity(nodes: DataFrame, most: int = 200) -> DataFrame:
     rows = rows.withColumn("confidence", F.when(at_m == 0, 0.0).when(F.col("_around") == 0, float("inf")).otherwise(at_m / F.nullif(F.col("_around"), F.lit(0.0))))
     seen = poisson_pdf(F.least(F.col("read_start_cov"), peak), peak)
     rows = rows.withColumn("incorrectness", F.when(seen == 0, float("inf")).otherwise(poisson_pdf(peak, peak) / F.nullif(seen, F.lit(0.0))))
-    return rows.drop("_rate", "_mu", "_low", "_up", "_around")
+    return saved(rows.drop("_rate", "_mu", "_low", "_up", "_around"), "multiplicity")  # written, for what filters on it would work it out anew for each condition
 
 
 def reliable_nodes(nodes: DataFrame, k: int) -> DataFrame:

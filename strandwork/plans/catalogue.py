@@ -15,6 +15,7 @@ from ..operators import graph as G
 from ..operators import kmers as K
 from ..operators import match as M
 from ..operators import stats as T
+from ..store import new_path
 from ..sources.reads import READS_A_DOC, documents_as_reads, wrapped
 
 K31, K15, L20, BAND = 31, 15, 20, 2
@@ -146,6 +147,11 @@ def _graph(spark, sf_dir):
     return G.build(spark, _reads(spark, sf_dir), K31, key=sf_dir)
 
 
+def _graph15(spark, sf_dir):
+    """The graph of 15-mers: on these texts the one of 31-mers has no bubbles."""
+    return G.build(spark, _reads(spark, sf_dir), K15, key=(sf_dir, K15))
+
+
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -311,7 +317,7 @@ def graph_stats(spark, sf_dir):
     return G.graph_stats(g["nodes"], g["arcs"], K31)
 
 
-@query("select 0::bigint as dangling, 0::bigint as one_sided, 0::bigint as unequal, 0::bigint as no_overlap")
+@query(f"{_GRAPH} select count(*) filter (where a.seq is null or b.seq is null) as dangling, count(*) filter (where t.src is null) as one_sided, count(*) filter (where t.cov <> c.cov) as unequal, count(*) filter (where right(a.seq, {K31 - 1}) <> substr(b.seq, 1, {K31 - 1})) as no_overlap from acov c left join acov t on t.src = -c.dst and t.dst = -c.src left join strands a on a.node_id = c.src left join strands b on b.node_id = c.dst")
 def graph_sanity(spark, sf_dir):
     g = _graph(spark, sf_dir)
     return G.sanity(g["nodes"], g["arcs"], K31)
@@ -356,29 +362,64 @@ def remove_nodes(spark, sf_dir):
     return G.remove_nodes(g["nodes"], g["arcs"], G.coverage_filter(g["nodes"], 3.0, 400))[1]
 
 
-@query()
+_TIPS = f"select node_id from degree where (n_left = 0 or n_right = 0) and marginal < 400 and kmer_cov / marginal < case when greatest(n_left, n_right) <> 1 then {SAFE} else {RED} end"
+_MERGE = f"""{_GRAPH}, tips as materialized ({_TIPS}),
+mnodes as materialized (select * from nodes where node_id not in (from tips)),
+marcs as materialized (select src, dst from acov where abs(src) not in (from tips) and abs(dst) not in (from tips)),
+msigned as materialized (select node_id as v, seq, kmer_cov, read_start_cov from mnodes union all select -node_id, {_rc("seq")}, kmer_cov, read_start_cov from mnodes),
+medges as materialized (select o.src, o.dst from (select src, min(dst) as dst from marcs group by src having count(*) = 1) o join (select dst from marcs group by dst having count(*) = 1) i using (dst) where o.src <> o.dst and o.src <> -o.dst),
+{_paths("(select v from msigned)", "medges", "abs({0})", "join_")},
+mseqs as (select head, loop, string_agg(case when rank = 0 then seq else substr(seq, {K31}) end, '' order by rank) as seq, sum(kmer_cov)::bigint as kmer_cov, sum(read_start_cov)::bigint as read_start_cov from join_paths join msigned using (v) group by head, loop),
+mkept as (select seq, any_value(kmer_cov) as kmer_cov, any_value(read_start_cov) as read_start_cov from mseqs where not loop and seq <= {_rc("seq")} group by seq union all select seq, kmer_cov, read_start_cov from (select *, row_number() over (partition by abs(head) order by seq) as r from mseqs where loop) where r = 1)"""
+
+
+@query(f"{_MERGE} select row_number() over (order by seq) as node_id, seq, kmer_cov, read_start_cov, (length(seq) - {K31 - 1})::int as marginal from mkept")
 def merge_linear(spark, sf_dir):
     g = _graph(spark, sf_dir)
     nodes, arcs = G.remove_nodes(g["nodes"], g["arcs"], G.clip_tips(g["nodes"], g["arcs"], SAFE, RED, 400))
     return G.merge_linear(G.saved(nodes, "nodes"), G.saved(arcs, "arcs"), K31)[0]
 
 
-@query()
+#: Coverage under which bubbles of the 15-mers go, and the length up to which nodes may.
+POP, MOST = 5.0, 400
+_REACH = f"""{_AT15.graph}, bstep as materialized (select src, dst, marginal::bigint as len, kmer_cov / marginal as c from acov join nodes on abs(dst) = node_id),
+broots as materialized (select src as root from bstep group by src having count(*) >= 2 and min(c) < {POP}),
+breach as (select root, dst as spot, dst as colour, [dst] as path, len as dist, c as cov from broots join bstep on root = src where dst <> root
+  union all select r.root, s.dst, r.colour, list_append(r.path, s.dst), r.dist + s.len, r.cov from breach r join bstep s on r.spot = s.src where r.dist <= {K15} and not list_contains(r.path, s.dst) and s.dst <> r.root),
+bbest as materialized (select root, spot, colour, path, cov from (select *, row_number() over (partition by root, spot, colour order by dist, path) as r from breach) where r = 1),
+bfound as materialized (select a.root, a.spot as meet, a.path as path_a, b.path as path_b, a.cov as cov_a, b.cov as cov_b from bbest a join bbest b on a.root = b.root and a.spot = b.spot and (a.cov < b.cov or (a.cov = b.cov and a.colour < b.colour)))""".replace("with ", "with recursive ", 1)
+
+
+@query(f"{_REACH} select * from bfound")
 def bubbles(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    return G.bubbles(g["nodes"], g["arcs"], K31)
+    g = _graph15(spark, sf_dir)
+    return G.bubbles(g["nodes"], g["arcs"], K15, POP)
+
+
+@query(f"""{_REACH}, lost as materialized (select *, row_number() over (order by cov_a, path_a, root, meet) as b from bfound where cov_a < {POP} and len(path_a) > 1),
+size as (select node_id, kmer_cov / marginal < {POP} as low from nodes where marginal <= {MOST}),
+outs as (select b, list(distinct e.node_id order by e.node_id) as gone from (select b, abs(path_a[1]) as node_id, true as f from lost union all select b, abs(path_a[-2]), false from lost) e join size using (node_id) where f or low group by b),
+prop0 as materialized (select distinct cov_a as cov, gone, list_distinct(list_concat(list_transform(path_b, lambda x: abs(x)), [abs(root), abs(meet)])) as kept from lost join outs using (b)),
+prop as materialized (select row_number() over (order by cov, gone, list_sort(kept)) as i, gone, list_filter(kept, lambda x: not list_contains(gone, x)) as kept from prop0),
+taken as (select 0::bigint as i, []::bigint[] as out, []::bigint[] as held
+  union all select p.i, case when ok then list_concat(t.out, p.gone) else t.out end, case when ok then list_concat(t.held, p.kept) else t.held end from (select t.*, p.i as j, not list_has_any(p.gone, t.held) and not list_has_any(p.kept, t.out) as ok from taken t join prop p on p.i = t.i + 1) t join prop p on p.i = t.j)
+select distinct unnest(out) as node_id from (select out from taken order by i desc limit 1)""")
+def bubble_removals(spark, sf_dir):
+    g = _graph15(spark, sf_dir)
+    return G.bubble_removals(G.bubbles(g["nodes"], g["arcs"], K15, POP), g["nodes"], POP, MOST)
 
 
 @query()
-def bubble_removals(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    return G.bubble_removals(G.bubbles(g["nodes"], g["arcs"], K31), 3.0, g["nodes"])
+def purified_graph(spark, sf_dir):
+    """The graph of 15-mers after all cleaning rounds, under the cut-off of POP."""
+    g = _graph15(spark, sf_dir)
+    return G.purify(g["nodes"], g["arcs"], K15, POP, 100)[0]
 
 
 @query()
-def reliable_nodes(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    return T.reliable_nodes(T.node_multiplicity(G.degrees(g["nodes"], g["arcs"])), K31).select("node_id", "multiplicity")
+def prelude_graph(spark, sf_dir):
+    g = _graph15(spark, sf_dir)
+    return G.prelude(g["nodes"], g["arcs"], K15, read_length=100.0)[0]
 
 
 @query(f"{_POS} select read_id, pos, node, off from place")
@@ -410,7 +451,7 @@ def top10_seeds(spark, sf_dir):
 @query()
 def corrected_reads(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return C.correct(g["reads"], g["positions"], g["nodes"], g["arcs"], K31, retry=False)
+    return C.correct(g["reads"], g["positions"], g["nodes"], g["arcs"], K31)
 
 
 @query()
@@ -486,6 +527,46 @@ def pair_span(spark, sf_dir):
     return X.pair_span(part(1), part(61), SPAN)
 
 
+_WALKS = f"""{_AT15.graph}, {_GENOME}, gplace as materialized (select ref_id, p::bigint as pos, case when w = kmer then kidx.node_id else -kidx.node_id end as node, case when w = kmer then kidx.pos else kidx.node_len - kidx.pos - {K15} end::bigint as off
+  from (select ref_id, p, w, least(w, {_rc("w")}) as canon from (select ref_id, p, substr(seq, p, {K15}) as w from (select ref_id, seq, unnest(range(1, length(seq) - {K15} + 2)) as p from contigs)) where not regexp_matches(w, '[^ACGT]')) join kidx on canon = kmer),
+gnew as (select *, pos - lag(pos) over w = 1 and node = lag(node) over w and off - lag(off) over w = 1 as same from gplace window w as (partition by ref_id order by pos)),
+gvisit as materialized (select ref_id, v, any_value(node) as node, min(pos) as lo, max(pos) as hi, min(off) as f, max(off) as l from (select *, sum(case when same then 0 else 1 end) over (partition by ref_id order by pos) as v from gnew) group by ref_id, v),
+gon as (select g.*, n.marginal, coalesce(lo = lag(hi) over w + 1 and f = 0 and lag(l) over w = lag(n.marginal) over w - 1 and (lag(node) over w, node) in (select (src, dst) from acov), false) as goes from gvisit g join nodes n on abs(node) = n.node_id window w as (partition by ref_id order by lo)),
+gwalk as (select *, sum(case when goes then 0 else 1 end) over (partition by ref_id order by lo) as k from gon),
+walks as materialized (select ref_id, first_value(lo) over w as walk, row_number() over w - 1 as step, node, lo, hi, lo - f - first_value(lo - f) over w as distance, marginal from gwalk window w as (partition by ref_id, k order by lo))"""
+
+
+def _walks(spark, sf_dir):
+    g = _graph15(spark, sf_dir)
+    return X.true_walks(_contigs(spark, sf_dir), g["nodes"], g["arcs"], g["index"], K15)
+
+
+@query(f"{_WALKS} select ref_id, walk, step, node, lo, hi, distance from walks")
+def true_walks(spark, sf_dir):
+    return _walks(spark, sf_dir)
+
+
+#: Letters within which true distances are sought.
+FAR = 200
+
+
+@query(f"{_WALKS}, both_ as (select ref_id, walk, node, distance from walks union all select ref_id, -walk, -node, -distance - marginal from walks), far as (select a.src, b.dst from acov a join acov b on a.dst = b.src union select src, dst from acov) select src, dst, (select arg_min(y.distance - x.distance, (abs(y.distance - x.distance), x.distance - y.distance)) from both_ x join both_ y on x.ref_id = y.ref_id and x.walk = y.walk where x.node = src and y.node = dst and abs(y.distance - x.distance) <= {FAR}) as distance from far")
+def true_distances(spark, sf_dir):
+    """Of nodes that one or two arcs join."""
+    g = _graph15(spark, sf_dir)
+    two = g["arcs"].select("src", F.col("dst").alias("m")).join(g["arcs"].select(F.col("src").alias("m"), "dst"), "m").select("src", "dst")
+    return X.walk_distances(G.saved(_walks(spark, sf_dir), "walks"), g["nodes"], two.union(g["arcs"].select("src", "dst")), FAR)
+
+
+@query(f"{_UNITIGS}, st as (select node_id, length(seq) as n, coalesce(sum(2 * length(seq) + 2) over (order by node_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from unitigs), pt as (select start + n // 2 as place from st union all select start + n + 1 + n // 3 from st) select place, case when place - start <= n then node_id else -node_id end as node, case when place - start <= n then place - start else place - start - n - 1 end as letter from pt asof join st on pt.place >= st.start")
+def node_lookup(spark, sf_dir):
+    """A place in the middle of each node and one on a third of its other strand, found again in the text of all nodes."""
+    nodes = _graph(spark, sf_dir)["nodes"]
+    at = X.node_start_offsets(nodes).join(nodes.select("node_id", F.length("seq").cast("long").alias("n")), "node_id")
+    places = F.array(F.col("start") + F.floor(F.col("n") / 2), F.col("start") + F.col("n") + 1 + F.floor(F.col("n") / 3))
+    return X.lookup_nodes(at.select(F.explode(places).alias("at")), nodes).withColumnsRenamed({"at": "place", "offset": "letter"})
+
+
 # --- statistics, on parts taken as nodes: marginal = quantity sold, kmer_cov = lines x 7 + size, read_start_cov = lines
 
 _NODES = "nodes as (select l_partkey as node_id, sum(l_quantity)::bigint as marginal, (count(*) * 7 + l_partkey % 50)::bigint as kmer_cov, count(*) as read_start_cov from lineitem group by l_partkey)"
@@ -518,9 +599,11 @@ def cutoff_estimate(spark, sf_dir):
     return T.coverage_mean(_nodes(spark, sf_dir)).select(F.round(T.cutoff(F.col("coverage_mean") + 20), 6).alias("cut"))
 
 
-@query("select r, round(5.0 * (1 + case when r < 6 then r / 10 else 1.0 end), 6)::double as red_line, round(5.0 * (0.7 + case when r < 4 then r / 10 else 1.0 end), 6)::double as safe, round(5.0 * (0.3 + case when r < 3 then r / 10 else 0.5 end), 6)::double as certain from (select unnest(range(1, 11)) as r)")
+@query(f"{_TOP}, m as (select sum(kmer_cov) / sum(marginal) + 20 as m from top), cc as (select (1 + m / 100 - m) * ln(2.718281) / ln((1 + m / 100) / m) as c from m) select r, round(c * (1 + case when r < 6 then r / 10 else 1.0 end), 6)::double as red_line, round(c * (0.7 + case when r < 4 then r / 10 else 1.0 end), 6)::double as safe, round(c * (0.3 + case when r < 3 then r / 10 else 0.5 end), 6)::double as certain from cc, (select unnest(range(1, 11)) as r)")
 def threshold_schedule(spark, sf_dir):
-    t = T.thresholds(spark.range(1, 11).withColumnRenamed("id", "r"), 5.0)
+    """The thresholds of ten rounds under the cut-off that cutoff_estimate finds in the table."""
+    cut = T.coverage_mean(_nodes(spark, sf_dir)).select(T.cutoff(F.col("coverage_mean") + 20).alias("cut")).first()["cut"]
+    t = T.thresholds(spark.range(1, 11).withColumnRenamed("id", "r"), cut)
     return t.select("r", *[F.round(c, 6).alias(c) for c in ("red_line", "safe", "certain")])
 
 
@@ -530,9 +613,35 @@ def poisson_pdf(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.poisson_pdf(F.col("l_quantity"), mu), 9).alias("p"))
 
 
-@query()
+#: Densities, climbs and the sum around them, term by term; sums end as stats._around says.
+_MULT = f"""with recursive {_TOP.removeprefix("with ")}, rate as (select sum(read_start_cov) / sum(marginal) as rate from top),
+mu as (select nodes.*, rate * marginal as mu, lgamma(read_start_cov + 1) as lg, greatest(floor(read_start_cov / (rate * marginal)), 1) as lo from nodes, rate),
+cl as (select *, exp(read_start_cov * ln(mu) - mu - lg) as p1, exp(read_start_cov * ln(mu * lo) - mu * lo - lg) as pl, exp(read_start_cov * ln(mu * (lo + 1)) - mu * (lo + 1) - lg) as ph from mu),
+mm as materialized (select node_id, marginal, kmer_cov, read_start_cov, mu, lg, case when p1 = 0 then 0 else lo + case when ph > pl then 1 else 0 end end::double as m from cl),
+ser as (select node_id, read_start_cov as s, mu, lg, m, 0 as t, 0.0::double as total, exp(read_start_cov * ln(mu * (m + 1)) - mu * (m + 1) - lg) as last, false as done from mm
+  union all select node_id, s, mu, lg, m, t + 1, total + p, p, not (abs(p - last) > 1e-6 or nxt < 5) from (select *, exp(s * ln(mu * there) - mu * there - lg) as p from (select *, case when lower_ then m - i else m + i end as there, case when lower_ then i else i + 1 end as nxt from (select *, case when t < 2 * greatest(m - 1, 0) then t // 2 + 1 else t - greatest(m - 1, 0) + 1 end as i, t < 2 * greatest(m - 1, 0) and t % 2 = 0 as lower_ from ser where not done)))),
+sums as (select node_id, arg_max(total, t) as around from ser group by node_id),
+told as materialized (select node_id, marginal, kmer_cov, read_start_cov, m as multiplicity, case when pm = 0 then 0 when around = 0 then 'inf'::double else pm / around end as confidence, case when seen = 0 then 'inf'::double else top_ / seen end as incorrectness from (select *, exp(read_start_cov * ln(mu * m) - mu * m - lg) as pm, exp(floor(pk) * ln(pk) - pk - lgamma(floor(pk) + 1)) as top_, exp(floor(least(read_start_cov, pk)) * ln(pk) - pk - lgamma(floor(least(read_start_cov, pk)) + 1)) as seen from (select mm.*, around, mu * greatest(m, 1) as pk from mm join sums using (node_id))))"""
+
+
+def _log(c: str) -> str:
+    return f"case when {c} > 0 and {c} < 'inf'::double then round(ln({c}), 5) end"
+
+
+@query(f"{_MULT} select node_id, marginal, kmer_cov, read_start_cov, multiplicity, {_log('confidence')} as log_confidence, {_log('incorrectness')} as log_incorrectness from told")
 def node_multiplicity(spark, sf_dir):
-    return T.node_multiplicity(_nodes(spark, sf_dir))
+    log = lambda c: F.when((F.col(c) > 0) & (F.col(c) < float("inf")), F.round(F.log(c), 5)).alias(f"log_{c}")
+    return T.node_multiplicity(_nodes(spark, sf_dir)).select("node_id", "marginal", "kmer_cov", "read_start_cov", "multiplicity", log("confidence"), log("incorrectness"))
+
+
+_SIDED = "select l_partkey as node_id, count(distinct l_returnflag) - 1 as n_right, l_partkey % 4 as n_left from lineitem group by l_partkey"
+
+
+@query(f"{_MULT}, deg as ({_SIDED}), both_ as (select node_id, n_right, marginal, confidence, incorrectness, multiplicity from told join deg using (node_id) union all select -node_id, n_left, marginal, confidence, incorrectness, multiplicity from told join deg using (node_id)) select node_id, multiplicity from both_ where marginal >= {K31} and n_right >= 2 and confidence >= 1000 and incorrectness <= 1000")
+def reliable_nodes(spark, sf_dir):
+    """On parts as nodes; their numbers of arcs are return flags less one to the right and the key modulo four to the left."""
+    arcs = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("node_id")).agg((F.count_distinct("l_returnflag") - 1).alias("n_right"), (F.first("l_partkey") % 4).alias("n_left"))
+    return T.reliable_nodes(T.node_multiplicity(_nodes(spark, sf_dir)).join(arcs, "node_id"), K31).select("node_id", "multiplicity")
 
 
 @query(f"with {_NODES} select floor(kmer_cov / marginal / 0.1)::bigint as bin, count(*) as n_nodes, sum(marginal)::bigint as total_marginal from nodes group by 1")
@@ -622,10 +731,36 @@ def asof_offset(spark, sf_dir):
     return M.asof(e.select("event_id", "user_id", "ts"), starts, "ts", "user_id").select("event_id", "user_id", "last_purchase")
 
 
-@query(f"with {_SIDES}, p as (select query_id, seq, substr(seq, 1, {K31}) as w from q where length(seq) >= {K31}), pp as (select * from p union all select query_id, {_rc('seq')}, substr({_rc('seq')}, 1, {K31}) from p where seq <> {_rc('seq')}), rw as (select ref_id, seq, pos from (select ref_id, seq, unnest(range(1, length(seq) - {K31} + 2)) as pos from r where length(seq) >= {K31})), h as (select pp.query_id from rw join pp on substr(rw.seq, rw.pos, {K31}) = pp.w where substr(rw.seq, rw.pos, length(pp.seq)) = pp.seq) select p.query_id as id, (select count(*) from h where h.query_id = p.query_id) as n from p")
+#: Least length of long matches; places of a stored index.
+L64, EVERY = 64, 8
+
+
+@query(f"{_MEMS.replace(f', {L20}) as w', f', {L64}) as w').replace(f'- {L20} + 2', f'- {L64} + 2').replace(f'>= {L20})', f'>= {L64})').replace(f'+ {L20 - 1} as len', f'+ {L64 - 1} as len')} select query_id, ref_id, q_start, r_start, len from mems")
+def long_matches(spark, sf_dir):
+    return M.mems(*_sides(spark, sf_dir), L64)
+
+
+@query(f"{_MEMS} select query_id, ref_id, q_start, r_start, len from mems")
+def indexed_matches(spark, sf_dir):
+    """Of an index of every EVERY-th window that is stored, loaded and joined by its buckets."""
+    q, r = _sides(spark, sf_dir)
+    path = new_path(spark, "match-index")
+    M.save_index(r, L20, EVERY, path, buckets=16)
+    index, least, step = M.load_index(spark, path)
+    return M.indexed_mems(q, index, least, step)
+
+
+@query(f"with {_SIDES}, p as (select query_id, seq from q union all select query_id, {_rc('seq')} from q where seq <> {_rc('seq')}), n as (select p.query_id, sum(len(list_filter(range(1, length(r.seq) - length(p.seq) + 2), lambda i: substr(r.seq, i, length(p.seq)) = p.seq))) as n from p join r on contains(r.seq, p.seq) where p.seq <> '' group by p.query_id) select query_id as id, coalesce(n, 0)::bigint as n from q left join n using (query_id)")
 def true_multiplicity(spark, sf_dir):
     q, r = _sides(spark, sf_dir)
-    return M.occurrences(q.select(F.col("query_id").alias("id"), "seq"), r, K31)
+    return M.occurrences(q.select(F.col("query_id").alias("id"), "seq"), r)
+
+
+@query()
+def short_multiplicity(spark, sf_dir):
+    """Of the beginnings of the items, 1 to 30 letters."""
+    q, r = _sides(spark, sf_dir)
+    return M.occurrences(q.select(F.col("query_id").alias("id"), F.substr("seq", F.lit(1), (F.col("query_id") % 30 + 1).cast("int")).alias("seq")), r)
 
 
 # --- alignment
@@ -648,16 +783,48 @@ def accept_correction(spark, sf_dir):
     return _pairs(spark, sf_dir).select("p_partkey", C.accept(C.match_score(F.col("a"), F.col("b")), F.length("a")).alias("accepted"))
 
 
-@query()
+#: Rows of a matrix as lists, a letter of a at a time: cells of column j hold the best of the three ways there.
+_CELL = "case when substr(a, i, 1) = substr(b, j::bigint, 1){n} then {hit} else {miss} end"
+
+
+def _aligned(hit: int, miss: int, gap: int, band: int, any_n: bool) -> str:
+    """CTE rows_ (p_partkey, a, b, i, m) of texts of 24 letters: m is row i of the matrix, as long as b and one more."""
+    n = " or substr(a, i, 1) = 'N' or substr(b, j::bigint, 1) = 'N'" if any_n else ""
+    cell = _CELL.format(n=n, hit=hit, miss=miss)
+    first = f"list_transform(range(0, 25), lambda j: case when j <= {band} then j * {gap} else -1000000 end)"
+    step = f"list_reduce(list_prepend([case when i <= {band} then i * {gap} else -1000000 end], list_transform(range(1, 25), lambda j: [case when abs(i - j) > {band} then -1000000 else greatest(m[j] + {cell}, m[j + 1] + {gap}) end])), lambda x, y: list_append(x, case when abs(i - len(x)) > {band} then -1000000 else greatest(y[1], x[-1] + {gap}) end))"
+    return f"with recursive pairs as ({_PAIRS}), rows_ as (select p_partkey, a, b, 0::bigint as i, {first} as m from pairs union all select p_partkey, a, b, i, {step} from (select p_partkey, a, b, i + 1 as i, m from rows_ where i < 24))"
+
+
+@query(f"{_aligned(1, -1, -3, BAND, True)} select p_partkey, m[25]::int as score from rows_ where i = 24")
 def banded_align(spark, sf_dir):
     return _pairs(spark, sf_dir).select("p_partkey", C.banded_align("a", "b").alias("score"))
 
 
-@query()
+@query(f"{_aligned(1, 0, 0, 25, False)} select p_partkey, m[25]::int as score from rows_ where i = 24")
 def nw_score(spark, sf_dir):
     return _pairs(spark, sf_dir).select("p_partkey", C.nw_score("a", "b").alias("score"))
 
 
+def _traced(rows: str, hit: int, miss: int, gap: int, band: int, any_n: bool) -> str:
+    """The texts with gaps, walked back from the end of rows_: a pair before a gap in b before one in a."""
+    same = "(x = y or x = 'N' or y = 'N')" if any_n else "(x = y)"
+    here = f"""{rows}, mat as materialized (select p_partkey, any_value(a) as a, any_value(b) as b, list(m order by i) as m from rows_ group by p_partkey),
+back as (select p_partkey, a, b, m, 24::bigint as i, 24::bigint as j, '' as ga, '' as gb from mat
+  union all select p_partkey, a, b, m, case when w = 2 then i else i - 1 end, case when w = 1 then j else j - 1 end, (case when w = 2 then '-' else x end) || ga, (case when w = 1 then '-' else y end) || gb from (select *, case when i > 0 and j > 0 and m[i + 1][j + 1] = m[i][j] + case when {same} then {hit} else {miss} end then 0 when i > 0 and (j = 0 or m[i + 1][j + 1] = m[i][j + 1] + {gap}) then 1 else 2 end as w from (select *, substr(a, i, 1) as x, substr(b, j, 1) as y from back where i > 0 or j > 0)))"""
+    return f"{here} select p_partkey, m[25][25]::int as score, ga as a, gb as b from back where i = 0 and j = 0"
+
+
+@query(_traced(_aligned(1, -1, -3, BAND, True), 1, -1, -3, BAND, True))
+def banded_alignment(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("p_partkey", C.banded_alignment("a", "b").alias("x")).select("p_partkey", "x.*")
+
+
+@query(_traced(_aligned(1, 0, 0, 25, False), 1, 0, 0, 25, False))
+def unit_alignment(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("p_partkey", C.unit_alignment("a", "b").alias("x")).select("p_partkey", "x.*")
+
+
 @query(f"with {_READS} select read_id, regexp_replace(regexp_replace(seq, '(.{{70}})', '\\1' || chr(10), 'g'), '\\n$', '') as body from reads")
 def fasta_wrap(spark, sf_dir):
     return _reads(spark, sf_dir).select("read_id", wrapped(F.col("seq")).alias("body"))

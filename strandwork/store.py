@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,10 +20,30 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            delete_path(spark, path)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, deleted when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_at_exit, spark, path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """A written table: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
@@ -32,6 +53,4 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by saved() that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(df.sparkSession, df._saved_at)
