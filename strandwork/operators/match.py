@@ -12,11 +12,22 @@ from ..functions import seq as S
 from ..store import saved
 
 
-def hits(queries: DataFrame, refs: DataFrame, size: int) -> DataFrame:
-    """(query_id, ref_id, q, diagonal): windows of `size` letters without N that a query and a reference share."""
+#: Letters of texts whose windows may be broadcast: 8 MB of windows of a long and an id, or 16 with places.
+FEW = 500_000
+
+
+def letters(texts: DataFrame) -> int:
+    return texts.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("n")).first()["n"]
+
+
+def hits(queries: DataFrame, refs: DataFrame, size: int, few: bool = False) -> DataFrame:
+    """(query_id, ref_id, q, diagonal): windows of `size` letters without N that a query and a reference share.
+
+    few: the queries are known to hold at most FEW letters, so their windows are broadcast and no window of a reference is shuffled.
+    """
     q = P.windows(queries, "seq", size, ["query_id"], both=False).select("query_id", F.col("pos").alias("q"), "code")
     r = P.windows(refs, "seq", size, ["ref_id"], both=False).select("ref_id", F.col("pos").alias("r"), "code")
-    return r.join(q, "code").select("query_id", "ref_id", "q", (F.col("r") - F.col("q")).alias("diagonal"))
+    return r.join(F.broadcast(q) if few else q, "code").select("query_id", "ref_id", "q", (F.col("r") - F.col("q")).alias("diagonal"))
 
 
 def islands(found: DataFrame, window: str) -> DataFrame:
@@ -38,7 +49,7 @@ def mems(queries: DataFrame, refs: DataFrame, least: int) -> DataFrame:
     at adjacent places are one match, found as islands. Longer ones than SEED are islands of enough windows.
     """
     size = min(least, SEED)
-    found = islands(hits(queries, refs, size).withColumn("_size", F.lit(size)), "_size")
+    found = islands(hits(queries, refs, size, letters(queries) <= FEW).withColumn("_size", F.lit(size)), "_size")
     return found if size == least else found.where(F.col("len") >= least)
 
 
