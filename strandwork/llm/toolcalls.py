@@ -60,29 +60,33 @@ def _shaped(kinds: list[str]):
     return fits
 
 
-def _object_errors(value: Column, schema: dict, within: str, path: str) -> Column:
-    """Array of what is wrong with the fields of a variant object, deeper objects included; fields are named by their path."""
-    keys = F.json_object_keys(F.to_json(F.variant_get(value, path, "variant")) if path != "$" else F.to_json(value))
+def _object_errors(value: Column, schema: dict, within: str) -> Column:
+    """Array of what is wrong with the fields of a variant object, deeper objects included; errors name fields by their path.
+
+    Fields are looked up by their name in a map, not by a path, so a name may hold dots, brackets and quotes.
+    """
+    fields = F.try_variant_get(value, "$", "map<string, variant>")
+    keys = F.map_keys(fields)
     checks, deeper = [], []
     for field in schema.get("required", []):
         checks.append(F.when(~F.coalesce(F.array_contains(keys, field), F.lit(False)), F.lit(f"missing {within}{field}")))
     for field, rule in schema.get("properties", {}).items():
-        at = f"{path}.{field}"
-        have, shape = F.coalesce(F.array_contains(keys, field), F.lit(False)), F.schema_of_variant(F.variant_get(value, at, "variant"))
+        child = F.try_element_at(fields, F.lit(field))
+        have, shape = F.coalesce(F.array_contains(keys, field), F.lit(False)), F.schema_of_variant(child)
         good = F.lit(False)
         for prefix in _TYPES[rule["type"]]:
             good = good | shape.startswith(prefix)
         good = F.coalesce(good, F.lit(False))
         checks.append(F.when(have & ~good, F.lit(f"{within}{field} is not {rule['type']}")))
-        text, number = F.try_variant_get(value, at, "string"), F.try_variant_get(value, at, "double")
+        text, number = F.try_variant_get(child, "$", "string"), F.try_variant_get(child, "$", "double")
         for limit, wrong in (("minLength", lambda n, t=text: F.length(t) < n), ("maxLength", lambda n, t=text: F.length(t) > n), ("minimum", lambda n, x=number: x < n), ("maximum", lambda n, x=number: x > n), ("enum", lambda n, t=text: ~t.isin(*map(str, n)))):
             if limit in rule:
                 checks.append(F.when(have & good & wrong(rule[limit]), F.lit(f"{within}{field} breaks {limit}")))
         if "items" in rule:
-            items = F.try_variant_get(value, at, "array<variant>")
+            items = F.try_variant_get(child, "$", "array<variant>")
             checks.append(F.when(have & good & ~F.coalesce(F.forall(items, _shaped(_TYPES[rule["items"]["type"]])), F.lit(True)), F.lit(f"{within}{field} holds what is not {rule['items']['type']}")))
         if rule["type"] == "object" and ("properties" in rule or "required" in rule):
-            deeper.append(F.when(have & good, _object_errors(value, rule, f"{within}{field}.", at)).otherwise(F.array().cast("array<string>")))
+            deeper.append(F.when(have & good, _object_errors(child, rule, f"{within}{field}.")).otherwise(F.array().cast("array<string>")))
     found = [F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")]
     if not schema.get("additionalProperties"):
         extra = F.array_except(keys, F.array(*[F.lit(p) for p in schema.get("properties", {})]).cast("array<string>"))
@@ -100,7 +104,7 @@ def argument_errors(name: Column, arguments: Column, schemas: dict) -> Column:
     kind = F.schema_of_variant(value)
     out = F.array(F.concat(F.lit("unknown tool "), F.coalesce(name, F.lit("null"))))
     for tool, schema in schemas.items():
-        out = F.when(name == tool, F.when(value.isNull() | ~kind.startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(_object_errors(value, schema, "", "$"))).otherwise(out)
+        out = F.when(name == tool, F.when(value.isNull() | ~kind.startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(_object_errors(value, schema, ""))).otherwise(out)
     return out
 
 

@@ -121,6 +121,49 @@ def test_toxicity_repeats_and_empty(spark):
     assert {r.h for r in docs.where("doc_id is null").select(toxicity.held_out("doc_id").alias("h")).collect()} == {True}
 
 
+def plain_errors(value, schema, within=""):
+    """What is wrong with an object, field by field."""
+    kinds = {"string": lambda x: isinstance(x, str), "integer": lambda x: isinstance(x, int) and not isinstance(x, bool), "boolean": lambda x: isinstance(x, bool), "object": lambda x: isinstance(x, dict), "array": lambda x: isinstance(x, list)}
+    out = [f"missing {within}{f}" for f in schema.get("required", []) if f not in value]
+    deeper = []
+    for f, rule in schema.get("properties", {}).items():
+        if f not in value:
+            continue
+        x = value[f]
+        if not kinds[rule["type"]](x):
+            out.append(f"{within}{f} is not {rule['type']}")
+            continue
+        if "minLength" in rule and len(x) < rule["minLength"]:
+            out.append(f"{within}{f} breaks minLength")
+        if "minimum" in rule and x < rule["minimum"]:
+            out.append(f"{within}{f} breaks minimum")
+        if "items" in rule and not all(kinds[rule["items"]["type"]](y) for y in x):
+            out.append(f"{within}{f} holds what is not {rule['items']['type']}")
+        if rule["type"] == "object":
+            deeper += plain_errors(x, rule, f"{within}{f}.")
+    return out + [f"unknown field {within}{k}" for k in sorted(value) if k not in schema.get("properties", {})] + deeper
+
+
+def test_arguments_against_a_plain_validator(spark):
+    """Names with dots, brackets, quotes and question marks; links by identifier within the conversation."""
+    rng = random.Random(6)
+    names = ["a.b", "x[0]", 'q"t', "o'k?", "plain", "$", "é"]
+    inner = {"properties": {n: {"type": "integer", "minimum": 1} for n in names[:4]}, "required": names[1:3]}
+    schema = {"properties": {"a.b": {"type": "string", "minLength": 2}, "x[0]": {"type": "array", "items": {"type": "string"}}, 'q"t': {"type": "object", **inner}, "o'k?": {"type": "boolean"}, "$": {"type": "integer", "minimum": 0}}, "required": ["a.b", 'q"t']}
+    value = lambda deep: rng.choice(["", "ab", 0, 5, -1, True, ["a"], ["a", 1], {n: rng.choice([0, 2, "x"]) for n in rng.sample(names, 3)} if deep else {}])
+    bodies = [{n: value(True) for n in rng.sample(names, rng.randrange(0, 7))} for _ in range(150)]
+    calls = [(i % 7, f"c{i}", "go", json.dumps(b), [], i) for i, b in enumerate(bodies)]
+    results = [(rng.randrange(7), f"c{rng.randrange(150)}", f"r{j}", 1000 + j) for j in range(200)]
+    frame = spark.createDataFrame(calls, "conv_id long, call_id string, name string, arguments string, waits_for array<string>, position long")
+    got = toolcalls.link_tool_calls(frame, spark.createDataFrame(results, "conv_id long, call_id string, content string, position long"), {"go": schema}).collect()
+    assert len(got) == 150
+    for r in got:
+        want = plain_errors(bodies[int(r.call_id[1:])], schema)
+        assert sorted(filter(None, r.errors.split("; "))) == sorted(want) and r.valid == (not want), (r.call_id, r.errors)
+        mine = [x for x in results if x[:2] == (r.conv_id, r.call_id)]
+        assert r.n_results == len(mine) and r.result_position == min((x[3] for x in mine), default=None)
+
+
 def test_tool_call_cases(spark):
     schema = {"go": {"properties": {"to": {"type": "object", "properties": {"x": {"type": "integer", "minimum": 1}}, "required": ["x"]}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["to"]}}
     bodies = ['{"to": {"x": 2}, "tags": ["a"]}', '{"to": {"x": 0, "y": 1}}', '{"to": {}, "tags": [1]}', '{"to": 3}', '{"to": {"x": 1}, "to": {"x": 1}}']
