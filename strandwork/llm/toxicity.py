@@ -23,6 +23,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import Recent, arrow_batches, fresh, stored
 
 DECAY, SPAN, BITS, SURE = 0.6, 6, 16, 0.4
+#: What a word can say at most for its document: one that is learnt by heart says no more than one beyond the margin.
+MOST = 1.0
+#: Letters that are put into insults to learn from.
+STUFFING = "xeaqsihmtzruklpodgwncbfvyj"
 #: Words whose values a task holds, half of them those in use of late.
 MEMORY = 150_000
 #: Words scored at a time: bounds the arrays of their subsequences.
@@ -167,14 +171,14 @@ def _with_values(batches, model, at, names):
 
 
 def _squash(x, coef):
-    z = coef[0] + coef[1] * x[:, 0] + coef[2] * np.log1p(x[:, 1])
+    z = coef[0] + coef[1] * np.minimum(x[:, 0], MOST) + coef[2] * np.log1p(x[:, 1])
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Coefficients of 1, the top value and log(1 + hits); both must speak for toxicity, else the top value stands alone."""
     for used in ([0, 1, 2], [0, 1]):
-        z = np.column_stack([np.ones(len(x)), x[:, 0], np.log1p(x[:, 1])])[:, used]
+        z = np.column_stack([np.ones(len(x)), np.minimum(x[:, 0], MOST), np.log1p(x[:, 1])])[:, used]
         w = np.zeros(len(used))
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
@@ -225,9 +229,15 @@ def cover(toxic_docs: list[set[str]], clean_docs: list[set[str]], least: int = 3
     return [{w for w in d if w in words or (starts and w.startswith(starts))} for d in toxic_docs]
 
 
+def stuffed(word: str) -> list[str]:
+    """A word with one letter put in at each inner place, STUFFING letters in turn: what a hidden insult looks like."""
+    return [word[:i] + STUFFING[(i + j * len(word)) % len(STUFFING)] + word[i:] for i in range(1, len(word)) for j in (0, 1)] if len(word) > 3 else []
+
+
 def learn_words(toxic_docs: list[set[str]], clean_docs: list[set[str]], landmarks: int = 160, negatives: int = 6000, seed: int = 7):
     """Fit on the witnesses of toxic documents against words of clean ones; words of clean documents that score high
-    are added as negatives twice. Returns the weights of all features and the bias, or None without a witness."""
+    are added as negatives twice. Witnesses of many documents are learnt with single letters put into them as well, sharing a
+    witness's weight, so that the margin leaves room for what the kernel calls alike. Returns the weights of all features and the bias, or None without a witness."""
     rng = np.random.default_rng(seed)
     good: dict[str, int] = {}
     for d in clean_docs:
@@ -265,8 +275,10 @@ def learn_words(toxic_docs: list[set[str]], clean_docs: list[set[str]], landmark
             out[k] = weight.astype(np.float32) @ by_feature[name]
         return out.astype(np.float64) @ root
 
-    weight_of = np.array([min(count[w], 20) for w in positives], dtype=float)
-    xp, v, bias = mapped(positives), None, 0.0
+    often_said = max(least + 2, 0.02 * len(toxic_docs))
+    hidden = {w: [x for x in stuffed(w) if x not in good] for w in positives if count[w] >= often_said}
+    weight_of = np.array([min(count[w], 20) for w in positives] + [min(count[w], 20) / len(xs) for w, xs in hidden.items() for _ in xs], dtype=float)
+    xp, v, bias = mapped(positives + [x for xs in hidden.values() for x in xs]), None, 0.0
     for turn in range(3):
         xn = mapped(negative)
         x, y = np.vstack([xp, xn]), np.concatenate([np.ones(len(xp)), -np.ones(len(xn))])
@@ -321,7 +333,7 @@ def fit(few: DataFrame) -> Model | None:
 
 def _probability(model: Model, top: str, hits: str) -> Column:
     a, b, c = (float(x) for x in model.coef)
-    z = F.lit(a) + F.lit(b) * F.col(top) + F.lit(c) * F.log1p(hits)
+    z = F.lit(a) + F.lit(b) * F.least(F.col(top), F.lit(MOST)) + F.lit(c) * F.log1p(hits)
     return 1 / (1 + F.exp(-z))
 
 

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -337,6 +339,42 @@ def test_toxicity_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 for i, r in rows.items())
 
 
+def test_toxicity_held_out_of_both_kinds(spark):
+    """Recall and precision, which no constant reaches, and single letters put into learnt insults at every inner place."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    model = toxicity.train_from_tables(docs, labels, queries.MAX_TRAIN)
+    told = labels.where("toxic is not null").where(toxicity.held_out("doc_id")).select("doc_id", "toxic")
+    rows = toxicity.score(docs.join(told, "doc_id", "left_semi"), model).join(told, "doc_id").collect()
+    hit, found, toxic = sum(r.predicted and r.toxic for r in rows), sum(r.predicted for r in rows), sum(r.toxic for r in rows)
+    assert toxic > 50 and hit / toxic >= 0.9 and hit / found >= 0.7
+    learnt = ["idiot", "loser", "moron", "stupid"]
+    hidden = [w[:i] + x + w[i:] for w in learnt for i in range(1, len(w)) for x in "xq"]
+    calm = "the house stood on a hill and nobody asked who had built it or when the road had come there".split()
+    probe = spark.createDataFrame(list(enumerate(learnt + hidden + calm)), "doc_id long, text string")
+    got = [r.predicted for r in sorted(toxicity.score(probe, model).collect(), key=lambda r: r.doc_id)]
+    assert got[:4] == [1] * 4 and sum(got[4 : 4 + len(hidden)]) / len(hidden) >= 0.8 and not any(got[4 + len(hidden) :])
+
+
+def test_kernel_against_a_naive_one():
+    """Every common subsequence of three and four letters within SPAN, listed."""
+    def listed(word):
+        s, out = f"\x02{word}\x03", {}
+        for size in (3, 4):
+            for at in combinations(range(len(s)), size):
+                if at[-1] - at[0] < toxicity.SPAN:
+                    u = "".join(s[i] for i in at)
+                    out[u] = out.get(u, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    words = ["loser", "lxoser", "losser", "closer", "idiot", "a", "abcabcabc", "éàü"]
+    plain = [listed(w) for w in words]
+    dot = lambda a, b: sum(v * b.get(u, 0) for u, v in a.items())
+    want = np.array([[dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)) for b in plain] for a in plain])
+    base = toxicity.dense(words)
+    assert np.abs(base @ base.T - want).max() < 0.02 and want[0, 1] > 0.5 > want[0, 4]
+
+
 def test_toxicity_tolerates_insertions(spark):
     rng = random.Random(1)
     calm = [" ".join(rng.choices(WORDS, k=30)) for _ in range(80)]
