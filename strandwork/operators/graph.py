@@ -161,14 +161,15 @@ def arc_coverage(positions: DataFrame, arcs: DataFrame) -> DataFrame:
 _graphs: dict = {}
 
 
-def build(spark: SparkSession, reads: DataFrame, k: int, key=None) -> dict[str, DataFrame]:
-    """Stages 1 to 3 as written tables: solid, masks, nodes, arcs, index, positions. Kept for the session by key."""
+def build(spark: SparkSession, reads: DataFrame, k: int, key=None, solid: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Stages 1 to 3 as written tables: solid, masks, nodes, arcs, index, positions. Kept for the session by key; solid: counted already."""
     P.check(k)
     key = (spark.sparkContext.applicationId, k, key)
     if key[2] is not None and key in _graphs:
         return _graphs[key]
     reads = saved(reads, "reads")
-    solid = saved(K.solid(K.kmer_count(reads, k)), "solid")
+    if solid is None:
+        solid = saved(K.solid(K.kmer_count(reads, k)), "solid")
     masks = saved(K.overlap_masks(reads, solid, k), "masks")
     nodes = saved(unitigs(masks, k), "nodes")
     index = saved(kmer_index(nodes, k), "index")

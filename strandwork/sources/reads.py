@@ -89,12 +89,12 @@ def wrapped(seq, width: int = 70):
     return F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
 
 
-def write_reads(reads: DataFrame, path: str, kind: str) -> None:
+def write_reads(reads: DataFrame, path: str, kind: str, mode: str = "error") -> None:
     """Records in read order: as they were around the sequence, FASTA wrapped at 70."""
     if kind not in FORMATS:
         raise ValueError(kind)
     body = F.concat("pre", wrapped(F.col("seq")) if kind == "fasta" else F.col("seq"), F.regexp_replace("post", "\n$", ""))
-    reads.orderBy("lib_id", "read_id").select(body.alias("value")).write.text(path)
+    reads.orderBy("lib_id", "read_id").select(body.alias("value")).write.mode(mode).text(path)
 
 
 def documents_as_reads(spark: SparkSession, sf_dir: str, length: int = 100, step: int = 50) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandwork.functions import packed as P
 from strandwork.functions import seq as S
 from strandwork.operators import correct, explore, graph, kmers, match, stats
-from strandwork.plans import catalogue
+from strandwork.plans import catalogue, workflow
 from strandwork.sources import reads as R
 from strandwork.sources import stages
 
@@ -628,7 +628,7 @@ def simulated(rng, size, coverage, errors, length=100):
 
 
 def test_purify_a_simulated_genome(spark):
-    g, reads = simulated(random.Random(18), 3000, 60, 0.004)
+    g, reads = simulated(random.Random(18), 3000, 60, 0.008)
     b = graph.build(spark, as_reads(spark, reads), 21)
     before = {r.seq for r in b["nodes"].collect()}
     nodes, arcs = graph.purify(b["nodes"], b["arcs"], 21, 8.0, 100)
@@ -640,6 +640,46 @@ def test_purify_a_simulated_genome(spark):
     assert set(graph.sanity(nodes, arcs, 21).first()) == {0}
 
 
+def test_jobs_over_stage_files(spark, tmp_path):
+    """Reads with errors in two libraries: graph, cleaned graph and corrected reads, stages used again while nothing changes."""
+    rng = random.Random(23)
+    g = "".join(rng.choices("ACGT", k=700))
+    clean, noisy = [], []
+    for n in range(260):
+        a = rng.randrange(0, 601)
+        r = list(g[a : a + 100])
+        if n % 4 == 0:
+            i = rng.randrange(25, 75)
+            r[i] = rng.choice([c for c in "ACGT" if c != r[i]])
+        clean.append(g[a : a + 100])
+        noisy.append("".join(r))
+    paths = [str(tmp_path / "one.fastq"), str(tmp_path / "two.fasta")]
+    with open(paths[0], "w") as f:
+        f.writelines(f"@r{i}\n{s}\n+\n{'I' * len(s)}\n" for i, s in enumerate(noisy[:200]))
+    with open(paths[1], "w") as f:
+        f.writelines(f">r{i}\n{s}\n" for i, s in enumerate([*noisy[200:], "ACGT"]))
+    work, settings = f"file://{tmp_path}/work", workflow.Settings(k=21)
+    first = workflow.run(spark, "graph_construction", paths, work, settings)
+    assert first["made"] == ["reads", "kmers", "graph", "contigs"] and spark.read.text(first["fasta"]).where("value like '>NODE%'").count() > 1
+    second = workflow.run(spark, "read_correction", paths, work, settings)
+    assert second["made"] == ["clean", "corrected"] and second["graph"] == first["graph"]
+    told = spark.read.json(f"{second['clean']}/parameters").first()
+    assert told.read_length == pytest.approx(99.6, abs=1) and 1 < told.cutoff < told["mean"]
+    assert [r.seq for r in stages.read_graph(spark, second["clean"])[0].collect()] in ([canon(s)] for s in (g[i:j] for i in range(9) for j in range(691, 701)))
+    out = [r.value for r in spark.read.text(second["outputs"][0]).collect()]
+    assert second["outputs"][0].endswith("one.corr.fastq") and out[0::4] == [f"@r{i}" for i in range(200)]
+    wrong = sum(a != b for a, b in zip(noisy, clean))
+    left = sum(a != b for a, b in zip(out[1::4], clean[:200]))
+    assert wrong > 60 and left <= 2
+    assert spark.read.text(second["outputs"][1]).collect()[-1].value == "ACGT"
+    again = workflow.run(spark, "graph_correction", paths, work, settings)
+    assert again["made"] == ["contigs"] and again["clean"] == second["clean"]
+    other = workflow.run(spark, "graph_construction", paths[:1], work, workflow.Settings(k=15))
+    assert other["made"] == ["reads", "kmers", "graph", "contigs"] and other["graph"] != first["graph"]
+    with pytest.raises(ValueError, match="none of"):
+        workflow.run(spark, "assembly", paths, work, settings)
+
+
 def test_unreliable_nodes_of_a_graph(spark):
     """A long node that branches into its true neighbour and a low one of another length: the low one goes by its statistics."""
     k = 9
