@@ -11,6 +11,7 @@ from ..store import saved
 from . import graph as G
 from . import kmers as K
 from . import match as M
+from . import stats as T
 from .components import connected_components
 
 
@@ -79,11 +80,22 @@ def validate_overlaps(contigs: DataFrame, masks: DataFrame, k: int) -> DataFrame
     return seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_steps"), F.coalesce(F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)), F.lit(0)).alias("n_seen"))
 
 
+def with_truth(nodes: DataFrame, contigs: DataFrame) -> DataFrame:
+    """nodes + correct: whether the circular contigs hold the node on some strand."""
+    hits = M.occurrences(nodes.select(F.col("node_id").alias("id"), "seq"), genome(contigs))
+    return nodes.join(hits.select(F.col("id").alias("node_id"), (F.col("n") > 0).alias("correct")), "node_id")
+
+
+def removal_confusion(nodes: DataFrame, contigs: DataFrame, gone: DataFrame) -> DataFrame:
+    """stats.confusion of a cleaning rule: what it removes (node_id) against the nodes that no contig holds."""
+    marked = with_truth(nodes, contigs).join(gone.select("node_id", F.lit(1).alias("found")), "node_id", "left")
+    return T.confusion(marked.select((~F.col("correct")).cast("int").alias("truth"), F.coalesce("found", F.lit(0)).alias("found")))
+
+
 def graph_quality(nodes: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
     """One row: nodes that the circular contigs hold on some strand, those that they do not, and their marginal lengths."""
-    hits = M.occurrences(nodes.select(F.col("node_id").alias("id"), "seq"), genome(contigs)).select(F.col("id").alias("node_id"), "n")
-    j = nodes.join(hits, "node_id")
-    right = F.col("n") > 0
+    j = with_truth(nodes, contigs)
+    right = F.col("correct")
     size = contigs.agg(F.sum(F.length("seq") + 1 - k).alias("genome_size"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("marginal"))), F.lit(0))
     return j.agg(F.count_if(right).alias("n_correct"), F.count_if(~right).alias("n_incorrect"), total(right).cast("long").alias("size_correct"), total(~right).cast("long").alias("size_incorrect")).crossJoin(size)  # one row each

@@ -120,8 +120,10 @@ def reliable_nodes(nodes: DataFrame, k: int) -> DataFrame:
     return sure.unionByName(back).where("n_right >= 2")
 
 
-def coverage_histogram(nodes: DataFrame, width: float = 0.1) -> DataFrame:
-    return nodes.groupBy(F.floor(F.col("kmer_cov") / F.col("marginal") / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("marginal").alias("total_marginal"))
+def coverage_histogram(nodes: DataFrame, width: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes and their marginal length by coverage, apart for each value of the columns `by`."""
+    bins = F.floor(F.col("kmer_cov") / F.col("marginal") / width).cast("long").alias("bin")
+    return nodes.groupBy(bins, *by).agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("marginal").alias("total_marginal"))
 
 
 def confusion(rows: DataFrame) -> DataFrame:

@@ -527,6 +527,31 @@ def pair_span(spark, sf_dir):
     return X.pair_span(part(1), part(61), SPAN)
 
 
+_TOLD = f"{_GRAPH}, {_GENOME}, told as materialized (select *, exists (select 1 from contigs c where contains(c.seq || c.seq, n.seq) or contains(c.seq || c.seq, {_rc('n.seq')})) as correct from degree n)"
+
+
+@query(f"{_TOLD} select floor(kmer_cov / marginal / 0.1)::bigint as bin, correct, count(*) as n_nodes, sum(marginal)::bigint as total_marginal from told group by all")
+def graph_histogram(spark, sf_dir):
+    """The graph's coverage, apart for nodes that the contigs hold and others."""
+    return T.coverage_histogram(X.with_truth(_graph(spark, sf_dir)["nodes"], _contigs(spark, sf_dir)), by=("correct",))
+
+
+@query(f"{_TOLD}, r as (select not correct as bad, (n_left = 0 or n_right = 0) and marginal < 400 and kmer_cov / marginal < case when greatest(n_left, n_right) <> 1 then {SAFE} else {RED} end as gone from told), c as (select count(*) filter (where bad and gone) as tp, count(*) filter (where not bad and not gone) as tn, count(*) filter (where not bad and gone) as fp, count(*) filter (where bad and not gone) as fn from r) select *, case when tp + fn = 0 then 1.0::double else tp / (tp + fn) end as sensitivity, case when tn + fp = 0 then 1.0::double else tn / (tn + fp) end as specificity, case when tp + fn = 0 then 1.0::double else (tp - fp) / (tp + fn) end as gain from c")
+def tip_confusion(spark, sf_dir):
+    """Tip clipping against the contigs: what it removes that is wrong and right."""
+    g = _graph(spark, sf_dir)
+    return X.removal_confusion(g["nodes"], _contigs(spark, sf_dir), G.clip_tips(g["nodes"], g["arcs"], SAFE, RED, 400))
+
+
+@query(f"{_GRAPH}, o as (select marginal, count(*) as n from nodes group by marginal), u as (select marginal, n, sum(marginal * n) over (order by marginal) as up, sum(marginal * n) over (order by marginal desc) as down, sum(marginal * n) over () as total from o), top as (select * from nodes where marginal >= (select min(marginal) from u where down - n * marginal < 0.05 * total)), m as (select sum(kmer_cov) / sum(marginal) as m from top) select (select min(marginal) filter (where 2 * up >= total) from u) as n50, (select max(marginal) filter (where 2 * down >= total) from u) as n50_standard, round(m, 6) as coverage_mean, (select round(sqrt(avg((kmer_cov / marginal - (select m from m)) ** 2)), 6) from top) as coverage_std, round((1 + m / 100 - m) * ln(2.718281) / ln((1 + m / 100) / m), 6) as cut from m")
+def graph_statistics(spark, sf_dir):
+    """N50, coverage of the longest nodes and the cut-off of the graph itself."""
+    nodes = _graph(spark, sf_dir)["nodes"]
+    mean, std = T.coverage_mean(nodes), T.coverage_std(nodes)
+    rows = T.n50(nodes).crossJoin(mean).crossJoin(std)  # one row each
+    return rows.select("n50", "n50_standard", F.round("coverage_mean", 6).alias("coverage_mean"), F.round("coverage_std", 6).alias("coverage_std"), F.round(T.cutoff(F.col("coverage_mean")), 6).alias("cut"))
+
+
 _WALKS = f"""{_AT15.graph}, {_GENOME}, gplace as materialized (select ref_id, p::bigint as pos, case when w = kmer then kidx.node_id else -kidx.node_id end as node, case when w = kmer then kidx.pos else kidx.node_len - kidx.pos - {K15} end::bigint as off
   from (select ref_id, p, w, least(w, {_rc("w")}) as canon from (select ref_id, p, substr(seq, p, {K15}) as w from (select ref_id, seq, unnest(range(1, length(seq) - {K15} + 2)) as p from contigs)) where not regexp_matches(w, '[^ACGT]')) join kidx on canon = kmer),
 gnew as (select *, pos - lag(pos) over w = 1 and node = lag(node) over w and off - lag(off) over w = 1 as same from gplace window w as (partition by ref_id order by pos)),
