@@ -806,7 +806,7 @@ def test_reliable_nodes(spark):
     assert {0, 1, 11, -0, -8} <= sure and not {abs(x) for x in sure} & {4, 5, 9, 10} and 8 not in sure and -1 not in sure
 
 
-SMALL = ["dna_projection", "solid_kmers", "unitigs", "arc_cov", "graph_fasta", "merged_seeds", "components", "neighborhood", "graph_quality", "validate_overlaps", "mum_matches", "mem_both_strands", "pair_span", "clip_tips", "kmer_overlap_mask", "kmer_neighbors", "n50", "coverage_std_top5", "poisson_pdf", "mem_matches", "asof_offset", "concat_offsets", "confusion_metrics", "match_score"]
+SMALL = ["dna_projection", "solid_kmers", "unitigs", "arc_cov", "graph_fasta", "merged_seeds", "components", "neighborhood", "graph_quality", "validate_overlaps", "mum_matches", "mem_both_strands", "pair_span", "clip_tips", "kmer_overlap_mask", "kmer_neighbors", "n50", "coverage_std_top5", "poisson_pdf", "mem_matches", "asof_offset", "concat_offsets", "confusion_metrics", "match_score", "true_multiplicity", "long_matches", "indexed_matches", "banded_alignment", "unit_alignment", "reliable_nodes", "node_multiplicity", "node_lookup", "graph_statistics", "graph_sanity", "merge_linear", "threshold_schedule"]
 
 
 @pytest.mark.parametrize("name", SMALL)
