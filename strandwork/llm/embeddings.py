@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import partial
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, connected_components, stored
 
 WIDTH, PER_TABLE, TABLES, SEED = 1.5, 10, 96, 20
+#: Vectors of a bucket that one task compares with as many others.
+BLOCK = 512
 
 
 def projections(dim: int, tables: int = TABLES, per_table: int = PER_TABLE, width: float = WIDTH, seed: int = SEED):
@@ -45,9 +48,11 @@ def _unit(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], names=["vec_id", "label", "unit"])
 
 
-def _buckets(batches, tables, per_table, width, seed):
+def _hashed(batches, tables, per_table, width, seed):
+    """Rows with `keys`: 32 bits a table that stand for the quantised projections; equal keys are a bucket, wherever compared."""
     for batch in batches:
-        ids, units = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        units = batch.column(2).to_pylist()
+        keys: list[bytes] = [b""] * len(units)
         by_dim: dict[int, list[int]] = {}
         for k, u in enumerate(units):
             by_dim.setdefault(len(u) // 8, []).append(k)
@@ -60,23 +65,100 @@ def _buckets(batches, tables, per_table, width, seed):
                 for j in range(per_table):
                     mixed = (mixed ^ q[:, :, j].view(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
                     mixed ^= mixed >> np.uint64(32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[rows], tables)), pa.array(mixed.view(np.int64).ravel())], names=["rep", "bucket"])
+            for k, row in zip(rows, (mixed >> np.uint64(32)).astype("<u4"), strict=True):
+                keys[k] = row.tobytes()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=["rep", "label", "unit", "n", "keys"])
 
 
-def _verify(batches, least):
+def _cells(batches, tables):
+    """A row a vector and table: the bucket, without the vector."""
     for batch in batches:
-        a, b, ua, ub = (batch.column(i) for i in range(4))
-        ua, ub = ua.to_pylist(), ub.to_pylist()
-        keep = np.array([len(x) == len(y) and float(np.frombuffer(x) @ np.frombuffer(y)) >= least for x, y in zip(ua, ub, strict=True)], dtype=bool)
-        yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
-
-
-def near_duplicate_vectors(df: DataFrame, least: float = 0.93, tables: int = TABLES, per_table: int = PER_TABLE, width: float = WIDTH, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+        bucket = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<u4").astype(np.int64)
+        rows, at = np.repeat(np.arange(batch.num_rows), tables), np.tile(np.arange(tables, dtype=np.int32), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(at), pa.array(bucket)], names=["rep", "label", "dim", "at", "bucket"])
+
+
+def _links(x, keys, first, at, least):
+    """(p, q): links of one pair of blocks (or within one) whose first common table is this one."""
+    a, b = np.flatnonzero(first), np.flatnonzero(~first)
+    within = not len(b)
+    if within:
+        b = a
+    p, q = np.nonzero(x[a] @ x[b].T >= least - 1e-9)
+    p, q = a[p], b[q]
+    if within:
+        p, q = p[p < q], q[p < q]
+    for s in range(at):
+        if not len(p):
+            break
+        new = keys[p, s] != keys[q, s]
+        p, q = p[new], q[new]
+    cosine = np.array([x[i] @ x[j] for i, j in zip(p, q, strict=True)]) if len(p) < 64 else np.einsum("ij,ij->i", x[p], x[q])
+    sharp = np.flatnonzero(np.abs(cosine - least) < 1e-9)
+    cosine[sharp] = [x[i] @ x[j] for i, j in zip(p[sharp], q[sharp], strict=True)]  # one way of adding decides what is near the threshold
+    return p[cosine >= least], q[cosine >= least]
+
+
+def _least_reached(p, q, size):
+    """The least place that each place reaches over the links."""
+    low = np.arange(size)
+    while True:
+        m = np.minimum(low[p], low[q])
+        new = low.copy()
+        np.minimum.at(new, p, m)
+        np.minimum.at(new, q, m)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _block_links(batches, least):
+    """Sorted rows of block pairs in; of each vector with links there, out: the copies it links with and the least vector reached.
+
+    No pair leaves the task. A group is at most about two blocks; one that goes over the end of a batch waits for the next.
+    """
+    held = None
+    kinds = pa.schema([("rep", pa.int64()), ("others", pa.int64()), ("low", pa.int64())])
+    for batch in itertools.chain(batches, [None]):
+        rows = pa.Table.from_batches([b for b in (held, batch) if b is not None]) if held is not None or batch is not None else None
+        if rows is None or not rows.num_rows:
+            continue
+        rows = rows.combine_chunks().to_batches()[0]
+        at, lead, i, j, rep, n = (rows.column(c).to_numpy() for c in ("at", "lead", "i", "j", "rep", "n"))
+        first = rows.column("first").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(lead) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        ends = [*cuts.tolist(), *([rows.num_rows] if batch is None else [])]
+        units, keys = rows.column("unit").to_pylist(), rows.column("keys").to_pylist()
+        begin, out = 0, ([], [], [])
+        for end in ends:
+            size = end - begin
+            if size > 1 and (i[begin] == j[begin] or 0 < first[begin:end].sum() < size):
+                x = np.frombuffer(b"".join(units[begin:end]), dtype="<f8").reshape(size, -1)
+                k = np.frombuffer(b"".join(keys[begin:end]), dtype="<u4").reshape(size, -1)
+                p, q = _links(x, k, first[begin:end], int(at[begin]), least)
+                if len(p):
+                    own, m = rep[begin:end], n[begin:end]
+                    others = np.zeros(size, dtype=np.int64)
+                    np.add.at(others, p, m[q])
+                    np.add.at(others, q, m[p])
+                    low, has = _least_reached(p, q, size), np.flatnonzero(others)
+                    for column, value in zip(out, (own[has], others[has], own[low[has]]), strict=True):
+                        column.append(value)
+            begin = end
+        held = rows.slice(begin) if begin < rows.num_rows else None
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=kinds)
+
+
+def near_duplicate_vectors(df: DataFrame, least: float = 0.93, tables: int = TABLES, per_table: int = PER_TABLE, width: float = WIDTH, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector.
 
     Vectors are normalised in double precision; equal unit vectors of one label are one representative, so copies are
     counted and never paired. Each table buckets a representative by per_table quantised Gaussian projections;
-    representatives that share a label and a bucket are candidates and are linked if their cosine is at least `least`.
+    representatives that share a label and a bucket are compared and are linked if their cosine is at least `least`.
+    Buckets are cut into blocks of about `block` vectors and every pair of blocks is a group of its own, so a crowded
+    bucket is many tasks; a pair counts in the first table where it meets. Groups give counts and a spanning star, no pairs.
     With the defaults a pair just at 0.93 meets with probability 1 - (1 - p^10)^96 (over 0.9999), p = collision_probability(0.93);
     a nearer pair is surer. Vectors that are null, empty, zero or hold a null or non-finite component, and those of a
     null label, link with nothing and are their own component. Vectors of different lengths never link. Repeated ids
@@ -87,18 +169,21 @@ def near_duplicate_vectors(df: DataFrame, least: float = 0.93, tables: int = TAB
     arrow_batches(spark)
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).cast("string").alias("label"))
     unit = stored(rows.where("vec_id is not null").mapInArrow(_unit, "vec_id long, label string, unit binary").groupBy("vec_id").agg(F.min(F.struct("label", "unit")).alias("u")).select("vec_id", "u.*"), "unit")
-    reps = stored(unit.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
+    reps = unit.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "label", "unit", "n")
+    hashed = partial(_hashed, tables=tables, per_table=per_table, width=width, seed=SEED)
+    reps = stored(reps.mapInArrow(hashed, "rep long, label string, unit binary, n long, keys binary"), "reps")
     members = stored(unit.join(reps, ["label", "unit"]).select("vec_id", "rep", F.col("n").alias("own")), "members")
-    hashed = reps.select("rep", "unit").mapInArrow(partial(_buckets, tables=tables, per_table=per_table, width=width, seed=SEED), "rep long, bucket long")
-    hashed = hashed.join(reps.select("rep", "label"), "rep")
-    a, b = (hashed.select("label", "bucket", F.col("rep").alias(x)) for x in "ab")
-    pairs = a.join(b, ["label", "bucket"]).where("a < b").select("a", "b").distinct()
-    units = reps.select("rep", "unit")
-    found = pairs.join(units.select(F.col("rep").alias("a"), F.col("unit").alias("ua")), "a").join(units.select(F.col("rep").alias("b"), F.col("unit").alias("ub")), "b")
-    links = stored(found.select("a", "b", "ua", "ub").mapInArrow(partial(_verify, least=least), "a long, b long"), "links")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(reps.select(F.col("rep").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "rep")
-    names = connected_components(links).withColumnRenamed("id", "rep")
+    cells = reps.select("rep", "label", F.length("unit").alias("dim"), "keys").mapInArrow(partial(_cells, tables=tables), "rep long, label string, dim int, at int, bucket long")
+    cell = ["label", "dim", "at", "bucket"]
+    shared = cells.groupBy(cell).agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lead")).where("m > 1")
+    meet = cells.join(shared, cell).select("rep", "at", "lead", F.ceil(F.col("m") / block).alias("blocks"))
+    meet = meet.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meet = meet.select("rep", "at", "lead", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") <= F.col("o")).alias("first"))
+    group = ["at", "lead", "i", "j"]
+    wide = meet.join(reps.select("rep", "n", "unit", "keys"), "rep").repartition(*group).sortWithinPartitions(*group, "rep")
+    links = stored(wide.mapInArrow(partial(_block_links, least=least), "rep long, others long, low long"), "links")
+    others = links.groupBy("rep").agg(F.sum("others").alias("others"))
+    names = connected_components(links.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("id", "rep")
     linked = members.join(others, "rep", "left").join(names, "rep", "left").select("vec_id", (F.col("own") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     out = rows.select("vec_id").join(linked, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), (F.coalesce("c", "vec_id") == F.col("vec_id")).alias("kept"))

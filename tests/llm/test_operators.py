@@ -190,6 +190,31 @@ def test_embeddings(spark):
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_blocks(spark):
+    """A crowded bucket cut into small blocks, a chain whose ends do not link, copies: equal to all pairs."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(24)
+    crowd = [centre + rng.standard_normal(24) * s for s in np.linspace(0.05, 0.35, 300)]
+    chain = [np.concatenate([[np.cos(a), np.sin(a)], np.zeros(22)]) for a in np.arange(40) * 0.3]
+    rows = [(i, [float(v) for v in x], "a" if i % 3 else "b") for i, x in enumerate([*crowd, *chain, *crowd[:30]])]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    low = np.arange(len(rows))
+    while True:
+        new = np.minimum(low, np.where(near, low[None, :], len(rows)).min(1))
+        if (new == low).all():
+            break
+        low = new
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    for block in (7, 64, 512):
+        got = embeddings.near_duplicate_vectors(df, block=block).orderBy("vec_id").collect()
+        assert [r.n_links for r in got] == near.sum(1).tolist()
+        assert [r.component_id for r in got] == low.tolist()
+
+
 def plain_fingerprint(text):
     words = regex.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
     grams = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else ([b" ".join(words)] if words else [])
