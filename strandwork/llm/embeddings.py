@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from .common import arrow_batches, connected_components, stored
 WIDTH, PER_TABLE, TABLES, SEED = 1.5, 10, 96, 20
 #: Vectors of a bucket that one task compares with as many others.
 BLOCK = 512
+#: Vectors of a group up to which it is compared along with the batch's other groups.
+FEW = 16
 
 
 def projections(dim: int, tables: int = TABLES, per_table: int = PER_TABLE, width: float = WIDTH, seed: int = SEED):
@@ -78,22 +80,41 @@ def _cells(batches, tables):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(at), pa.array(bucket)], names=["rep", "label", "dim", "at", "bucket"])
 
 
-def _links(x, keys, first, at, least):
-    """(p, q): links of one pair of blocks (or within one) whose first common table is this one."""
-    a, b = np.flatnonzero(first), np.flatnonzero(~first)
-    within = not len(b)
-    if within:
-        b = a
-    p, q = np.nonzero(x[a] @ x[b].T >= least - 1e-9)
-    p, q = a[p], b[q]
-    if within:
-        p, q = p[p < q], q[p < q]
-    for s in range(at):
+def _candidates(x, begins, ends, same, first, least):
+    """(p, q): rows of one group, of different blocks unless `same`, whose cosine may be `least`: few rows by shifts of the batch, many by a product of matrices."""
+    end_of, size_of = np.repeat(ends, ends - begins), np.repeat(ends - begins, ends - begins)
+    at = np.arange(len(end_of))
+    found = [(at[:0], at[:0])]
+    for d in range(1, FEW):
+        p = np.flatnonzero((at + d < end_of) & (size_of <= FEW))
         if not len(p):
             break
-        new = keys[p, s] != keys[q, s]
-        p, q = p[new], q[new]
-    cosine = np.array([x[i] @ x[j] for i, j in zip(p, q, strict=True)]) if len(p) < 64 else np.einsum("ij,ij->i", x[p], x[q])
+        p = p[same[p] | (first[p] != first[p + d])]
+        p = p[np.einsum("ij,ij->i", x[p], x[p + d]) >= least - 1e-9]
+        found.append((p, p + d))
+    for lo, hi in zip(begins, ends, strict=True):
+        if hi - lo > FEW:
+            a, b = lo + np.flatnonzero(first[lo:hi]), lo + np.flatnonzero(~first[lo:hi])
+            p, q = np.nonzero(x[a] @ x[a if same[lo] else b].T >= least - 1e-9)
+            p, q = a[p], (a if same[lo] else b)[q]
+            found.append((p[p < q], q[p < q]) if same[lo] else (p, q))
+    return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
+
+
+def _links(x, keys, at, p, q, least):
+    """Of the candidates, the links whose first common table is this one; `keys` are those of the tables before it."""
+    left = [(p[:0], q[:0])]
+    for table in np.unique(at[p]):
+        lo, hi = np.searchsorted(at, table), np.searchsorted(at, table, side="right")
+        here = at[p] == table
+        a, b = p[here], q[here]
+        k = np.frombuffer(b"".join(keys[lo:hi]), dtype="<u4").reshape(hi - lo, table)
+        for s in range(table):
+            new = k[a - lo, s] != k[b - lo, s]
+            a, b = a[new], b[new]
+        left.append((a, b))
+    p, q = np.concatenate([a for a, _ in left]), np.concatenate([b for _, b in left])
+    cosine = np.einsum("ij,ij->i", x[p], x[q])
     sharp = np.flatnonzero(np.abs(cosine - least) < 1e-9)
     cosine[sharp] = [x[i] @ x[j] for i, j in zip(p[sharp], q[sharp], strict=True)]  # one way of adding decides what is near the threshold
     return p[cosine >= least], q[cosine >= least]
@@ -119,36 +140,31 @@ def _block_links(batches, least):
     No pair leaves the task. A group is at most about two blocks; one that goes over the end of a batch waits for the next.
     """
     held = None
-    kinds = pa.schema([("rep", pa.int64()), ("others", pa.int64()), ("low", pa.int64())])
-    for batch in itertools.chain(batches, [None]):
-        rows = pa.Table.from_batches([b for b in (held, batch) if b is not None]) if held is not None or batch is not None else None
-        if rows is None or not rows.num_rows:
+    for batch in chain(batches, [None]):
+        parts = [b for b in (held, batch) if b is not None and b.num_rows]
+        if not parts:
             continue
-        rows = rows.combine_chunks().to_batches()[0]
-        at, lead, i, j, rep, n = (rows.column(c).to_numpy() for c in ("at", "lead", "i", "j", "rep", "n"))
-        first = rows.column("first").to_numpy(zero_copy_only=False)
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        at, lead, i, j = (rows.column(c).to_numpy() for c in ("at", "lead", "i", "j"))
         cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(lead) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        ends = [*cuts.tolist(), *([rows.num_rows] if batch is None else [])]
-        units, keys = rows.column("unit").to_pylist(), rows.column("keys").to_pylist()
-        begin, out = 0, ([], [], [])
-        for end in ends:
-            size = end - begin
-            if size > 1 and (i[begin] == j[begin] or 0 < first[begin:end].sum() < size):
-                x = np.frombuffer(b"".join(units[begin:end]), dtype="<f8").reshape(size, -1)
-                k = np.frombuffer(b"".join(keys[begin:end]), dtype="<u4").reshape(size, -1)
-                p, q = _links(x, k, first[begin:end], int(at[begin]), least)
-                if len(p):
-                    own, m = rep[begin:end], n[begin:end]
-                    others = np.zeros(size, dtype=np.int64)
-                    np.add.at(others, p, m[q])
-                    np.add.at(others, q, m[p])
-                    low, has = _least_reached(p, q, size), np.flatnonzero(others)
-                    for column, value in zip(out, (own[has], others[has], own[low[has]]), strict=True):
-                        column.append(value)
-            begin = end
-        held = rows.slice(begin) if begin < rows.num_rows else None
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=kinds)
+        ends = np.append(cuts, rows.num_rows) if batch is None else cuts
+        held = rows.slice(ends[-1]) if len(ends) and ends[-1] < rows.num_rows else None if len(ends) else rows
+        if not len(ends):
+            continue
+        size = ends[-1]
+        units, keys = (rows.column(c).slice(0, size).to_pylist() for c in ("unit", "keys"))
+        width = max(map(len, units))
+        x = np.frombuffer(b"".join(u.ljust(width, b"\0") for u in units), dtype="<f8").reshape(size, -1)
+        first = rows.column("first").to_numpy(zero_copy_only=False)[:size]
+        p, q = _candidates(x, np.append(0, ends[:-1]), ends, (i == j)[:size], first, least)
+        if len(p):
+            p, q = _links(x, keys, at[:size], p, q, least)
+        if len(p):
+            rep, n, others = rows.column("rep").to_numpy(), rows.column("n").to_numpy(), np.zeros(size, dtype=np.int64)
+            np.add.at(others, p, n[q])
+            np.add.at(others, q, n[p])
+            low, has = _least_reached(p, q, size), np.flatnonzero(others)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rep[has], others[has], rep[low[has]])], names=["rep", "others", "low"])
 
 
 def near_duplicate_vectors(df: DataFrame, least: float = 0.93, tables: int = TABLES, per_table: int = PER_TABLE, width: float = WIDTH, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
@@ -180,7 +196,7 @@ def near_duplicate_vectors(df: DataFrame, least: float = 0.93, tables: int = TAB
     meet = meet.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     meet = meet.select("rep", "at", "lead", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") <= F.col("o")).alias("first"))
     group = ["at", "lead", "i", "j"]
-    wide = meet.join(reps.select("rep", "n", "unit", "keys"), "rep").repartition(*group).sortWithinPartitions(*group, "rep")
+    wide = meet.join(reps.select("rep", "n", "unit", "keys"), "rep").withColumn("keys", F.substr("keys", F.lit(1), F.col("at") * 4)).repartition(*group).sortWithinPartitions(*group, "rep")
     links = stored(wide.mapInArrow(partial(_block_links, least=least), "rep long, others long, low long"), "links")
     others = links.groupBy("rep").agg(F.sum("others").alias("others"))
     names = connected_components(links.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("id", "rep")
