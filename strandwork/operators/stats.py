@@ -97,19 +97,21 @@ def node_multiplicity(nodes: DataFrame, most: int = 200) -> DataFrame:
     The density in m rises up to starts / (mean per marginal x marginal) and falls after, so the climb stops at the
     floor or the ceiling of that ratio, whichever is denser. confidence is its density over the sum of those
     around it (infinite where they are nothing), incorrectness the density of what was seen against the peak.
+    If no read starts in the longest nodes nothing is known: multiplicity and confidence 0, incorrectness infinite.
     """
     rate = longest_share(nodes).agg((F.sum("read_start_cov") / F.sum("marginal")).alias("_rate"))
     rows = nodes.crossJoin(rate).withColumn("_mu", F.col("_rate") * F.col("marginal"))
     at = lambda m: poisson_pdf(F.col("read_start_cov"), F.col("_mu") * m)
-    low = F.greatest(F.floor(F.col("read_start_cov") / F.col("_mu")), F.lit(1)).cast("double")
+    known = F.coalesce(F.col("_mu") > 0, F.lit(False))
+    low = F.greatest(F.floor(F.col("read_start_cov") / F.nullif(F.col("_mu"), F.lit(0.0))), F.lit(1)).cast("double")
     rows = rows.withColumn("_low", low).withColumn("_up", at(F.col("_low") + 1) > at(F.col("_low")))
-    rows = rows.withColumn("multiplicity", F.when(at(F.lit(1.0)) == 0, 0.0).otherwise(F.col("_low") + F.when(F.col("_up"), 1).otherwise(0)))
-    rows = rows.withColumn("_around", _around(F.col("read_start_cov").cast("double"), log_gamma(F.col("read_start_cov") + 1.0), F.col("_mu"), F.col("multiplicity")))
+    rows = rows.withColumn("multiplicity", F.when(~known | (at(F.lit(1.0)) == 0), 0.0).otherwise(F.col("_low") + F.when(F.col("_up"), 1).otherwise(0)))
+    rows = rows.withColumn("_around", _around(F.col("read_start_cov").cast("double"), log_gamma(F.col("read_start_cov") + 1.0), F.when(known, F.col("_mu")).otherwise(1.0), F.col("multiplicity")))
     at_m = at(F.col("multiplicity"))
     peak = F.col("_mu") * F.greatest("multiplicity", F.lit(1.0))
-    rows = rows.withColumn("confidence", F.when(at_m == 0, 0.0).when(F.col("_around") == 0, float("inf")).otherwise(at_m / F.nullif(F.col("_around"), F.lit(0.0))))
+    rows = rows.withColumn("confidence", F.when(~known | (at_m == 0), 0.0).when(F.col("_around") == 0, float("inf")).otherwise(at_m / F.nullif(F.col("_around"), F.lit(0.0))))
     seen = poisson_pdf(F.least(F.col("read_start_cov"), peak), peak)
-    rows = rows.withColumn("incorrectness", F.when(seen == 0, float("inf")).otherwise(poisson_pdf(peak, peak) / F.nullif(seen, F.lit(0.0))))
+    rows = rows.withColumn("incorrectness", F.when(~known | (seen == 0), float("inf")).otherwise(poisson_pdf(peak, peak) / F.nullif(seen, F.lit(0.0))))
     return saved(rows.drop("_rate", "_mu", "_low", "_up", "_around"), "multiplicity")  # written, for what filters on it would work it out anew for each condition
 
 
