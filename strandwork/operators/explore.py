@@ -92,6 +92,28 @@ def removal_confusion(nodes: DataFrame, contigs: DataFrame, gone: DataFrame) ->
     return T.confusion(marked.select((~F.col("correct")).cast("int").alias("truth"), F.coalesce("found", F.lit(0)).alias("found")))
 
 
+PURIFICATION = "step int, round int, rule string, n_removed long, tp long, tn long, fp long, fn long, sensitivity double, specificity double, gain double"
+
+
+def purification_report(nodes: DataFrame, arcs: DataFrame, contigs: DataFrame, k: int, cutoff: float, read_length: int, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, arcs, steps): graph.purify, and each of its deletions judged by removal_confusion on the nodes that it met.
+
+    steps: a row a deletion, numbered from 1; a cleaning that removes nothing has no steps.
+    """
+    steps = nodes.sparkSession.createDataFrame([], PURIFICATION)
+    done = 0
+
+    def watch(number: int, rule: str, met: DataFrame, gone: DataFrame) -> None:
+        nonlocal steps, done
+        done += 1
+        judged = removal_confusion(met, contigs, gone)
+        of = [F.lit(done).alias("step"), F.lit(number).alias("round"), F.lit(rule).alias("rule"), (F.col("tp") + F.col("fp")).alias("n_removed")]
+        steps = steps.union(saved(judged.select(*of, *judged.columns), "judged"))
+
+    left = G.purify(nodes, arcs, k, cutoff, read_length, limit=limit, watch=watch)
+    return *left, steps
+
+
 def graph_quality(nodes: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
     """One row: nodes that the circular contigs hold on some strand, those that they do not, and their marginal lengths."""
     j = with_truth(nodes, contigs)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -411,21 +413,24 @@ def unreliable_nodes(nodes: DataFrame, arcs: DataFrame, k: int, cutoff: float, r
     return independent(extra.unionByName(connect_same_mult(nodes, arcs, sure, red_line, max_delete)).distinct())
 
 
-def purify(nodes: DataFrame, arcs: DataFrame, k: int, cutoff: float, read_length: int, max_rounds: int = 20, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def purify(nodes: DataFrame, arcs: DataFrame, k: int, cutoff: float, read_length: int, max_rounds: int = 20, limit: int | None = None, watch: Callable[[int, str, DataFrame, DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rounds of tip clipping, bubble removal, deletion of unreliable nodes and linear merges, until a round removes nothing.
 
     Thresholds rise with the rounds. Bubbles are sought at depth k, then at depths that grow by the read length up to
     round x read_length (at most max_delete), as long as the last search removed some. Then nodes next to reliable ones
     go, with new statistics after each merge, until none is left to go. Rounds that do not settle raise. limit as in
-    bubbles().
+    bubbles(). watch is told of each deletion before it is done: round, rule (tips, bubbles, unreliable), the nodes as
+    they are, and the node_ids that go.
     """
     max_delete, red = 4 * read_length, 0.0
 
-    def without(gone):
+    def without(gone, rule):
         gone = saved(gone, "gone")
         n = gone.count()
         if not n:
             return nodes, arcs, 0
+        if watch:
+            watch(r, rule, nodes, gone)
         kept = remove_nodes(nodes, arcs, gone)
         merged = merge_linear(saved(kept[0], "nodes"), saved(kept[1], "arcs"), k)
         return saved(merged[0], "nodes"), saved(merged[1], "arcs"), n
@@ -434,17 +439,17 @@ def purify(nodes: DataFrame, arcs: DataFrame, k: int, cutoff: float, read_length
     for r in range(1, max_rounds + 1):
         red = max(red, cutoff * (1 + (r / 10 if r < 6 else 1)))
         safe = cutoff * (0.7 + (r / 10 if r < 4 else 1))
-        nodes, arcs, changed = without(clip_tips(nodes, arcs, safe, red, max_delete))
-        nodes, arcs, n = without(popped(k))
+        nodes, arcs, changed = without(clip_tips(nodes, arcs, safe, red, max_delete), "tips")
+        nodes, arcs, n = without(popped(k), "bubbles")
         changed += n
         depth, going = k, True
         while going and depth < min(r * read_length, max_delete):
             depth += read_length
-            nodes, arcs, n = without(popped(depth))
+            nodes, arcs, n = without(popped(depth), "bubbles")
             changed, going = changed + n, n > 0
         going = True
         while going:
-            nodes, arcs, n = without(unreliable_nodes(nodes, arcs, k, cutoff, red, max_delete, k))
+            nodes, arcs, n = without(unreliable_nodes(nodes, arcs, k, cutoff, red, max_delete, k), "unreliable")
             changed, going = changed + n, n > 0
         if not changed:
             return nodes, arcs

@@ -396,14 +396,17 @@ def bubbles(spark, sf_dir):
     return G.bubbles(g["nodes"], g["arcs"], K15, POP)
 
 
-@query(f"""{_REACH}, lost as materialized (select *, row_number() over (order by cov_a, path_a, root, meet) as b from bfound where cov_a < {POP} and len(path_a) > 1),
+_POPPED = f"""lost as materialized (select *, row_number() over (order by cov_a, path_a, root, meet) as b from bfound where cov_a < {POP} and len(path_a) > 1),
 size as (select node_id, kmer_cov / marginal < {POP} as low from nodes where marginal <= {MOST}),
 outs as (select b, list(distinct e.node_id order by e.node_id) as gone from (select b, abs(path_a[1]) as node_id, true as f from lost union all select b, abs(path_a[-2]), false from lost) e join size using (node_id) where f or low group by b),
 prop0 as materialized (select distinct cov_a as cov, gone, list_distinct(list_concat(list_transform(path_b, lambda x: abs(x)), [abs(root), abs(meet)])) as kept from lost join outs using (b)),
 prop as materialized (select row_number() over (order by cov, gone, list_sort(kept)) as i, gone, list_filter(kept, lambda x: not list_contains(gone, x)) as kept from prop0),
 taken as (select 0::bigint as i, []::bigint[] as out, []::bigint[] as held
-  union all select p.i, case when ok then list_concat(t.out, p.gone) else t.out end, case when ok then list_concat(t.held, p.kept) else t.held end from (select t.*, p.i as j, not list_has_any(p.gone, t.held) and not list_has_any(p.kept, t.out) as ok from taken t join prop p on p.i = t.i + 1) t join prop p on p.i = t.j)
-select distinct unnest(out) as node_id from (select out from taken order by i desc limit 1)""")
+  union all select p.i, case when ok then list_concat(t.out, p.gone) else t.out end, case when ok then list_concat(t.held, p.kept) else t.held end from (select t.*, p.i as j, not list_has_any(p.gone, t.held) and not list_has_any(p.kept, t.out) as ok from taken t join prop p on p.i = t.i + 1) t join prop p on p.i = t.j),
+popped as materialized (select distinct unnest(out) as node_id from (select out from taken order by i desc limit 1))"""
+
+
+@query(f"{_REACH}, {_POPPED} select node_id from popped")
 def bubble_removals(spark, sf_dir):
     g = _graph15(spark, sf_dir)
     return G.bubble_removals(G.bubbles(g["nodes"], g["arcs"], K15, POP), g["nodes"], POP, MOST)
@@ -527,7 +530,10 @@ def pair_span(spark, sf_dir):
     return X.pair_span(part(1), part(61), SPAN)
 
 
-_TOLD = f"{_GRAPH}, {_GENOME}, told as materialized (select *, exists (select 1 from contigs c where contains(c.seq || c.seq, n.seq) or contains(c.seq || c.seq, {_rc('n.seq')})) as correct from degree n)"
+_TRUTH = f"{_GENOME}, told as materialized (select *, exists (select 1 from contigs c where contains(c.seq || c.seq, n.seq) or contains(c.seq || c.seq, {_rc('n.seq')})) as correct from degree n)"
+_TOLD = f"{_GRAPH}, {_TRUTH}"
+#: Confusion of a rule, from r (bad: no contig holds the node; gone: the rule removes it).
+_JUDGED = ", c as (select count(*) filter (where bad and gone) as tp, count(*) filter (where not bad and not gone) as tn, count(*) filter (where not bad and gone) as fp, count(*) filter (where bad and not gone) as fn from r) select *, case when tp + fn = 0 then 1.0::double else tp / (tp + fn) end as sensitivity, case when tn + fp = 0 then 1.0::double else tn / (tn + fp) end as specificity, case when tp + fn = 0 then 1.0::double else (tp - fp) / (tp + fn) end as gain from c"
 
 
 @query(f"{_TOLD} select floor(kmer_cov / marginal / 0.1)::bigint as bin, correct, count(*) as n_nodes, sum(marginal)::bigint as total_marginal from told group by all")
@@ -536,13 +542,34 @@ def graph_histogram(spark, sf_dir):
     return T.coverage_histogram(X.with_truth(_graph(spark, sf_dir)["nodes"], _contigs(spark, sf_dir)), by=("correct",))
 
 
-@query(f"{_TOLD}, r as (select not correct as bad, (n_left = 0 or n_right = 0) and marginal < 400 and kmer_cov / marginal < case when greatest(n_left, n_right) <> 1 then {SAFE} else {RED} end as gone from told), c as (select count(*) filter (where bad and gone) as tp, count(*) filter (where not bad and not gone) as tn, count(*) filter (where not bad and gone) as fp, count(*) filter (where bad and not gone) as fn from r) select *, case when tp + fn = 0 then 1.0::double else tp / (tp + fn) end as sensitivity, case when tn + fp = 0 then 1.0::double else tn / (tn + fp) end as specificity, case when tp + fn = 0 then 1.0::double else (tp - fp) / (tp + fn) end as gain from c")
+@query(f"{_TOLD}, r as (select not correct as bad, (n_left = 0 or n_right = 0) and marginal < 400 and kmer_cov / marginal < case when greatest(n_left, n_right) <> 1 then {SAFE} else {RED} end as gone from told){_JUDGED}")
 def tip_confusion(spark, sf_dir):
     """Tip clipping against the contigs: what it removes that is wrong and right."""
     g = _graph(spark, sf_dir)
     return X.removal_confusion(g["nodes"], _contigs(spark, sf_dir), G.clip_tips(g["nodes"], g["arcs"], SAFE, RED, 400))
 
 
+@query(f"{_TOLD}, r as (select not correct as bad, kmer_cov / marginal <= 3.0 and marginal <= 400 as gone from told){_JUDGED}")
+def coverage_filter_confusion(spark, sf_dir):
+    """The coverage filter against the contigs."""
+    nodes = _graph(spark, sf_dir)["nodes"]
+    return X.removal_confusion(nodes, _contigs(spark, sf_dir), G.coverage_filter(nodes, 3.0, 400))
+
+
+@query(f"{_REACH}, {_TRUTH}, {_POPPED}, r as (select not correct as bad, node_id in (from popped) as gone from told){_JUDGED}")
+def bubble_confusion(spark, sf_dir):
+    """Bubble removal against the contigs, on the graph of 15-mers."""
+    g = _graph15(spark, sf_dir)
+    return X.removal_confusion(g["nodes"], _contigs(spark, sf_dir), G.bubble_removals(G.bubbles(g["nodes"], g["arcs"], K15, POP), g["nodes"], POP, MOST))
+
+
+@query()
+def purification_report(spark, sf_dir):
+    """A row for each deletion of the cleaning rounds of purified_graph, judged against the contigs."""
+    g = _graph15(spark, sf_dir)
+    return X.purification_report(g["nodes"], g["arcs"], _contigs(spark, sf_dir), K15, POP, 100)[2]
+
+
 @query(f"{_GRAPH}, o as (select marginal, count(*) as n from nodes group by marginal), u as (select marginal, n, sum(marginal * n) over (order by marginal) as up, sum(marginal * n) over (order by marginal desc) as down, sum(marginal * n) over () as total from o), top as (select * from nodes where marginal >= (select min(marginal) from u where down - n * marginal < 0.05 * total)), m as (select sum(kmer_cov) / sum(marginal) as m from top) select (select min(marginal) filter (where 2 * up >= total) from u) as n50, (select max(marginal) filter (where 2 * down >= total) from u) as n50_standard, round(m, 6) as coverage_mean, (select round(sqrt(avg((kmer_cov / marginal - (select m from m)) ** 2)), 6) from top) as coverage_std, round((1 + m / 100 - m) * ln(2.718281) / ln((1 + m / 100) / m), 6) as cut from m")
 def graph_statistics(spark, sf_dir):
     """N50, coverage of the longest nodes and the cut-off of the graph itself."""

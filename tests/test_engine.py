@@ -153,6 +153,14 @@ def test_substitution_bubble_at_depth_k(spark, k):
     assert [r.seq for r in clean.collect()] == [canon(g)]
 
 
+def test_multiplicity_without_read_starts(spark):
+    """No read starts in the longest nodes: nothing is known of any, and none is reliable."""
+    n = spark.createDataFrame([(1, 900, 9000, 0, 2, 2), (2, 30, 300, 0, 2, 2), (3, 30, 300, 4, 2, 2)], "node_id long, marginal long, kmer_cov long, read_start_cov long, n_right long, n_left long")
+    rows = stats.node_multiplicity(n)
+    assert {(r.multiplicity, r.confidence, r.incorrectness) for r in rows.collect()} == {(0.0, 0.0, math.inf)}
+    assert stats.reliable_nodes(rows, 15).count() == 0 and stats.node_multiplicity(n.limit(0)).count() == 0
+
+
 def test_purify_reaches_long_branches(spark):
     """Two substitutions ten letters apart make a branch of k + 10, which a search of depth k does not cross."""
     k, nodes = 15, [(1, 86, 1032), (2, 25, 300), (3, 25, 50), (4, 74, 888)]
@@ -631,7 +639,16 @@ def test_purify_a_simulated_genome(spark):
     g, reads = simulated(random.Random(18), 3000, 60, 0.008)
     b = graph.build(spark, as_reads(spark, reads), 21)
     before = {r.seq for r in b["nodes"].collect()}
-    nodes, arcs = graph.purify(b["nodes"], b["arcs"], 21, 8.0, 100)
+    # every deletion of the rounds is judged: what goes is wrong, and what each step leaves is what the next one meets
+    nodes, arcs, steps = explore.purification_report(b["nodes"], b["arcs"], spark.createDataFrame([(0, g)], "ref_id long, seq string"), 21, 8.0, 100)
+    steps = steps.orderBy("step").collect()
+    inside = lambda s: s in g + g or rc(s) in g + g
+    assert [r.step for r in steps] == list(range(1, len(steps) + 1)) and {r.rule for r in steps} >= {"tips", "bubbles"}
+    assert all(r.n_removed == r.tp + r.fp > 0 for r in steps) and [r.round for r in steps] == sorted(r.round for r in steps)
+    assert (steps[0].tp + steps[0].fn, steps[0].tn + steps[0].fp) == (sum(not inside(s) for s in before), sum(inside(s) for s in before))
+    clipped = {r.node_id for r in graph.clip_tips(b["nodes"], b["arcs"], 8.0 * 0.8, 8.0 * 1.1, 400).collect()}
+    assert steps[0].tp == sum(r.node_id in clipped and not inside(r.seq) for r in b["nodes"].collect()) and steps[0].n_removed == len(clipped)
+    assert steps[0].sensitivity == steps[0].tp / (steps[0].tp + steps[0].fn)
     after = [r.seq for r in nodes.collect()]
     right = lambda s: s in g or rc(s) in g
     assert sum(not right(s) for s in before) > 50 and all(right(s) for s in after)
