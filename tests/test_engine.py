@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandwork.functions import buckets
 from strandwork.functions import packed as P
 from strandwork.functions import seq as S
 from strandwork.operators import correct, explore, graph, kmers, match, stats
@@ -120,6 +121,32 @@ def test_graph(spark, case):
     assert built["nodes"].agg(F.sum("kmer_cov")).first()[0] == total
 
 
+@pytest.mark.parametrize("together", [1, 1 << 18])
+def test_graph_from_pieces(spark, monkeypatch, together):
+    """Nodes, arcs and coverage from buckets, each alone and all in one, against those of single k-mers and of reads' positions; no read is placed for them."""
+    monkeypatch.setattr(buckets, "TOGETHER", together)
+    rng = random.Random(5)
+    g, tangle = "".join(rng.choices("ACGT", k=400)), "".join(rng.choices("AC", k=300))
+    seqs = [g[i : i + 60] for i in range(0, 200, 9)] + [rc(g[i : i + 50]) for i in range(0, 200, 21)] + [tangle[i : i + 70] for i in range(0, 230, 20)] * 2
+    seqs += [g[200:240] + g[200:255]] * 2 + [g[260:290] + rc(g[260:290])] * 3 + ["A" * 30, "AT" * 20, "ACG" * 12 + "N" + "TTTTTTTTTTTT", "", "ACG"]
+    reads = as_reads(spark, seqs)
+    built = graph.build(spark, reads, K)
+    assert {"masks", "index", "positions", "solid"} & set(built) == set()
+    solid = kmers.solid(kmers.kmer_count(reads, K)).localCheckpoint()
+    count = Counter(canon(s[i : i + K]) for s in seqs for i in range(len(s) - K + 1) if "N" not in s[i : i + K])
+    assert {(r.kmer, r.cov) for r in kmers.spelt(solid, K).collect()} == {(x, n) for x, n in count.items() if n > 1}
+    masks = kmers.overlap_masks(reads, solid, K).localCheckpoint()
+    assert Counter(masks.collect()) == Counter(built["masks"].collect())
+    nodes = graph.saved(graph.unitigs(masks, K), "nodes")
+    positions = graph.saved(graph.read_node_positions(reads, graph.kmer_index(nodes, K), K), "positions")
+    arcs = graph.arc_coverage(positions, graph.unitig_arcs(nodes, masks, K))
+    nodes = graph.node_coverage(positions, nodes)
+    rows = lambda df, *c: Counter(tuple(r) for r in df.select(*c).collect())
+    assert rows(built["nodes"], *nodes.columns) == rows(nodes, *nodes.columns)
+    assert rows(built["arcs"], "src", "dst", "cov") == rows(arcs, "src", "dst", "cov")
+    assert any(a == b for a, b, _ in rows(arcs, "src", "dst", "cov")) and any(a == -b for a, b, _ in rows(arcs, "src", "dst", "cov"))
+
+
 def test_tips_bubbles_and_merge(spark):
     rng = random.Random(11)
     g = "".join(rng.choices("ACGT", k=200))
