@@ -135,6 +135,8 @@ def test_graph_from_pieces(spark, monkeypatch, together):
     solid = kmers.solid(kmers.kmer_count(reads, K)).localCheckpoint()
     count = Counter(canon(s[i : i + K]) for s in seqs for i in range(len(s) - K + 1) if "N" not in s[i : i + K])
     assert {(r.kmer, r.cov) for r in kmers.spelt(solid, K).collect()} == {(x, n) for x, n in count.items() if n > 1}
+    assert Counter(kmers.own_solid_kmers(reads, K).collect()) == Counter(kmers.read_solid_kmers(reads, solid, K).collect())
+    assert {r.code for r in kmers.weak(kmers.kmer_count(reads, K)).collect()} == {r.code for r in kmers.weak_kmers(reads, solid, K).collect()}
     masks = kmers.overlap_masks(reads, solid, K).localCheckpoint()
     assert Counter(masks.collect()) == Counter(built["masks"].collect())
     nodes = graph.saved(graph.unitigs(masks, K), "nodes")
