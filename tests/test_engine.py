@@ -647,6 +647,22 @@ def test_bubbles_by_shortest_paths(spark):
         assert got == want and len(want) > 10
 
 
+@pytest.mark.parametrize("k,depth", [(7, 7), (7, 4), (5, 5)])
+def test_bubbles_of_branches_walked_side_by_side(spark, k, depth):
+    """Substitutions, insertions, repeats and runs of one letter: no bubble is lost and none is added."""
+    rng = random.Random(18)
+    g = "".join(rng.choices("ACGT", k=900 if k == 7 else 260))
+    texts = [g]
+    for i in range(20, len(g) - 20, 25):
+        texts.append(g[:i] + rng.choice(["A", "CA", g[i - 3 : i], g[i - 2 : i] * 2, "AAAAAA", g[i - 1] * 4, ""]) + g[i + rng.choice([0, 1, 3]) :])
+    built = graph.build(spark, as_reads(spark, [t for t in texts for _ in range(2)]), k)
+    nodes, arcs = built["nodes"], built["arcs"]
+    rows = lambda df: {(r.root, r.meet, tuple(r.path_a), tuple(r.path_b), r.cov_a, r.cov_b) for r in df.collect()}
+    want = rows(graph.bubbles(nodes, arcs, depth))
+    assert rows(graph.bubbles(nodes, arcs, depth, k=k)) == want and len(want) > 10
+    assert any(len(a) > 1 and len(b) > 1 for _, _, a, b, _, _ in want)
+
+
 def test_independent_deletions(spark):
     """Proposals taken one by one by priority; chains of clashes take several rounds."""
     rng = random.Random(17)
