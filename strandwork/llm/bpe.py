@@ -23,7 +23,7 @@ KNOWN_WORDS = 700_000
 APPLY_WORDS = 500_000
 BATCH_BYTES = "32m"
 #: Words of more bytes are looked through for places where no token can reach over.
-LONG = 24
+LONG = 5
 NO_RANK = 1 << 16
 #: A cell of the rank map that nobody owns.
 FREE = 1 << 40
@@ -67,17 +67,22 @@ def pair_table(path: str) -> tuple[list[int], list[int]]:
 
 
 @lru_cache(maxsize=2)
-def bigrams(path: str) -> frozenset[bytes]:
+def bigrams(path: str) -> frozenset[tuple[int, int]]:
     """Neighbouring bytes of all tokens. Merges never reach over two bytes that no token holds side by side."""
-    return frozenset(t[i : i + 2] for t in load_ranks(path) for i in range(len(t) - 1))
+    return frozenset(pair for t in load_ranks(path) for pair in zip(t, t[1:], strict=False))
 
 
 def parts_of(word: bytes, path: str) -> list[bytes]:
-    """A word cut where no token can reach over: its ids are those of the parts, and the fold, quadratic in length, is short."""
+    """A word cut where no token can reach over: its ids are those of the parts, and the fold, quadratic in length, is short.
+
+    Words of texts share such parts, so fewer are folded than there are words.
+    """
     if len(word) <= LONG:
         return [word]
     pairs = bigrams(path)
-    cuts = [0, *(i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in pairs), len(word)]
+    if pairs.issuperset(zip(word, word[1:])):  # noqa: B905
+        return [word]
+    cuts = [0, *(i for i, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in pairs), len(word)]
     return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 

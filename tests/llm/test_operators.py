@@ -110,6 +110,20 @@ def test_bpe_folds_long_words(spark, monkeypatch):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_bpe_cuts_short_words():
+    """Words of 6 to 24 bytes are cut as well, so folds are short; the ids of the parts are those of the word."""
+    rng = random.Random(8)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    words = ["".join(rng.choices("abdefgijknqrtvwxzQXZé", k=rng.randint(1, 20))) for _ in range(3000)]
+    parts = [bpe.parts_of(w.encode(), path) for w in words]
+    assert sum(len(p) > 1 for w, p in zip(words, parts, strict=True) if len(w.encode()) <= 24) > 1000
+    assert 2 * sum(len(x) ** 2 for x in {x for p in parts for x in p}) < sum(len(w.encode()) ** 2 for w in set(words))
+    for w, p in zip(words, parts, strict=True):
+        assert b"".join(p) == w.encode()
+        assert [i for x in p for i in enc._encode_single_piece(x)] == enc.encode_ordinary(w)
+
+
 def test_unit_encoder_equals_tokenizers():
     path = public_tokenizers.path("byte_bpe_50k.json")
     encode, whole = tokens.unit_encoder(path), Tokenizer.from_file(path)
